@@ -81,11 +81,11 @@ def host_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 ORACLE_SQL = r"""
 with d as (select row_number() over () as rid, doc_id, source, coalesce(text, '') as t from documents),
-w as (select *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as ws, list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) as ls from d),
+w as (select *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as ls from d),
 tri as (select rid, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] as g from (select rid, ws, unnest(range(1, len(ws) - 1)) as i from w)),
 rep as (select rid, i from (select rid, i, count(*) over (partition by rid, g) as c from tri) where c > 1),
 cov as (select rid, count(distinct p) as n from (select rid, unnest([i, i + 1, i + 2]) as p from rep) group by rid),
-b as (select w.rid, doc_id, source, len(ws)::bigint as n_words, coalesce(list_sum(list_transform(ws, x -> length(x))), 0)::bigint as word_chars,
+b as (select w.rid, doc_id, source, len(ws)::bigint as n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::bigint as word_chars,
   (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols, (len(ls) - len(list_distinct(ls)))::bigint as n_dup_lines,
   coalesce(cov.n, 0)::bigint as n_repeat_words from w left join cov on w.rid = cov.rid),
 f as (select *, (n_words < 50 or 100 * n_repeat_words > 50 * n_words) as base_failed from b),
