@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, dom, forest, gam, hostrules, mixing, simhash, toxicity, urlgraph
+from . import bpe, dom, forest, gam, hostrules, licenses, mixing, simhash, toxicity, urlgraph
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -49,6 +49,10 @@ def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -65,6 +69,7 @@ QUERIES: dict[str, Query] = {
     "op5_html_extraction": op5_html_extraction,
     "op6_url_filter": op6_url_filter,
     "op7_embedding_near_dedup": op7_embedding_near_dedup,
+    "op8_license_scan": op8_license_scan,
     "op9_toxicity": op9_toxicity,
     "op10_mixing": op10_mixing,
 }
