@@ -5,15 +5,33 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tessera.operators import metrics as met
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+from . import base, integrity, relational, resampling, scalars, scans, scores, vectors
 
+SECTIONS = (scans, relational, scalars, vectors, scores, resampling, integrity)
 
-def oracle_sql() -> dict[str, str]:
-    return {}
+FLAGSHIP_SQL = f"""with {scores.NDCG}, rsa as (select label, corr(rx, ry) as rho, count(*) as n_pairs from (select label, rank() over (partition by label order by x) + (count(*) over (partition by label, x) - 1) / 2.0::double as rx,
+  rank() over (partition by label order by y) + (count(*) over (partition by label, y) - 1) / 2.0::double as ry from rep_pairs) group by 1), e as (select label, avg(ndcg - rnd) as excess from nd group by 1)
+  select label, n_pairs::bigint as n_pairs, round(rho, 6) + 0.0 as rsa, round(excess, 6) + 0.0 as excess_ndcg from rsa join e using (label)"""
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Agreement of two views of the embeddings per label: rank correlation of pair similarities, and how far the
+    nearest neighbours in one view find those in the other (NDCG@10 over chance). Pairs are built once per view."""
+    t = base.Tables(spark, sf_dir)
+    pairs = base.rep_pairs(t)
+    rsa = met.spearman(pairs, "x", "y", "label").select("label", F.col("n").alias("n_pairs"), F.col("rho").alias("rsa"))
+    near = met.both_ways(pairs.select("label", "i", "j", F.round("y", 2).alias("truth"), F.round("x", 1).alias("score")), "label")
+    excess = met.expected_ndcg(near, "truth", "score", 10, "label", "q").groupBy("label").agg(F.avg("excess").alias("excess_ndcg"))
+    return rsa.join(excess, "label").select("label", "n_pairs", base.r6("rsa").alias("rsa"), base.r6("excess_ndcg").alias("excess_ndcg"))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {"flagship_agreement": flagship, **base.QUERIES}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {"flagship_agreement": FLAGSHIP_SQL, **base.ORACLE}

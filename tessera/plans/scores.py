@@ -229,15 +229,15 @@ def m21(t: Tables) -> DataFrame:
     return met.classification(d, "truth", "pred").select(*[r6(c).alias(c) for c in ("accuracy", "macro_f1", "balanced_accuracy")])
 
 
-CONCORD = f"{METRICS}, mr as (select model, metric, avg(value) as value from metric_table group by all), w as (select model, max(value) filter (metric = 'rsa') as a, max(value) filter (metric = 'ndcg') as b from mr group by 1)"
+CONCORD = f"{METRICS}, mr as (select model, metric, round(avg(value), 9) as value from metric_table group by all), w as (select model, max(value) filter (metric = 'rsa') as a, max(value) filter (metric = 'ndcg') as b from mr group by 1)"
 
 
-@query("m22_rank_concordance", f"with {CONCORD} select count(*) filter (sign(x.a - y.a) * sign(x.b - y.b) > 0)::bigint as concordant, count(*) filter (sign(x.a - y.a) * sign(x.b - y.b) < 0)::bigint as discordant, count(*) filter (sign(x.a - y.a) * sign(x.b - y.b) = 0)::bigint as tied, (select max_by(model, a) = max_by(model, b) from w) as same_top from w x join w y on x.model < y.model")
+@query("m22_rank_concordance", f"with {CONCORD} select count(*) filter (sign(x.a - y.a) * sign(x.b - y.b) > 0)::bigint as concordant, count(*) filter (sign(x.a - y.a) * sign(x.b - y.b) < 0)::bigint as discordant, count(*) filter (sign(x.a - y.a) * sign(x.b - y.b) = 0)::bigint as tied, ((select model from w order by a desc, model desc limit 1) = (select model from w order by b desc, model desc limit 1)) as same_top from w x join w y on x.model < y.model")
 def m22(t: Tables) -> DataFrame:
-    w = metric_table(t).groupBy("model").pivot("metric", ["rsa", "ndcg"]).avg("value").toDF("model", "a", "b")
+    w = metric_table(t).groupBy("model").pivot("metric", ["rsa", "ndcg"]).agg(F.round(F.avg("value"), 9)).toDF("model", "a", "b")
     p = unordered_pairs(w.withColumn("g", F.lit(0)), "g", "model")
     s = F.signum(F.col("a_a") - F.col("a_b")) * F.signum(F.col("b_a") - F.col("b_b"))
-    top = w.agg((F.max_by("model", "a") == F.max_by("model", "b")).alias("same_top"))
+    top = w.agg((F.max(F.struct("a", "model"))["model"] == F.max(F.struct("b", "model"))["model"]).alias("same_top"))
     return p.agg(F.count_if(s > 0).alias("concordant"), F.count_if(s < 0).alias("discordant"), F.count_if(s == 0).alias("tied")).crossJoin(top)
 
 
