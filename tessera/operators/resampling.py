@@ -55,7 +55,7 @@ def ridge_by_fold(df: DataFrame, fold: str, key: str, x: str, y: str, is_train:
         p = pdf.sort_values(key)
         tr, te = p[p[is_train]], p[~p[is_train]]
         if tr.empty or te.empty:
-            return pd.DataFrame({fold: p[fold][:0], key: p[key][:0], "prediction": []})
+            return pd.DataFrame({fold: p[fold][:0], key: p[key][:0], "prediction": pd.Series([], dtype=object)})
         mu, sd, b, ym = standardised_ridge(np.stack(tr[x].to_list()), np.stack(tr[y].to_list()), alpha)
         q = np.stack(te[x].to_list())
         uniq, back = np.unique(q, axis=0, return_inverse=True)
