@@ -43,6 +43,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def quoted(name: str) -> Column:
+    """A column by its exact name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def ascii_lower(col: Column) -> Column:
     """Lower-cases A-Z only."""
     return F.translate(col, UPPER, LOWER)
@@ -77,16 +82,15 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         if not mark.n or mark == seen:
             break
         seen = mark
-        both = cur.union(cur.select("v", "u"))
+        both = cur.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # every link now points from the larger to the smaller node
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         cur = checkpoint(small.select("e.u", "e.v").where("u <> v").distinct())
-    stars = cur.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component")
-    roots = stars.select(F.col("component").alias("node"), "component").distinct()
-    return stars.union(roots)
+    stars = cur.groupBy("u").agg(F.min("v").alias("component"))
+    return stars.select(F.inline(F.array(F.struct(F.col("u").alias("node"), "component"), F.struct(F.col("component").alias("node"), "component")))).distinct()
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

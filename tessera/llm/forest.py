@@ -4,7 +4,7 @@ Each tree splits recursively along random directions; points near a split go to
 are fitted to a bounded sample, every row is routed through every tree. Rows are compared exactly within leaves, leaf
 by leaf; a leaf with more rows than a block is compared block against block in tasks of their own, so no leaf is cut
 short and none lands in one task. A pair that shares several leaves counts in the first of them only, so neither pairs
-nor links are ever gathered: a leaf gives, per vector, how many links it has there, and its least linked vector.
+nor links are ever gathered: a leaf gives, per vector, how many links it has there, and the least vector reached.
 """
 
 from __future__ import annotations
@@ -102,7 +102,7 @@ def build(rows: DataFrame, trees: int = TREES, leaf_rows: int = LEAF_ROWS, seed:
     out: dict[int, list[Tree]] = {}
     for size in sorted({len(r.v) for r in sample}):
         points = np.array([r.v for r in sample if len(r.v) == size])
-        points /= np.linalg.norm(points / np.abs(points).max(1, keepdims=True), axis=1, keepdims=True) * np.abs(points).max(1, keepdims=True)
+        points = _unit(points)
         rng = np.random.default_rng([seed, size])
         out[size] = []
         for _ in range(trees):
@@ -113,6 +113,8 @@ def build(rows: DataFrame, trees: int = TREES, leaf_rows: int = LEAF_ROWS, seed:
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
+    if not len(v):
+        return v
     v = v / np.abs(v).max(1, keepdims=True)
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
@@ -128,7 +130,10 @@ def routed(rows: DataFrame, forest: dict[int, list[Tree]]) -> DataFrame:
             sizes = np.array([len(v) for v in lists], dtype=np.int64)
             for size in np.unique(sizes):
                 take = np.flatnonzero(sizes == size)
-                points = _unit(np.array([lists[i] for i in take], float).reshape(len(take), size))
+                raw = np.array([lists[i] for i in take], float).reshape(len(take), size)
+                points = _unit(raw)
+                short = raw.astype("<f4")
+                sent_as = short if (short == raw).all() else raw.astype("<f8")  # floats travel as floats, exactly
                 trees = sent.value.get(int(size), [Tree()])
                 parts = [route(t, points) for t in trees]
                 who = np.concatenate([r for r, _ in parts])
@@ -139,27 +144,51 @@ def routed(rows: DataFrame, forest: dict[int, list[Tree]]) -> DataFrame:
                 own = [leaf[a:z].astype("<i8").tobytes() for a, z in zip(starts, starts[1:], strict=False)]
                 at = pa.array(take[who])
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(2).take(at), pa.array(np.full(len(who), size, np.int32)), pa.array(leaf), b.column(0).take(at), pa.array([points[i].astype("<f8").tobytes() for i in who], pa.binary()), pa.array([own[i] for i in who], pa.binary())],
+                    [b.column(2).take(at), pa.array(np.full(len(who), size, np.int32)), pa.array(leaf), b.column(0).take(at), pa.array([sent_as[i].tobytes() for i in who], pa.binary()), pa.array([own[i] for i in who], pa.binary())],
                     names=["label", "size", "leaf", "id", "v", "leaves"],
                 )
 
     return rows.select("id", "v", "label").mapInArrow(run, f"label string, size int, leaf bigint, id {kind}, v binary, leaves binary")
 
 
+def decoded(column: pd.Series, size: int) -> np.ndarray:
+    """Vectors from their bytes; single or double precision shows in the length."""
+    if (column.str.len() == 4 * size).all():
+        return np.frombuffer(b"".join(column), "<f4").reshape(-1, size).astype(float)
+    return np.array([np.frombuffer(b, "<f4" if len(b) == 4 * size else "<f8").astype(float) for b in column]).reshape(-1, size)
+
+
 def _first_shared(a: np.ndarray, b: np.ndarray) -> int:
     both = np.intersect1d(a, b, assume_unique=True)
     return int(both[0])
 
 
+def unite(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Joins the sets of a[k] and b[k]; ``root`` leads each row straight to the least row of its set."""
+    while True:
+        x, y = root[a], root[b]
+        if (x == y).all():
+            return root
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while not ((up := root[root]) == root).all():
+            root = up
+
+
 def compare(pdf: pd.DataFrame, threshold: float = THRESHOLD) -> pd.DataFrame:
     """Links within one leaf (or between two of its blocks): per vector its links that no earlier leaf has seen, and
-    the least vector linked to it here."""
+    the least vector that links reach here, so that a leaf's rows grow with its vectors and not with its links."""
     one, two = pdf[pdf["side"] != 2], pdf[pdf["side"] != 1]
-    x, y = (np.frombuffer(b"".join(p["v"]), "<f8").reshape(len(p), -1) for p in (one, two))
+    x, y = (_unit(decoded(p["v"], int(pdf["size"].iloc[0]))) for p in (one, two))
     ids, others = one["id"].to_numpy(), two["id"].to_numpy()
     same = bool((pdf["side"] == 0).all())
     leaf, leaves_x, leaves_y = int(pdf["leaf"].iloc[0]), list(one["leaves"]), list(two["leaves"])
-    out: list[pd.DataFrame] = []
+    order = np.argsort(np.concatenate([ids, others]), kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))  # rows by id, so that a set's least row has its least id
+    left = rank[: len(ids)]
+    right = left if same else rank[len(ids) :]
+    root, links = np.arange(len(order)), np.zeros(len(order), np.int64)
+    linked = np.zeros(len(order), bool)
     step = max(1, 4_000_000 // max(1, len(two)))
     for at in range(0, len(one), step):
         i, j = np.nonzero(x[at : at + step] @ y.T >= threshold - CANDIDATE_SLACK)
@@ -172,11 +201,13 @@ def compare(pdf: pd.DataFrame, threshold: float = THRESHOLD) -> pd.DataFrame:
             a, b = a[ok], b[ok]
             keys = {p: _first_shared(np.frombuffer(p[0], "<i8"), np.frombuffer(p[1], "<i8")) == leaf for p in {(leaves_x[k], leaves_y[m]) for k, m in zip(a, b, strict=True)}}
             new = np.fromiter((keys[leaves_x[k], leaves_y[m]] for k, m in zip(a, b, strict=True)), bool, len(a)).astype(np.int64)
-            low = np.minimum(ids[a], others[b])
-            out.append(pd.DataFrame({"id": np.concatenate([ids[a], others[b]]), "links": np.tile(new, 2), "low": np.tile(low, 2)}))
-    if not out:
-        return pd.DataFrame({"id": ids[:0], "links": np.zeros(0, np.int64), "low": ids[:0]})
-    return pd.concat(out).groupby("id", as_index=False).agg(links=("links", "sum"), low=("low", "min"))
+            for rows in (left[a], right[b]):
+                linked[rows] = True
+                links += np.bincount(rows, new, len(order)).astype(np.int64)
+            root = unite(root, left[a], right[b])
+    got = np.flatnonzero(linked)
+    by_rank = np.concatenate([ids, others])[order]
+    return pd.DataFrame({"id": by_rank[got], "links": links[got], "low": by_rank[root[got]]})
 
 
 def leaf_links(leaves: DataFrame, threshold: float = THRESHOLD, block_rows: int = BLOCK_ROWS) -> DataFrame:

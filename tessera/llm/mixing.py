@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lookup_join, materialize, nullable_key
+from .common import lookup_join, materialize, nullable_key, quoted
 
 WEIGHTS = (5, 2, 1)
 #: A document is taken so many times at most.
@@ -55,7 +55,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
 
 def queued(docs: DataFrame, keep: tuple[str, ...] = (), weights: tuple[int, ...] = WEIGHTS, share: float = 1.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """Every row with its size, its source's size and target, and ``cum``, the words of its queue up to and with it."""
-    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size"), *[F.col(c).alias(f"_k_{c}") for c in keep])
+    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size"), *[quoted(c).alias(f"_k_{c}") for c in keep])
     key = F.concat_ws(":", F.coalesce(F.col("id").cast("string"), F.lit("")), F.col("size").cast("string"))
     rows = materialize(sized.withColumn("h", spread(key)), "mixing")
     sources = materialize(source_targets(rows, weights, share), "mixing-sources").withColumn("key", nullable_key(F.col("source"))).drop("source")
@@ -103,7 +103,7 @@ def last_taken(queue: DataFrame, budget: int) -> tuple[float, int]:
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0, keep: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per row of ``docs``: id, size, source_size, target, taken (words, repeats counted), kept columns.
+    """One row per row of ``docs``: id, size, source_size, target, taken (words, repeats counted), kept columns as ``_k_`` and their names.
 
     Null sources are a source of their own, the last. Texts without words take nothing. Repeated rows have places of
     their own; rows alike in id and size are interchangeable, so runs agree. An empty table gives none."""
@@ -113,11 +113,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0,
     place = lambda e: F.lit(e) * F.col("source_size") + F.col("cum")
     at = lambda e: place(e) / F.nullif(F.col("target"), F.lit(0.0))
     times = sum(((F.coalesce((at(e) < time) | ((at(e) == time) & (F.col("rank") <= rank)), F.lit(False)) & (place(e) - F.col("size") < 2 * F.col("target"))).cast("long") for e in range(MAX_REPEATS)), F.lit(0).cast("long"))
-    return queue.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * times).alias("taken"), *[F.col(f"_k_{c}").alias(c) for c in keep])
+    return queue.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * times).alias("taken"), *[quoted(f"_k_{c}") for c in keep])
 
 
 def mixed_rows(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is taken, with its columns."""
     rest = tuple(c for c in docs.columns if c != id_col)
     out = mix(docs, weights, share, rest, id_col, text_col, source_col).where("taken > 0")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), (F.col("taken") / F.col("size")).cast("int")))).select(*docs.columns)
+    copies = out.withColumn("__copy", F.explode(F.sequence(F.lit(1), (F.col("taken") / F.col("size")).cast("int"))))
+    return copies.select(*[quoted(c if c == id_col else f"_k_{c}").alias(c) for c in docs.columns])

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize
+from .common import connected_components, materialize, quoted
 
 SEED = 42
 BLOCK = 1 << 15
@@ -94,8 +94,8 @@ def links(fps: DataFrame, distance: int = 3) -> DataFrame:
     x = F.col("src").bitwiseXOR(F.col("dst"))
     first = F.bit_count(_half(x, 0).bitwiseAND(F.lit(0x7FFFFFFF)))
     pairs = homes.withColumnRenamed("fp", "src").join(replicas.withColumnRenamed("fp", "dst"), "anchor").where("src < dst")
-    # a pair that the first half finds is not taken again from the second
-    return pairs.where((F.bit_count(x) <= distance) & ((F.col("anchor") < F.lit(1 << 31)) | (first > 1))).select("src", "dst")
+    # a pair is taken from the first half if that agrees up to 1 bit, else from the second, so from one of them only
+    return pairs.where((F.bit_count(x) <= distance) & ((F.col("anchor") < F.lit(1 << 31)) == (first <= 1))).select("src", "dst")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 3) -> DataFrame:
@@ -121,4 +121,4 @@ def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str
     named = docs.where(F.col(id_col).isNotNull())
     found = near_duplicates(named, id_col, text_col, distance).where(F.col(id_col) == F.col("component_id"))
     kept = named.join(found.select(id_col).distinct(), id_col, "left_semi").dropDuplicates([id_col, text_col])
-    return kept.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+    return kept.select(*map(quoted, docs.columns)).unionByName(docs.where(F.col(id_col).isNull()))

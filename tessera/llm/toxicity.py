@@ -15,8 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import fit_logistic, materialize, sigmoid
+from .common import fit_logistic, materialize, quoted, sigmoid
 from .gam import labelled_sample
 
 #: The chain's order. The labels hold one overall mark; the narrower categories are its parts by language.
@@ -28,7 +29,11 @@ MIN_COUNT = 3
 L2 = 0.05
 #: A feature is of use if toxic documents have it so many times as often as others.
 LIFT = 2.0
+#: A feature counts in full from so many toxic rows on, in proportion below: rare ones are often chance.
+FULL_EVIDENCE = 20
 FOLDS = 3
+#: The decision point is moved by out-of-fold results, but not below this probability.
+LEAST_POINT = 0.2
 THRESHOLD = 0.5
 PREFIXES = (4, 5)
 _WORD = re.compile(r"[^\W\d_]+")
@@ -57,12 +62,16 @@ class Chain:
         return out
 
 
-def _fit(rows: np.ndarray, cols: np.ndarray, prior: np.ndarray, k: int, y: np.ndarray, take: np.ndarray) -> np.ndarray:
+def _fit(rows: np.ndarray, cols: np.ndarray, scale: np.ndarray, prior: np.ndarray, k: int, y: np.ndarray, take: np.ndarray) -> np.ndarray:
     n, j = prior.shape
+    if not take.any():  # nothing is known: nothing is toxic
+        return np.append(np.zeros(k + j), -10.0)
     new = np.cumsum(take) - 1
     m = take[rows]
     r, c = np.nonzero(np.ones((int(take.sum()), j)))
-    return fit_logistic(np.concatenate([new[rows[m]], r]), np.concatenate([cols[m], k + c]), np.concatenate([np.ones(m.sum()), prior[take][r, c]]), int(take.sum()), k + j, y[take].astype(float), l2=L2)
+    w = fit_logistic(np.concatenate([new[rows[m]], r]), np.concatenate([cols[m], k + c]), np.concatenate([scale[cols[m]], prior[take][r, c]]), int(take.sum()), k + j, y[take].astype(float), l2=L2)
+    w[:k] *= scale
+    return w
 
 
 def _predict(rows: np.ndarray, cols: np.ndarray, prior: np.ndarray, k: int, w: np.ndarray) -> np.ndarray:
@@ -72,7 +81,7 @@ def _predict(rows: np.ndarray, cols: np.ndarray, prior: np.ndarray, k: int, w: n
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", chain: tuple[str, ...] = CHAIN, limit: int = MAX_TRAIN, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Chain:
     """Fits the chain on a bounded sample of rows that aren't held out. A category ``label_x`` is the label's part in
-    language x; the last of the chain is the label itself. Without labels every probability is the smoothed prior."""
+    language x; the last of the chain is the label itself. Without labels every probability is next to none."""
     sample = labelled_sample(labels, label, limit, id_col)
     joined = docs.select(id_col, F.col(text_col).alias("_t"), F.coalesce(F.col(lang_col), F.lit("")).alias("_l")).join(F.broadcast(sample), id_col)
 
@@ -89,7 +98,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", chain: tuple
     lift = (toxic + F.lit(0.5 / p)) / (clean + F.lit(0.5 / p))
     counts = counts.where(lift >= LIFT)
     gain = (toxic - clean) * F.log(lift)
-    index = {r.f: i for i, r in enumerate(counts.orderBy(gain.desc(), "f").limit(MAX_FEATURES).collect())}
+    chosen = counts.orderBy(gain.desc(), "f").limit(MAX_FEATURES).collect()
+    index = {r.f: i for i, r in enumerate(chosen)}
+    scale = np.minimum(1.0, np.array([r.c1 for r in chosen], float) / FULL_EVIDENCE)
     data = sorted(seen.select("id", "y", "lang", _hits_udf(seen, index)).collect(), key=lambda r: (r.id, r.y, r.lang, r.hits))
     y = np.array([r.y for r in data], dtype=int)
     lang = np.array([r.lang for r in data], dtype=object)
@@ -102,13 +113,28 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", chain: tuple
         target = y if name == label else y * (lang == part).astype(int)
         apart = np.zeros(len(data))
         for i in range(FOLDS):
-            w = _fit(rows, cols, prior, k, target, fold != i)
+            w = _fit(rows, cols, scale, prior, k, target, fold != i)
             apart[fold == i] = _predict(rows, cols, prior, k, w)[fold == i]
-        weights.append(_fit(rows, cols, prior, k, target, np.ones(len(data), bool)))
+        weights.append(_fit(rows, cols, scale, prior, k, target, np.ones(len(data), bool)))
         prior = np.column_stack([prior, apart])
+    if len(data) and 0 < y.sum() < len(y):
+        at = decision_point(prior[:, -1], y)
+        weights[-1][-1] -= np.log(at / (1 - at))
     return Chain(tuple(chain), index, weights)
 
 
+def decision_point(p: np.ndarray, y: np.ndarray) -> float:
+    """The probability that parts out-of-fold rows with the best F1 (midway, in log odds, if a stretch does), at least
+    LEAST_POINT and at most one half."""
+    order = np.argsort(-p, kind="stable")
+    q, hits = p[order], np.cumsum(y[order])
+    f1 = 2 * hits / (np.arange(1, len(q) + 1) + y.sum())
+    last = int(np.flatnonzero(f1 == f1.max())[-1])
+    low = q[last + 1] if last + 1 < len(q) else q[last] / 2
+    logit = lambda v: np.log(np.clip(v, 1e-9, 1 - 1e-9) / (1 - np.clip(v, 1e-9, 1 - 1e-9)))
+    return float(np.clip(sigmoid((logit(q[last]) + logit(low)) / 2), LEAST_POINT, 0.5))
+
+
 def _hits_udf(seen: DataFrame, index: dict[str, int]) -> F.Column:
     sent = seen.sparkSession.sparkContext.broadcast(index)
 
@@ -123,7 +149,7 @@ def score(docs: DataFrame, model: Chain, id_col: str = "doc_id", text_col: str =
     """(columns ``keep``, id, a probability per category) of every row, over whole texts."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     cols = [*keep, id_col]
-    names = [f"p_{c}" for c in model.names]
+    names = [f"__p_{c}" for c in model.names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -131,8 +157,8 @@ def score(docs: DataFrame, model: Chain, id_col: str = "doc_id", text_col: str =
             p = sent.value.score([[index[t] for t in tokens(x.as_py()) if t in index] for x in b.column(b.num_columns - 1)])
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(p[:, j]) for j in range(p.shape[1]))], names=[*b.schema.names[:-1], *names])
 
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in cols)
-    return docs.select(*cols, F.col(text_col).alias("_scored_text")).mapInArrow(run, f"{schema}, " + ", ".join(f"{c} double" for c in names))
+    schema = T.StructType([*(docs.schema[c] for c in cols), *(T.StructField(c, T.DoubleType()) for c in names)])
+    return docs.select(*map(quoted, cols), quoted(text_col).alias("__scored_text")).mapInArrow(run, schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -140,11 +166,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     Null and empty texts have no features; repeated rows each come back; an empty table gives none."""
     scored = score(docs, train(docs, labels, id_col=id_col, text_col=text_col), id_col, text_col)
-    return scored.select(id_col, (F.col(f"p_{CHAIN[-1]}") >= THRESHOLD).alias("toxic"), *(F.round(f"p_{c}", 6).alias(f"p_{c}") for c in CHAIN))
+    return scored.select(id_col, (F.col(f"__p_{CHAIN[-1]}") >= THRESHOLD).alias("toxic"), *(F.round(f"__p_{c}", 6).alias(f"p_{c}") for c in CHAIN))
 
 
 def keep_civil(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that the chain doesn't call toxic, with their columns."""
     cols = tuple(c for c in docs.columns if c != id_col)
     scored = score(docs, train(docs, labels, id_col=id_col, text_col=text_col), id_col, text_col, cols)
-    return scored.where(F.col(f"p_{CHAIN[-1]}") < THRESHOLD).select(*docs.columns)
+    return scored.where(F.col(f"__p_{CHAIN[-1]}") < THRESHOLD).select(*map(quoted, docs.columns))
