@@ -122,3 +122,22 @@ def mixed_rows(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
     out = mix(docs, weights, share, rest, id_col, text_col, source_col).where("taken > 0")
     copies = out.withColumn("__copy", F.explode(F.sequence(F.lit(1), (F.col("taken") / F.col("size")).cast("int"))))
     return copies.select(*[quoted(c if c == id_col else f"_k_{c}").alias(c) for c in docs.columns])
+
+
+ORACLE_SQL = r"""
+with d as (select row_number() over () as row, doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size from documents),
+s0 as (select source, sum(size)::bigint as ss from d group by source),
+s1 as (select *, row_number() over (order by source nulls last) - 1 as rank from s0),
+s2 as (select *, [5.0, 2.0, 1.0][(rank % 3 + 1)::int]::double as w, (3 * ss)::double as cap from s1),
+s3 as (select *, (sum(ss) over ()::double - coalesce(sum(cap) over (order by cap / w, rank rows between unbounded preceding and 1 preceding), 0.0))
+  / sum(w) over (order by cap / w, rank rows between current row and unbounded following) as level from s2),
+s4 as (select *, cap <= level * w as capped from s3),
+f as (select level from s4 where not capped order by cap / w, rank limit 1),
+s as (select source, ss, rank, case when capped then cap else least(cap, (select level from f) * w) end as target from s4),
+q as (select d.*, ss, rank, target, sum(size) over (partition by rank order by ('0x' || substr(md5(coalesce(doc_id::varchar, '') || ':' || size), 1, 15))::bigint, doc_id nulls first, size
+  rows unbounded preceding) as cum from d join s on d.source is not distinct from s.source),
+e as (select row, size, rank, (e * ss + cum) as place, (e * ss + cum) / target as time, target from q, range(0, 3) r(e) where size > 0 and target > 0),
+t as (select row, size, sum(size) over (order by time, rank rows unbounded preceding) as run from e where place - size < 2 * target),
+k as (select row, count(*) as n from t where run <= (select sum(size) from d) group by row)
+select doc_id, size, ss as source_size, target, (size * coalesce(n, 0))::bigint as taken from q left join k on q.row = k.row
+"""

@@ -75,4 +75,4 @@ QUERIES: dict[str, Query] = {
 }
 
 #: Only what SQL can express over whole tables; the others are tested against brute force or held-out rows.
-ORACLE_SQL: dict[str, str] = {"op2_host_rules": hostrules.ORACLE_SQL, "op7_embedding_near_dedup": forest.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_host_rules": hostrules.ORACLE_SQL, "op7_embedding_near_dedup": forest.ORACLE_SQL, "op10_mixing": mixing.ORACLE_SQL}

@@ -429,6 +429,10 @@ def test_mixing_targets_and_budget(spark):
     assert {(r.doc_id, r.taken) for r in again} == {(r.doc_id, r.taken) for r in got}
 
 
+def test_mixing_agrees_with_sql(spark):
+    assert compare(mixing.mix(table(spark, "documents")), connect(SF), mixing.ORACLE_SQL) == ""
+
+
 def test_mixed_rows(odd, no_docs):
     got, rows = mixing.mix(odd), mixing.mixed_rows(odd)
     assert rows.columns == odd.columns and got.count() == odd.count()
