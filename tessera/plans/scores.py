@@ -269,7 +269,7 @@ def m26(t: Tables) -> DataFrame:
     return met.expected_ndcg(met.both_ways(p, "label"), "truth", "score", 10, "label", "q").groupBy("label").agg(r6(F.avg("excess")).alias("backward"))
 
 
-@query("m27_residual_correlation", f"with {PRED}, m as (select feature, avg(truth) as mt, avg(pred) as mp from pr group by 1), q as (select entity, truth - mt as truth, round(pred - mp, 6) as pred from pr join m using (feature)), pr2 as (select * from q), r as ({rank_sql('entity').replace('from pr', 'from pr2')}) select k as entity, round(corr(rt, rp), 6) + 0.0 as rho from r group by 1")
+@query("m27_residual_correlation", f"with {PRED}, m as (select feature, avg(truth) as mt, avg(pred) as mp from pr group by 1), q as (select entity, truth - mt as truth, round(pred - mp, 6) as pred from pr join m using (feature)), pr2 as (select * from q), r as ({rank_sql('entity').replace('from pr', 'from pr2')}) select k as entity, case when max(truth) - min(truth) > 1e-12 and max(pred) - min(pred) > 1e-12 then round(corr(rt, rp), 6) + 0.0 end as rho from r group by 1")
 def m27(t: Tables) -> DataFrame:
     w = Window.partitionBy("feature")
     q = predictions(t).select("entity", (F.col("truth") - F.avg("truth").over(w)).alias("truth"), F.round(F.col("pred") - F.avg("pred").over(w), 6).alias("pred"))
