@@ -438,3 +438,14 @@ def test_mixed_rows(odd, no_docs):
     assert rows.columns == odd.columns and got.count() == odd.count()
     want = got.where("taken > 0").agg(F.sum(F.col("taken") / F.col("size"))).first()[0]
     assert rows.count() == want and mixing.mix(no_docs).count() == 0 and mixing.mixed_rows(no_docs).count() == 0
+
+
+# shared
+
+
+def test_lookup_join_beyond_the_broadcast_bound(spark):
+    left = spark.range(200).selectExpr("id", "id % 3 as k")
+    right = spark.createDataFrame([(0, "a"), (1, "b")], "k bigint, v string")
+    for limit in (10, 1):
+        got = common.lookup_join(left, right, "k", limit=limit)
+        assert sorted(got.columns) == ["id", "k", "v"] and got.count() == 200 and got.where("v is null").count() == 66
