@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
@@ -135,3 +137,28 @@ def s16(t: Tables) -> DataFrame:
 @query("s17_value_sample", "select event_id, value from events where ('0x' || substr(sha256('3|' || event_id), 1, 8))::bigint < (0.1 * 4294967296)::bigint")
 def s17(t: Tables) -> DataFrame:
     return src.sample_by_hash(t.events.select("event_id", "value"), 3, "event_id", 0.1)
+
+
+@query("s15_verified_file", "select 'pinned' as file, true as ok union all select 'changed', false")
+def s15(t: Tables) -> DataFrame:
+    rows = []
+    with tempfile.TemporaryDirectory() as d:  # read again by this process only
+        path = os.path.join(d, "x")
+        for name, data in (("pinned", b"one"), ("changed", b"two")):
+            with open(path, "wb") as f:
+                f.write(data)
+            try:
+                rows.append((name, src.verified(path, hashlib.sha256(b"one").hexdigest()) == path))
+            except ValueError:
+                rows.append((name, False))
+    return t.spark.createDataFrame(rows, "file string, ok boolean")
+
+
+@query("s18_package", "select 'nation.csv' as name, 25::bigint as n_lines union all select 'region.csv', 5")
+def s18(t: Tables) -> DataFrame:
+    small = {"nation.csv": t.nation.orderBy("n_nationkey"), "region.csv": t.region.orderBy("r_regionkey")}  # published result tables
+    with tempfile.TemporaryDirectory() as d:
+        path = os.path.join(d, "results.zip")
+        src.pack({k: "\n".join(",".join(map(str, r)) for r in df.collect()).encode() for k, df in small.items()}, path)
+        rows = [(k, len(v.split(b"\n"))) for k, v in src.unpack_verified(path).items()]
+    return t.spark.createDataFrame(rows, "name string, n_lines bigint")

@@ -6,6 +6,7 @@ import hashlib
 import json
 import os
 import re
+import zipfile
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -112,3 +113,34 @@ def file_digest(path: str) -> str:
         while part := f.read(1 << 20):
             h.update(part)
     return h.hexdigest()
+
+
+def verified(path: str, digest: str) -> str:
+    """The path of a file whose SHA-256 is pinned; an error names what was found otherwise. Nothing is downloaded."""
+    found = file_digest(path)
+    if found != digest:
+        raise ValueError(f"{path}: expected {digest}, found {found}")
+    return path
+
+
+def pack(files: dict[str, bytes], out: str) -> list[tuple[str, int, str]]:
+    """Zips small result files with a manifest (name, bytes, SHA-256) and returns it; refuses to overwrite.
+
+    Entries are sorted and have a fixed date, so equal files give an equal package."""
+    manifest = [(name, len(data), hashlib.sha256(data).hexdigest()) for name, data in sorted(files.items())]
+    with zipfile.ZipFile(out, "x", zipfile.ZIP_DEFLATED) as z:
+        for name, data in [*sorted(files.items()), ("MANIFEST.json", json.dumps(manifest).encode())]:
+            z.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), data)
+    return manifest
+
+
+def unpack_verified(path: str) -> dict[str, bytes]:
+    """The files of a package, each checked against its manifest."""
+    with zipfile.ZipFile(path) as z:
+        out = {}
+        for name, size, digest in json.loads(z.read("MANIFEST.json")):
+            data = z.read(name)
+            if len(data) != size or hashlib.sha256(data).hexdigest() != digest:
+                raise ValueError(f"{name} differs from the manifest")
+            out[name] = data
+        return out
