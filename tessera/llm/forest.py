@@ -29,6 +29,10 @@ MAX_DEPTH = 24
 SPILL = 0.25
 #: The splits are fitted to at most so many vectors (of the least hashes of their ids).
 SAMPLE = 20_000
+#: ... and so many numbers, which bounds what the driver holds for wide vectors.
+SAMPLE_VALUES = 4_000_000
+#: Numbers of routed copies that a Python worker holds at once.
+ROUTED_VALUES = 8_000_000
 #: Leaves with more rows are compared in blocks of so many.
 BLOCK_ROWS = 2_048
 #: Cosines of different summation orders may differ in the last digits; links are decided by one fixed expression.
@@ -96,9 +100,10 @@ def _sound(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) ->
 
 def build(rows: DataFrame, trees: int = TREES, leaf_rows: int = LEAF_ROWS, seed: int = 7) -> dict[int, list[Tree]]:
     """A forest for each length of vectors, deep enough for the largest label."""
-    sample = rows.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
-    most = rows.groupBy("label").count().agg(F.max("count")).first()[0] or 1
-    depth = int(min(MAX_DEPTH, max(0, np.ceil(np.log2(most / leaf_rows)))))
+    per = rows.groupBy("label").agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width"))
+    top = per.agg(F.coalesce(F.max("n"), F.lit(1)).alias("n"), F.coalesce(F.max("width"), F.lit(1)).alias("width")).first()
+    sample = rows.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(max(500, min(SAMPLE, SAMPLE_VALUES // top.width))).collect()
+    depth = int(min(MAX_DEPTH, max(0, np.ceil(np.log2(top.n / leaf_rows)))))
     out: dict[int, list[Tree]] = {}
     for size in sorted({len(r.v) for r in sample}):
         points = np.array([r.v for r in sample if len(r.v) == size])
@@ -124,29 +129,34 @@ def routed(rows: DataFrame, forest: dict[int, list[Tree]]) -> DataFrame:
     sent = rows.sparkSession.sparkContext.broadcast(forest)
     kind = rows.schema["id"].dataType.simpleString()
 
+    def part(b: pa.RecordBatch, lists: list, take: np.ndarray, size: int, trees: list[Tree]) -> pa.RecordBatch:
+        raw = np.array([lists[i] for i in take], float).reshape(len(take), size)
+        points = _unit(raw)
+        short = raw.astype("<f4")
+        sent_as = short if (short == raw).all() else raw.astype("<f8")  # floats travel as floats, exactly
+        parts = [route(t, points) for t in trees]
+        who = np.concatenate([r for r, _ in parts])
+        leaf = np.concatenate([np.int64(k << 32) + lf for k, (_, lf) in enumerate(parts)])
+        order = np.lexsort((leaf, who))
+        who, leaf = who[order], leaf[order]
+        starts = np.searchsorted(who, np.arange(len(take) + 1))
+        own = [leaf[a:z].astype("<i8").tobytes() for a, z in zip(starts, starts[1:], strict=False)]
+        at = pa.array(take[who])
+        return pa.RecordBatch.from_arrays(
+            [b.column(2).take(at), pa.array(np.full(len(who), size, np.int32)), pa.array(leaf), b.column(0).take(at), pa.array([sent_as[i].tobytes() for i in who], pa.binary()), pa.array([own[i] for i in who], pa.binary())],
+            names=["label", "size", "leaf", "id", "v", "leaves"],
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lists = b.column(1).to_pylist()
             sizes = np.array([len(v) for v in lists], dtype=np.int64)
             for size in np.unique(sizes):
-                take = np.flatnonzero(sizes == size)
-                raw = np.array([lists[i] for i in take], float).reshape(len(take), size)
-                points = _unit(raw)
-                short = raw.astype("<f4")
-                sent_as = short if (short == raw).all() else raw.astype("<f8")  # floats travel as floats, exactly
                 trees = sent.value.get(int(size), [Tree()])
-                parts = [route(t, points) for t in trees]
-                who = np.concatenate([r for r, _ in parts])
-                leaf = np.concatenate([np.int64(k << 32) + lf for k, (_, lf) in enumerate(parts)])
-                order = np.lexsort((leaf, who))
-                who, leaf = who[order], leaf[order]
-                starts = np.searchsorted(who, np.arange(len(take) + 1))
-                own = [leaf[a:z].astype("<i8").tobytes() for a, z in zip(starts, starts[1:], strict=False)]
-                at = pa.array(take[who])
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(2).take(at), pa.array(np.full(len(who), size, np.int32)), pa.array(leaf), b.column(0).take(at), pa.array([sent_as[i].tobytes() for i in who], pa.binary()), pa.array([own[i] for i in who], pa.binary())],
-                    names=["label", "size", "leaf", "id", "v", "leaves"],
-                )
+                same = np.flatnonzero(sizes == size)
+                step = max(16, ROUTED_VALUES // (int(size) * len(trees)))
+                for lo in range(0, len(same), step):
+                    yield part(b, lists, same[lo : lo + step], int(size), trees)
 
     return rows.select("id", "v", "label").mapInArrow(run, f"label string, size int, leaf bigint, id {kind}, v binary, leaves binary")
 
