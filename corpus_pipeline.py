@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, gam, mixing, simhash, toxicity
+from tessera.llm import bpe, gam, mixing, shingles, toxicity
 from tessera.llm.common import materialize
 from tessera.llm.queries import table, tokenizer
 
@@ -25,8 +25,8 @@ def civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return simhash.keep_representatives(docs)
+    """One document of each group of near-duplicates: word shingles of five words, similarity 0.8 or more."""
+    return shingles.keep_representatives(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
