@@ -50,11 +50,11 @@ FEATURES = ("tag", "is_p", "is_heading", "depth", *(f"own_{k}" for k in KINDS),
 
 
 class Node:
-    __slots__ = ("tag", "parent", "depth", "kinds", "hidden", "chars", "linked", "tags", "paragraphs", "stops", "controls", "items", "start", "children", "below")
+    __slots__ = ("tag", "parent", "depth", "kinds", "hidden", "chars", "linked", "tags", "paragraphs", "stops", "controls", "items", "start", "children", "below", "place")
 
     def __init__(self, tag: str, parent: int, depth: int, kinds: int, hidden: bool, start: int) -> None:
         self.tag, self.parent, self.depth, self.kinds, self.hidden, self.start = tag, parent, depth, kinds, hidden, start
-        self.chars = self.linked = self.tags = self.paragraphs = self.stops = self.controls = self.items = self.below = 0
+        self.chars = self.linked = self.tags = self.paragraphs = self.stops = self.controls = self.items = self.below = self.place = 0
         self.children: list[int] = []
 
 
@@ -185,6 +185,7 @@ def parse(source: str | None) -> tuple[list[Node], list[tuple[int, str]]]:
                             pop()
             kinds, hidden = _attributes(source[m.end() : gt if gt >= 0 else end])
             node = Node(name, stack[-1], len(stack), kinds, hidden, seen)
+            node.place = len(cur.children)
             cur.children.append(len(nodes))
             stack.append(len(nodes))
             nodes.append(node)
@@ -224,7 +225,7 @@ def node_features(nodes: list[Node]) -> np.ndarray:
             above[i] = above[n.parent] | p.kinds
             inside[i] = inside[n.parent] or p.tag in ("article", "main")
             bad[i] = bad[n.parent] + (TAGS.get(p.tag, 3) in (8, 9, 10, 11, 12)) + p.hidden
-            siblings, place, of = len(p.children), p.children.index(i) if len(p.children) < 64 else 0, n.chars / max(1, p.chars)
+            siblings, place, of = len(p.children), n.place, n.chars / max(1, p.chars)
         else:
             siblings, place, of = 1, 0, 1.0
         own[i], over[i], held[i] = n.kinds, above[i], n.below

@@ -229,6 +229,13 @@ def test_main_text():
     assert text == "A & B\nFirst paragraph of the text, long enough to be read by somebody.\nSecond one — also of some length, it says.\nan item of a list\nanother item there"
 
 
+def test_places_at_every_width():
+    at = dom.FEATURES.index("place")
+    for n in (3, 63, 64, 200):
+        nodes, _ = dom.parse("<body>" + "<p>some words</p>" * n)
+        assert dom.node_features(nodes)[2:, at] == pytest.approx(np.arange(n) / n)
+
+
 def test_pages(spark):
     import html
     import re
