@@ -12,7 +12,7 @@ import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +42,9 @@ TOKENS = {
 }
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
-_ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style|aria-label)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+#: The end of a start tag, or an attribute's name and its value (quoted by ", by ', or bare); never goes back.
+_ATTR = re.compile(r"""[\s/]*+(?:(>)|(=?[^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)(?:"|\Z)|'([^']*+)(?:'|\Z)|([^\s>]*+)))?+)""")
+_USED = frozenset("class id role hidden aria-hidden style aria-label".split())
 _NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
 TAGS = {"body": 0, "html": 0, "main": 1, "article": 1, "p": 2, "div": 3, "section": 3, "li": 4, "ul": 4, "ol": 4, "dl": 4, "td": 5, "tr": 5, "table": 5, "tbody": 5, "blockquote": 2, "pre": 2, "h1": 6, "h2": 6, "h3": 6, "h4": 6, "h5": 6, "h6": 6, "header": 7, "hgroup": 7, "nav": 8, "menu": 8, "footer": 9, "aside": 10, "form": 11, "fieldset": 11, "search": 11, "dialog": 12, "figure": 13, "figcaption": 13}
 KINDS = tuple(TOKENS)
@@ -63,12 +65,29 @@ def _word_kinds() -> dict[str, int]:
     return {w: sum(1 << i for i, k in enumerate(KINDS) if w in TOKENS[k]) for ws in TOKENS.values() for w in ws}
 
 
-@cache
-def _attributes(source: str) -> tuple[int, bool]:
+def _start_tag(source: str, at: int) -> tuple[int, tuple[tuple[str, str], ...]]:
+    """End of the tag whose name ends at ``at`` (the source's if it never ends) and its attributes in use, read whole;
+    of repeated attributes the first counts."""
+    gt = source.find(">", at)
+    if gt <= at:
+        return (gt + 1, ()) if gt == at else (len(source), ())
+    found: dict[str, str] = {}
+    while at < len(source):
+        m = _ATTR.match(source, at)
+        at = m.end()
+        if m[1]:
+            break
+        name = m[2].lower()
+        if name in _USED:
+            found.setdefault(name, m[3] or m[4] or m[5] or "")
+    return at, tuple(found.items())
+
+
+@lru_cache(maxsize=1 << 14)
+def _attributes(found: tuple[tuple[str, str], ...]) -> tuple[int, bool]:
     """Kinds of tokens (as bits) in class, id, role; whether the element is hidden."""
     kinds, hidden = 0, False
-    for m in _ATTR.finditer(source[:4000]):
-        name, value = m[1].lower(), (m[2] or "").strip("\"'")
+    for name, value in found:
         if name in ("class", "id", "role", "aria-label"):
             for w in _SPLIT.split(_CAMEL.sub("-", value).lower()):
                 kinds |= _word_kinds().get(w, 0)
@@ -131,12 +150,7 @@ def parse(source: str | None) -> tuple[list[Node], list[tuple[int, str]]]:
                     run.append("<")
                 at = lt + 1
             continue
-        gt = source.find(">", m.end())
-        for _ in range(8):  # a > within quotes
-            if gt < 0 or (source.count('"', m.end(), gt) % 2 == 0 and (source.count("'", m.end(), gt) % 2 == 0 or '"' in source[m.end() : gt])):
-                break
-            gt = source.find(">", gt + 1)
-        at = end if gt < 0 else gt + 1
+        at, found = _start_tag(source, m.end())
         name, closing = m[1].lower(), source[lt + 1] == "/"
         if skip:
             if (closing and name == skip) or (not closing and name in BLOCKS and (skip != "head" or name != "html")):
@@ -183,7 +197,7 @@ def parse(source: str | None) -> tuple[list[Node], list[tuple[int, str]]]:
                     if tag in same:
                         while len(stack) > depth:
                             pop()
-            kinds, hidden = _attributes(source[m.end() : gt if gt >= 0 else end])
+            kinds, hidden = _attributes(found)
             node = Node(name, stack[-1], len(stack), kinds, hidden, seen)
             node.place = len(cur.children)
             cur.children.append(len(nodes))

@@ -236,6 +236,15 @@ def test_places_at_every_width():
         assert dom.node_features(nodes)[2:, at] == pytest.approx(np.arange(n) / n)
 
 
+def test_start_tags_are_read_whole():
+    filler = f'data-x="{"y" * 9000}"'
+    nodes, blocks = dom.parse(f"""<div {filler} class="comments" hidden>a</div><p title="{"> " * 40}" id='ad'>b</p><p title=it's class=ad>c</p><p data-class="ad" title="class='ad' hidden">d</p>""")
+    ad, talk = 1 << dom.KINDS.index("ad"), 1 << dom.KINDS.index("talk")
+    assert [(n.kinds, n.hidden) for n in nodes[1:]] == [(talk, True), (ad, False), (ad, False), (0, False)]
+    assert [t for _, t in blocks] == ["a", "b", "c", "d"]
+    assert dom.parse("<p " + "x " * 200_000 + "=" * 200_000)[1] == [] == dom.parse('<p a="' + "> " * 200_000)[1]
+
+
 def test_pages(spark):
     import html
     import re
