@@ -1,8 +1,10 @@
 """URL filters: path rules first, then link-graph propagation over hosts.
 
 Trust flows from trusted seed hosts along links, distrust from blocked seed hosts against them, both as personalised
-PageRank with teleport weight 1 - damping at each seed. A host whose distrust reaches the threshold and exceeds its
-trust is blocked. Scores aren't divided by the number of hosts, so the threshold means the same at every size.
+PageRank with teleport weight 1 - damping at each seed. Distrust shares a seed's weight out over all who link to it, so
+the verdict is by exposure instead: the discounted probability that a walk along a host's own links comes to a blocked
+seed (1 at a seed). It doesn't depend on how many others link to the seed. A host whose exposure reaches the threshold's
+share of a seed's own weight and exceeds its trust is blocked.
 """
 
 from __future__ import annotations
@@ -73,15 +75,19 @@ def seeds(hosts: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, wor
 
 
 def propagate(edges: DataFrame, seeded: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE, rounds: int = MAX_ROUNDS) -> DataFrame:
-    """(kind, host, score) by power iteration of both walks at once; what reaches a host without onward links ends there.
+    """(kind, host, score) by power iteration of all walks (trust, distrust, exposure) at once; what reaches a host without onward links ends there.
 
     A round is one join of the edges with the scores and one sum per host, checkpointed; it ends when no score moves by
     more than ``tolerance``."""
-    forward = edges.select(F.lit("trust").alias("kind"), "src", "dst", "n")
-    both = forward.union(edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
-    out = both.groupBy("kind", "src").agg(F.sum("n").alias("all"))
-    steps = materialize(both.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("n") / F.col("all") * damping).alias("p")), "urlgraph-steps")
-    base = (1 - damping) * F.col("seed")
+    ends = seeded.where("kind = 'distrust' and seed > 0").select(F.col("host").alias("dst"))
+    share = lambda rows, by: rows.join(rows.groupBy(by).agg(F.sum("n").alias("all")), by).select("src", "dst", (F.col("n") / F.col("all") * damping).alias("p"))
+    along = share(edges, "src")
+    against = share(edges, "dst").select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "p")
+    exposed = along.select(F.lit("exposure").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "p").join(ends, "dst", "left_anti")  # the walk ends at a seed
+    steps = along.select(F.lit("trust").alias("kind"), "src", "dst", "p").union(against).union(exposed.select("kind", "src", "dst", "p"))
+    steps = materialize(steps, "urlgraph-steps")
+    seeded = seeded.union(seeded.where("kind = 'distrust'").select(F.lit("exposure").alias("kind"), "host", "seed"))
+    base = F.when(F.col("kind") == "exposure", F.col("seed")).otherwise((1 - damping) * F.col("seed"))
     scores = checkpoint(seeded.select("kind", "host", "seed", base.alias("score")))
     if steps.isEmpty():
         return scores.select("kind", "host", "score")
@@ -101,8 +107,8 @@ def host_verdicts(rows: DataFrame, rules: tuple[tuple[str, str, str], ...] = RUL
     edges = materialize(host_edges(rows), "urlgraph-edges")
     hosts = rows.select("host").union(edges.select(F.col("dst"))).where("host <> ''").distinct()
     scores = propagate(edges, seeds(hosts, rules, words))
-    wide = scores.groupBy("host").agg(F.max(F.when(F.col("kind") == "trust", F.col("score"))).alias("trust"), F.max(F.when(F.col("kind") == "distrust", F.col("score"))).alias("distrust"))
-    bad = (F.round("distrust", 9) >= round(threshold, 9)) & (F.col("distrust") > F.col("trust"))
+    wide = scores.groupBy("host").agg(*[F.max(F.when(F.col("kind") == k, F.col("score"))).alias(k) for k in ("trust", "distrust", "exposure")])
+    bad = (F.round("exposure", 9) >= round(threshold / (1 - DAMPING), 9)) & (F.col("exposure") > F.col("trust"))
     return wide.select("host", F.round("trust", 6).alias("trust"), F.round("distrust", 6).alias("distrust"), F.when(bad, "block").otherwise("allow").alias("host_verdict"))
 
 

@@ -313,6 +313,15 @@ def test_distrust_reaches_those_who_link_to_blocked_hosts(spark):
     assert got["farm.com"].host_verdict == "block" and got["casino.com"].host_verdict == "block"
 
 
+def test_a_farm_of_any_size_is_blocked(spark):
+    link = lambda *hs: "".join(f'<a href="http://{h}/1">l</a>' for h in hs)
+    for n in (1, 2, 300):
+        pages = [(f"http://farm{i}.com/", link("casino.com")) for i in range(n)] + [("http://mixed.com/", link("casino.com", "a.com", "b.com", "c.com"))]
+        rows = urlgraph.parsed(spark.createDataFrame([(i, *p) for i, p in enumerate(pages)], "page_id int, url string, html string"))
+        got = {r.host: r.host_verdict for r in urlgraph.host_verdicts(rows).collect()}
+        assert {h for h, v in got.items() if v == "block"} == {"casino.com", *(f"farm{i}.com" for i in range(n))}
+
+
 def test_odd_urls(spark):
     df = spark.createDataFrame([(1, "http://a.com/", "<a href='//b.com'>", "x")] * 2 + [(None, None, None, None)], "page_id int, url string, html string, host string")
     assert urlgraph.url_filter(df).count() == 3 and urlgraph.url_filter(df.limit(0)).count() == 0
