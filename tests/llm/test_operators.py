@@ -346,29 +346,80 @@ def clusters(n_groups, size, seed=3):
     return rows
 
 
-@pytest.mark.parametrize("blocks", [2048, 40])
-def test_forest_recall_against_brute_force(spark, monkeypatch, blocks):
-    monkeypatch.setattr(forest, "BLOCK_ROWS", blocks)
+def near_rows(spark, rows, **sizes):
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
+    return {r.vec_id: (r.n_links, r.component_id) for r in forest.near_duplicates(df, **sizes).collect()}
+
+
+@pytest.mark.parametrize("sizes", [{}, {"group_rows": 60}, {"group_rows": 100, "block_rows": 20}])
+def test_forest_against_brute_force(spark, sizes):
     rows = clusters(40, 12)
     want = brute_links(rows)
-    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
-    leaves = forest.routed(forest._sound(df, "vec_id", "embedding", "label"), forest.build(forest._sound(df, "vec_id", "embedding", "label"), leaf_rows=30))
-    found = forest.leaf_links(leaves, block_rows=blocks).groupBy("id").agg(F.sum("links").alias("n")).collect()
-    assert 0.9 * 2 * len(want) <= sum(r.n for r in found) <= 2 * len(want)
-    exact = {r.vec_id: r for r in forest.near_duplicates(df, leaf_rows=10_000).collect()}  # one leaf: nothing can be missed
-    comp = brute_components(range(len(rows)), want)
-    assert {i: r.component_id for i, r in exact.items()} == comp and sum(r.n_links for r in exact.values()) == 2 * len(want)
+    got = near_rows(spark, rows, **sizes)
+    links = sum(n for n, _ in got.values())
+    assert 0.98 * 2 * len(want) <= links <= 2 * len(want)
+    if links == 2 * len(want):
+        assert {i: c for i, (_, c) in got.items()} == brute_components(range(len(rows)), want)
+
+
+def test_groups_of_copies_are_compared_once(spark):
+    rows = clusters(6, 5)
+    copies = [(1000 + i, rows[i % 3][1], rows[i % 3][2]) for i in range(300)]
+    got, want = near_rows(spark, rows + copies), brute_links(rows + copies)
+    assert sum(n for n, _ in got.values()) == 2 * len(want) and {i: c for i, (_, c) in got.items()} == brute_components([r[0] for r in rows + copies], want)
+
+
+@pytest.mark.parametrize("depth", [4, 8, 12])
+def test_upper_trees_by_depth(depth):
+    """Recall of just linked pairs and copies per vector: both hold as the trees grow deeper."""
+    rng = np.random.default_rng(depth)
+    centres = rng.standard_normal((3000, 64))
+    x = forest._unit(np.concatenate([centres, centres + rng.standard_normal(centres.shape) * 0.38]))
+    linked = (x[:3000] * x[3000:]).sum(1) >= 0.93
+    assert linked.sum() > 500 and (x[:3000] * x[3000:]).sum(1)[linked].mean() < 0.96
+    together = np.zeros(3000, bool)
+    for _ in range(2 + (depth + 1) // 2):
+        u = rng.standard_normal((depth, 64))
+        tree = forest.Tree(u / np.linalg.norm(u, axis=1, keepdims=True))
+        tree.grow(x, forest.SPILL * forest.reach(64, 0.93), 0.93)
+        assert depth < 12 or tree.leaves > 2**9
+        row, leaf = tree.route(x)
+        assert len(row) <= forest.GROWTH * len(x)
+        at = [set() for _ in x]
+        for r, lf in zip(row.tolist(), leaf.tolist(), strict=True):
+            at[r].add(lf)
+        together |= [bool(a & b) for a, b in zip(at[:3000], at[3000:], strict=True)]
+    assert together[linked].mean() >= 0.9
+
+
+def test_a_group_compares_few_pairs_and_misses_few():
+    rng = np.random.default_rng(5)
+    x = np.repeat(rng.standard_normal((600, 64)), 5, 0)
+    x = forest._unit(x + rng.standard_normal(x.shape) * rng.uniform(0.05, 0.35, (len(x), 1)))
+    found, compared = forest.linked(x, 0, 0.93, seed=1)
+    want = x @ x.T >= 0.93
+    np.fill_diagonal(want, False)
+    assert not (found & ~want).any() and found.sum() >= 0.98 * want.sum() and compared < 0.2 * len(x) ** 2 / 2
+    parts, _ = forest.linked(x, 1400, 0.93, seed=1)
+    want[:1400, :1400] = want[1400:, 1400:] = False
+    assert not (parts & ~want).any() and parts.sum() >= 0.98 * want.sum()
 
 
 def test_odd_vectors(spark):
     rows = [(1, [1.0, 0.0], 1), (2, [2.0, 0.0], 1), (3, [1.0, 0.0], 2), (4, [1.0, 0.0], None), (5, None, 1), (6, [0.0, 0.0], 1), (7, [float("nan"), 1.0], 1), (8, [float("inf"), 1.0], 1), (9, [None, 1.0], 1), (10, [], 1), (11, [1.0, 0.0, 0.0], 1), (None, [1.0, 0.0], 1), (12, [1e-200, 0.0], 1)]
-    df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id int, embedding array<double>, label int, leaf string")
+    df = spark.createDataFrame([(*r, "x", "y") for r in rows], "vec_id int, embedding array<double>, label int, leaf string, key string")
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in forest.near_duplicates(df).collect()}
     assert got[1] == (2, 1, True) and got[2] == (2, 1, False) and got[12] == (2, 1, False) and got[None] == (0, None, False)
     assert all(got[i] == (0, i, True) for i in range(3, 12))
     assert forest.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_repeated_rows_are_one_vector(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [1.0, 0.0], 1), (3, [1.0, 0.1], 1)], "vec_id int, embedding array<double>, label int")
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in forest.near_duplicates(df).collect())
+    assert got == [(1, 2, 1), (1, 2, 1), (2, 2, 1), (3, 2, 1)]
+
+
 def test_embeddings_agree_with_sql(spark):
     assert compare(forest.near_duplicates(table(spark, "embeddings")), connect(SF), forest.ORACLE_SQL) == ""
 
