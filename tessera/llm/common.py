@@ -102,14 +102,15 @@ class HotKeys:
     """The keys that hold over one in HOT_SHARE of a table's rows. They are found once, by partial counts, and are
     fewer than HOT_SHARE, so what belongs to them can be broadcast; all other keys are joined by a shuffle."""
 
-    def __init__(self, rows: DataFrame, key: str, few: int = FEW_ROWS, share: int = HOT_SHARE) -> None:
+    def __init__(self, rows: DataFrame, key: str, few: int = FEW_ROWS, share: int = HOT_SHARE, counted: DataFrame | None = None) -> None:
         self.rows, self.key, self.hot = rows, key, None
-        counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
+        known = rows if counted is None else counted
+        counts = known.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
         total = counts.agg(F.sum("_n").alias("n")).first().n or 0
         if total > few:
             found = counts.where(F.col("_n") * share > total).select(key).collect()
             if found:
-                self.hot = rows.sparkSession.createDataFrame(found, rows.select(key).schema)
+                self.hot = rows.sparkSession.createDataFrame(found, known.select(key).schema)
 
     def join(self, table: DataFrame, how: str = "inner") -> DataFrame:
         """Joins a table that is unique by the key: ``inner``, ``left`` or ``left_semi``. Null keys match nothing."""
@@ -124,12 +125,13 @@ class HotKeys:
         return warm.unionByName(cold).unionByName(rows.where(F.col(key).isNull()), allowMissingColumns=True)
 
 
-def lookup_join(left: DataFrame, table: DataFrame, key: str, how: str = "left", limit: int = BROADCAST_ROWS, few: int = FEW_ROWS) -> DataFrame:
+def lookup_join(left: DataFrame, table: DataFrame, key: str, how: str = "left", limit: int = BROADCAST_ROWS, few: int = FEW_ROWS, counted: DataFrame | None = None) -> DataFrame:
     """Joins a table that is unique by ``key``. It is broadcast if a count finds it within ``limit``; otherwise only
-    what belongs to hot keys is, and the rows of all others are dealt by key. ``left`` should be a written table."""
+    what belongs to hot keys is, and the rows of all others are dealt by key. ``left`` should be a written table, or
+    ``counted`` one that holds its keys."""
     if table.limit(limit + 1).count() <= limit:
         return left.join(F.broadcast(table), key, how)
-    return HotKeys(left, key, few).join(table, how)
+    return HotKeys(left, key, few, counted=counted).join(table, how)
 
 
 def connected_components(edges: DataFrame, few: int = FEW_ROWS) -> DataFrame:

@@ -1,10 +1,9 @@
-"""Near-duplicate documents by the Jaccard similarity of their word shingles.
+"""Sets of word shingles: their names, min-hash bands, and the exact comparison of candidates for near-duplicates.
 
-Candidates come from min-hashes: texts that agree in all ROWS min-hashes of one of BANDS bands share a bucket. A pair of
-similarity 0.8 shares none with probability (1 - 0.8**5)**24 = 7e-5, a likelier pair more seldom. Within a bucket the
-similarity is computed exactly, from whole sets of shingles, until each text is linked to every group that holds one
-like it; texts of one group aren't compared further, so copies of one text cost one comparison each. SimHash anchors
-don't serve here: at similarity 0.8 about ten of 64 bits differ.
+Texts that agree in all ROWS min-hashes of one of BANDS bands share a bucket. A pair of similarity 0.8 shares none with
+probability (1 - 0.8**5)**24 = 7e-5, a likelier pair more seldom. Within a bucket the similarity is computed exactly,
+from whole sets of shingles, until each text is linked to every group that holds one like it; texts of one group aren't
+compared further, so copies of one text cost one comparison each.
 """
 
 from __future__ import annotations
@@ -18,13 +17,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, lookup_join, materialize, quoted
+from .common import connected_components, lookup_join, materialize
 
 SEED = 42
 WIDTH = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 5
 BLOCK = 1024
+#: Sets, and shingles in all, of a block of a bucket; sets that are in each of its blocks.
+BLOCK_SETS, BLOCK_HASHES, PIVOTS = 512, 4_000_000, 8
 _MULTIPLY, _ADD = np.random.default_rng(SEED).integers(0, 2**64, (2, BANDS * ROWS, 1), np.uint64)
 _MULTIPLY |= np.uint64(1)
 
@@ -54,7 +55,7 @@ def band_keys(hashes: np.ndarray) -> list[int]:
     return np.array(keys, np.uint64).view(np.int64).tolist()
 
 
-def _name(hashes: np.ndarray) -> int:
+def name_of(hashes: np.ndarray) -> int:
     """A set's own key; zero for the empty one."""
     return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), SEED)).view(np.int64)) if len(hashes) else 0
 
@@ -86,48 +87,78 @@ def _link(names: list[int], sets: list[np.ndarray], similarity: float) -> list[t
     return out
 
 
-def links(docs: DataFrame, marked: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH) -> DataFrame:
-    """(src, dst) between names of sets, from ``docs`` (id, t) and ``marked`` (least id, name, keys), a row per set."""
-    spread = marked.select("name", F.explode("keys").alias("key"))
-    many = spread.groupBy("key").agg(F.min("name").alias("a"), F.max("name").alias("b")).where("a <> b").select("key")
-    buckets = spread.join(many, "key").groupBy("key").agg(F.sort_array(F.collect_list("name")).alias("names"))
-    # bands that bring the same texts together are one bucket
-    buckets = materialize(buckets.select("names").distinct().withColumn("bucket", F.xxhash64("names")).select("bucket", F.explode("names").alias("name")), "shingles-buckets")
-    wanted = materialize(marked.select("least", "name").join(buckets.select("name").distinct(), "name", "left_semi").select(F.col("least").alias("id")).distinct(), "shingles-wanted")
+def _cross(left: list[tuple[int, int, np.ndarray]], right: list[tuple[int, int, np.ndarray]], similarity: float) -> list[tuple[int, int]]:
+    """Links between (name, component, set) of ``left`` and ``right`` that join components not joined yet."""
+    lead: dict[int, int] = {}
+
+    def top(c: int) -> int:
+        while lead.get(c, c) != c:
+            c = lead[c]
+        return c
+
+    out = []
+    for a, ca, x in left:
+        for b, cb, y in right:
+            if top(ca) != top(cb) and similar(x, y, similarity):
+                out.append((a, b))
+                lead[top(ca)] = top(cb)
+    return out
+
+
+def buckets_of(marked: DataFrame, spread: DataFrame) -> DataFrame:
+    """(bucket, name, blocks, block, pivot) of the keys that bring two sets or more together. Keys that bring the same
+    sets together are one bucket, told by its count and two sums of its names' hashes. A bucket of more than BLOCK_SETS
+    sets, or BLOCK_HASHES shingles, is dealt to blocks; about PIVOTS of its sets are in every block."""
+    sized = spread.join(marked.select("name", "n"), "name") if "n" not in spread.columns else spread
+    keys = sized.groupBy("key").agg(F.count("*").alias("size"), F.sum("n").alias("hashes"), F.sum(F.xxhash64("name").cast("decimal(20,0)")).alias("s"), F.bit_xor(F.xxhash64(F.lit(1), "name")).alias("x")).where("size > 1")
+    kept = keys.groupBy("size", "hashes", "s", "x").agg(F.min("key").alias("key")).select("key", "size", F.greatest(F.ceil(F.col("size") / BLOCK_SETS), F.ceil(F.col("hashes") / BLOCK_HASHES)).cast("int").alias("blocks"))
+    rows = lookup_join(spread.select("key", "name"), materialize(kept, "shingles-keys"), "key", "inner")
+    block, pivot = F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int"), (F.col("blocks") > 1) & (F.pmod(F.xxhash64(F.lit(2), "name"), F.col("size")) < PIVOTS)
+    return rows.select(F.col("key").alias("bucket"), "name", "blocks", block.alias("block"), pivot.alias("pivot"))
+
+
+def components(docs: DataFrame, marked: DataFrame, spread: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH) -> DataFrame:
+    """(node, component) of sets that links of at least ``similarity`` join, from ``docs`` (id, t), ``marked`` (name,
+    number n of shingles, least id) and ``spread`` (key, name), which says what is compared.
+
+    A bucket's blocks are joined within themselves first; pivots join the blocks of a group of near copies. What is then
+    still apart from its bucket's largest component is compared with all the bucket, block by block, so no task holds
+    more than two blocks and no link is lost."""
+    buckets = materialize(buckets_of(marked, spread.distinct()), "shingles-buckets")
+    wanted = materialize(marked.select("name", "least.id").join(buckets.select("name").distinct(), "name", "left_semi").select("id").distinct(), "shingles-wanted")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingles(t.as_py(), width) for t in b.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(map(_name, sets), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["name", "hashes"])
+            yield pa.RecordBatch.from_arrays([pa.array(map(name_of, sets), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["name", "hashes"])
 
-    sets = lookup_join(docs.select("id", "t"), wanted, "id", "left_semi").select("t").mapInArrow(hashed, "name bigint, hashes binary")
+    sets = lookup_join(docs, wanted, "id", "left_semi", counted=docs.select("id")).select("t").mapInArrow(hashed, "name bigint, hashes binary")
     sets = materialize(sets.dropDuplicates(["name"]), "shingles-sets")
 
-    def linked(rows: pd.DataFrame) -> pd.DataFrame:
+    def within(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("name")
         return pd.DataFrame(_link(rows["name"].tolist(), [np.frombuffer(h, np.uint64) for h in rows["hashes"]], similarity), columns=["src", "dst"]).astype("int64")
 
-    return buckets.join(sets, "name").groupBy("bucket").applyInPandas(linked, "src bigint, dst bigint")
-
-
-def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, width: int = WIDTH) -> DataFrame:
-    """``docs`` with one document of each group that links of at least ``similarity`` join, the one with the least id;
-    of repeated rows one stays. Texts without words are alike.
-
-    Rows with a null id have nothing to be named by and pass through unchanged."""
-    named = docs.where(F.col(id_col).isNotNull())
-    plain = named.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    kind = docs.schema[id_col].dataType.simpleString()
+    dealt = buckets.select("bucket", "name", F.explode(F.when(F.col("pivot"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))).alias("block"))
+    near = materialize(dealt.join(sets, "name").groupBy("bucket", "block").applyInPandas(within, "src bigint, dst bigint"), "shingles-links")
+    comp = connected_components(near)
+    large = buckets.where("blocks > 1").select("bucket", "name", "blocks", "block")
+    if large.isEmpty():
+        return comp
+    placed = materialize(large.join(comp.withColumnRenamed("node", "name"), "name", "left").withColumn("component", F.coalesce("component", "name")), "shingles-placed")
+    main = placed.groupBy("bucket", "component").count().groupBy("bucket").agg(F.max(F.struct("count", "component"))["component"].alias("main"), F.count("*").alias("parts")).where("parts > 1").select("bucket", "main")
+    apart = materialize(lookup_join(placed, main, "bucket", "inner"), "shingles-apart")
+    lone = apart.where("component <> main")
+    if lone.isEmpty():
+        return comp
+    blocks = lone.select("bucket", F.col("block").alias("lb")).distinct()
+    left = lone.select("bucket", "name", "component", F.col("block").alias("lb"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("rb"), F.lit(0).alias("side"))
+    right = apart.join(blocks, "bucket").select("bucket", "name", "component", "lb", F.col("block").alias("rb"), F.lit(1).alias("side"))
+
+    def across(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("name")
+        one, two = ([(n, c, np.frombuffer(h, np.uint64)) for n, c, h, s in zip(rows["name"].tolist(), rows["component"].tolist(), rows["hashes"], rows["side"], strict=True) if s == k] for k in (0, 1))
+        return pd.DataFrame(_cross(one, two, similarity), columns=["src", "dst"]).astype("int64")
 
-    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [shingles(t.as_py(), width) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(_name, sets), pa.int64()), pa.array(map(band_keys, sets), pa.list_(pa.int64()))], names=["id", "name", "keys"])
-
-    rows = materialize(plain.mapInArrow(marks, f"id {kind}, name bigint, keys array<bigint>"), "shingles")
-    least = rows.groupBy("name").agg(F.min("id").alias("least"))
-    marked = materialize(rows.dropDuplicates(["name"]).select("name", "keys").join(least, "name"), "shingles-marked")
-    comp = connected_components(links(plain, marked, similarity, width)).withColumnRenamed("node", "name")
-    found = marked.join(comp, "name", "left").groupBy(F.coalesce("component", "name").alias("component")).agg(F.min("least").alias(id_col))
-    kept = named.join(found.select(id_col).distinct(), id_col, "left_semi").dropDuplicates([id_col, text_col])
-    return kept.select(*map(quoted, docs.columns)).unionByName(docs.where(F.col(id_col).isNull()))
+    more = left.union(right).join(sets, "name").groupBy("bucket", "lb", "rb").applyInPandas(across, "src bigint, dst bigint")
+    return connected_components(materialize(near.union(more), "shingles-all-links"))

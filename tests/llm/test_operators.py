@@ -12,7 +12,7 @@ from oracle import compare, connect
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tessera.llm import bpe, common, dom, forest, gam, hostrules, licenses, mixing, queries, simhash, toxicity, urlgraph
+from tessera.llm import bpe, common, dom, forest, gam, hostrules, licenses, mixing, queries, shingles, simhash, toxicity, urlgraph
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, score double, size string, fp string, id string, label int, host string"
@@ -154,6 +154,14 @@ def test_every_link_within_three_bits_is_found(spark):
     assert len(got) == len(want) and {(r.src, r.dst) for r in got} == want
 
 
+def test_crowded_anchors_give_the_same_links(spark):
+    rnd = random.Random(9)
+    fps = {b ^ sum(1 << k for k in rnd.sample(range(64), n)) for b in [rnd.getrandbits(64) for _ in range(25)] for n in (0, 1, 2, 3, 3, 4, 6)}
+    df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp bigint")
+    one, two = ([tuple(r) for r in simhash.links(df, crowded=c).collect()] for c in (False, True))
+    assert len(one) == len(set(one)) == len(two) and set(one) == set(two)
+
+
 def test_near_duplicates_of_odd_tables(odd, no_docs):
     out = simhash.near_duplicates(odd)
     assert out.count() == odd.count()
@@ -162,6 +170,35 @@ def test_near_duplicates_of_odd_tables(odd, no_docs):
     assert simhash.near_duplicates(no_docs).count() == 0
     kept = simhash.keep_representatives(odd)
     assert kept.columns == odd.columns and kept.where("doc_id in (1, 3, 4, 5, 9, 10)").count() == 3
+    assert kept.where("doc_id is null").count() == 2 and simhash.keep_representatives(no_docs).count() == 0
+
+
+def test_representatives_of_repeated_ids(spark):
+    a, b = ("a long text of some words " * 9, "quite another text with other words in it " * 9)
+    rows = [(0, a, "x"), (1, b, "x"), (1, a, "y"), (2, b, "z"), (1, b, "w"), (1, b, "x")]
+    got = [sorted(tuple(r) for r in simhash.keep_representatives(spark.createDataFrame(rows[k:] + rows[:k], "doc_id int, text string, _tag string")).collect()) for k in range(3)]
+    assert got[0] == got[1] == got[2] and [(i, t) for i, t, _ in got[0]] == [(0, a), (1, b)]
+
+
+@pytest.mark.parametrize("block", [512, 7])
+def test_large_buckets_in_blocks(spark, monkeypatch, block):
+    """Near copies of one text, all different, and a chain whose ends differ: groups as those of all pairs."""
+    monkeypatch.setattr(shingles, "BLOCK_SETS", block)
+    monkeypatch.setattr(shingles, "PIVOTS", 2)
+    rnd, base, rows = random.Random(1), [f"w{i}" for i in range(120)], []
+    for i in range(60):
+        w = list(base)
+        for k in rnd.sample(range(120), rnd.choice((1, 2, 3, 9))):
+            w[k] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    chain = list(base)
+    for i in range(60, 80):
+        chain[(i - 60) * 5] = "y"
+        rows.append((i, " ".join(chain)))
+    sets = {i: set(shingles.shingles(t).tolist()) for i, t in rows}
+    comp = brute_components(sets, [(a, b) for a, b in itertools.combinations(sets, 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])])
+    got = simhash.keep_representatives(spark.createDataFrame(rows, "doc_id int, text string")).collect()
+    assert sorted(r.doc_id for r in got) == sorted(set(comp.values())) and len(set(comp.values())) > 3
 
 
 def test_long_chains_are_one_component(spark):
@@ -520,8 +557,27 @@ def test_mixed_rows(odd, no_docs):
 
 
 def test_lookup_join_beyond_the_broadcast_bound(spark):
-    left = spark.range(200).selectExpr("id", "id % 3 as k")
+    left = spark.range(200).selectExpr("id", "if(id % 4 = 3, null, if(id < 100, 0, id % 3)) as k")
     right = spark.createDataFrame([(0, "a"), (1, "b")], "k bigint, v string")
-    for limit in (10, 1):
-        got = common.lookup_join(left, right, "k", limit=limit)
-        assert sorted(got.columns) == ["id", "k", "v"] and got.count() == 200 and got.where("v is null").count() == 66
+    for how in ("left", "inner", "left_semi"):
+        want = None
+        for sizes in ({}, {"limit": 1}, {"limit": 1, "few": 10}):
+            got = common.lookup_join(left, right, "k", how, **sizes)
+            rows = sorted(tuple(str(r[c]) for c in sorted(got.columns)) for r in got.collect())
+            want = want or rows
+            assert rows == want and len(rows) > 90
+
+
+def test_components_with_hot_nodes(spark):
+    star = spark.range(1, 300).selectExpr("id as src", "0L as dst").union(spark.range(300, 600).selectExpr("id as src", "900L as dst"))
+    got = {r.node: r.component for r in common.connected_components(star, few=10).collect()}
+    assert got == {i: 0 for i in range(300)} | {i: 300 for i in [*range(300, 600), 900]}
+
+
+def test_scratch_tables_are_removed(spark):
+    with common.scratch(spark):
+        one = common.materialize(spark.range(3), "one")
+        two = common.materialize(one.where("id > 0"), "two")
+    assert two.count() == 2
+    with pytest.raises(Exception):
+        one.count()
