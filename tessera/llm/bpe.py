@@ -19,6 +19,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from functools import cache
 
@@ -28,8 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 END = "</w>"
-#: Words whose encoding a Python worker keeps; beyond that it starts again.
-CACHE = 400_000
+#: Characters of words, ids and labels whose encoding a Python worker keeps; beyond that it starts again.
+CACHE_CHARS = 16_000_000
 #: Transitions that a worker keeps.
 ARCS = 500_000
 #: The endings that the tokenizer's pattern splits off.
@@ -55,16 +56,31 @@ def pieces(top: int) -> re.Pattern[str]:
     return re.compile("|".join(ENDINGS) + f"|[{letters}]+|[{numbers}]|[^{letters}{numbers}{WHITE}]+")
 
 
+@contextmanager
+def no_collection() -> Iterator[None]:
+    """Without cycle collection, which would go through the caches' many small objects in vain."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
 class Words(dict):
     """piece -> (ids, labels), each joined by single spaces; encodes what it lacks, and starts again when full."""
 
     def __init__(self, encode: Callable[[str], tuple[str, str]]) -> None:
-        self.encode = encode
+        self.encode, self.chars = encode, 0
 
     def __missing__(self, piece: str) -> tuple[str, str]:
-        if len(self) >= CACHE:
+        found = self.encode(piece)
+        self.chars += len(piece) + len(found[0]) + len(found[1])
+        if self.chars > CACHE_CHARS:
             self.clear()
-        found = self[piece] = self.encode(piece)
+            self.chars = 0
+        self[piece] = found
         return found
 
 
@@ -223,11 +239,11 @@ class WordTokenizer:
 
 
 def encode_table(docs: DataFrame, tokenizer: WordTokenizer, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids, decoded) of every row: token ids as an array, and the text that they decode to."""
+    """(id, ids, decoded) of every row: token ids as an array, and the text that they decode to. Null and empty texts
+    have no ids; repeated rows each come back; an empty table gives none."""
     sent = docs.sparkSession.sparkContext.broadcast(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()  # the caches hold many small objects and no cycles
         for b in batches:
             both = [sent.value.encode_joined(t.as_py()) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([list(map(int, i.split())) for i, _ in both], pa.list_(pa.int32())), pa.array([d for _, d in both], pa.string())], names=[id_col, "ids", "decoded"])
@@ -237,21 +253,22 @@ def encode_table(docs: DataFrame, tokenizer: WordTokenizer, id_col: str = "doc_i
 
 
 def digest_table(docs: DataFrame, tokenizer: WordTokenizer, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: id, n_tokens, ids_sha256, decoded_sha256. Null and empty texts have no tokens."""
+    """One row per row of ``docs``: id, n_tokens, ids_sha256, decoded_sha256. Null and empty texts have no tokens;
+    repeated rows each come back alike; an empty table gives none; other columns are left out, whatever they are called."""
     sent = docs.sparkSession.sparkContext.broadcast(tokenizer)
 
     def sha(text: str) -> str:
         return hashlib.sha256(text.encode("utf-8")).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()  # the caches hold many small objects and no cycles
         for b in batches:
             n, ids, texts = [], [], []
-            for t in b.column(1):
-                i, d = sent.value.encode_joined(t.as_py())
-                n.append(i.count(" ") + 1 if i else 0)
-                ids.append(sha(i))
-                texts.append(sha(d))
+            with no_collection():
+                for t in b.column(1):
+                    i, d = sent.value.encode_joined(t.as_py())
+                    n.append(i.count(" ") + 1 if i else 0)
+                    ids.append(sha(i))
+                    texts.append(sha(d))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema[id_col].dataType.simpleString()

@@ -83,9 +83,17 @@ def _start_tag(source: str, at: int) -> tuple[int, tuple[tuple[str, str], ...]]:
     return at, tuple(found.items())
 
 
-@lru_cache(maxsize=1 << 14)
 def _attributes(found: tuple[tuple[str, str], ...]) -> tuple[int, bool]:
-    """Kinds of tokens (as bits) in class, id, role; whether the element is hidden."""
+    """Kinds of tokens (as bits) in class, id, role; whether the element is hidden. Short ones are remembered."""
+    return _short_attributes(found) if sum(len(v) for _, v in found) <= 200 else _read_attributes(found)
+
+
+@lru_cache(maxsize=1 << 14)
+def _short_attributes(found: tuple[tuple[str, str], ...]) -> tuple[int, bool]:
+    return _read_attributes(found)
+
+
+def _read_attributes(found: tuple[tuple[str, str], ...]) -> tuple[int, bool]:
     kinds, hidden = 0, False
     for name, value in found:
         if name in ("class", "id", "role", "aria-label"):

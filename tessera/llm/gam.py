@@ -17,10 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import quoted, sigmoid
-
-#: The score's column beside a document's own, whatever those are called.
-SCORE = "__score"
+from .common import free_name, quoted, sigmoid
 
 FEATURES = ("log_words", "word_len", "symbols", "exclaims", "capitals", "digits", "distinct", "top_share", "runs", "dup_lines", "bare", "ended", "line_len", "non_ascii", "stops")
 #: The model is fitted to at most so many labelled rows (those of the least hashes of their ids).
@@ -176,28 +173,40 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int
     return fit(np.array([r[0] for r in rows], float).reshape(-1, len(FEATURES)), np.array([r[1] for r in rows], float))
 
 
+def score_name(columns: list[str]) -> str:
+    """The score's column name, unlike any of ``columns``."""
+    return free_name(columns, "__score")
+
+
 def score(docs: DataFrame, model: Gam, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(columns ``keep``, id, SCORE) of every row; null and empty texts score as a text without words."""
+    """(columns ``keep``, id, a score as ``score_name`` calls it) of every row; null and empty texts score as a text
+    without words."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     cols = [*keep, id_col]
+    name = score_name(cols)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = np.array([features(t.as_py()) for t in b.column(b.num_columns - 1)], float).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(sent.value.score(x))], names=[*b.schema.names[:-1], SCORE])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(sent.value.score(x))], names=[*b.schema.names[:-1], name])
 
-    schema = T.StructType([*(docs.schema[c] for c in cols), T.StructField(SCORE, T.DoubleType())])
-    return docs.select(*map(quoted, cols), quoted(text_col).alias("__scored_text")).mapInArrow(run, schema)
+    schema = T.StructType([*(docs.schema[c] for c in cols), T.StructField(name, T.DoubleType())])
+    return docs.select(*map(quoted, cols), quoted(text_col).alias(free_name(cols, "__scored_text"))).mapInArrow(run, schema)
 
 
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: id, held_out, score, predicted (1 if score >= 0.5). Repeated rows each come back."""
+    """One row per row of ``docs``: id, held_out, score, predicted (1 if score >= 0.5).
+
+    Null and empty texts score as a text without words; a null id isn't held out; repeated rows each come back with the
+    same score; an empty table gives none; other columns are left out, whatever they are called."""
     scored = score(docs, train(docs, labels, id_col=id_col, text_col=text_col), id_col, text_col)
-    return scored.select(id_col, is_held_out(id_col).alias("held_out"), F.col(SCORE).alias("score"), (F.col(SCORE) >= 0.5).cast("int").alias("predicted"))
+    points = quoted(score_name([id_col]))
+    return scored.select(id_col, is_held_out(id_col).alias("held_out"), points.alias("score"), (points >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that the classifier doesn't reject, with their columns."""
+    """The rows of ``docs`` that the classifier doesn't reject, with their columns, whatever those are called. Null and
+    empty texts score as a text without words; repeated rows stay or go together; an empty table gives none."""
     cols = [c for c in docs.columns if c != id_col]
     scored = score(docs, train(docs, labels, id_col=id_col, text_col=text_col), id_col, text_col, tuple(cols))
-    return scored.where(F.col(SCORE) >= threshold).select(*map(quoted, docs.columns))
+    return scored.where(quoted(score_name([*cols, id_col])) >= threshold).select(*map(quoted, docs.columns))

@@ -57,14 +57,16 @@ def queued(docs: DataFrame, keep: tuple[str, ...] = (), weights: tuple[int, ...]
     """Every row with its size, its source's size and target, and ``cum``, the words of its queue up to and with it."""
     sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size"), *[quoted(c).alias(f"_k_{c}") for c in keep])
     key = F.concat_ws(":", F.coalesce(F.col("id").cast("string"), F.lit("")), F.col("size").cast("string"))
-    rows = materialize(sized.withColumn("h", spread(key)), "mixing")
+    # rows alike in id and size are told apart by what else is kept of them
+    tie = F.xxhash64(*[quoted(f"_k_{c}") for c in keep]) if keep else F.lit(0).cast("bigint")
+    rows = materialize(sized.withColumn("h", spread(key)).withColumn("tie", tie), "mixing")
     sources = materialize(source_targets(rows, weights, share), "mixing-sources").withColumn("key", nullable_key(F.col("source"))).drop("source")
     rows = lookup_join(rows.withColumn("key", nullable_key(F.col("source"))), sources, "key")
     bins = F.greatest(F.lit(1), F.ceil(F.col("n_docs") / BIN_ROWS))
     rows = rows.withColumn("bin", F.floor(F.col("h") / (F.lit(SPREAD) / bins)).cast("long"))
     totals = rows.groupBy("rank", "bin").agg(F.sum("size").alias("sum"))
     start = totals.withColumn("start", F.sum("sum").over(Window.partitionBy("rank").orderBy("bin")) - F.col("sum")).drop("sum")
-    inside = Window.partitionBy("rank", "bin").orderBy("h", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("rank", "bin").orderBy("h", "id", "size", "tie").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("own", F.sum("size").over(inside)).join(start, ["rank", "bin"])
     return rows.withColumn("cum", F.col("start") + F.col("own"))
 
@@ -106,7 +108,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0,
     """One row per row of ``docs``: id, size, source_size, target, taken (words, repeats counted), kept columns as ``_k_`` and their names.
 
     Null sources are a source of their own, the last. Texts without words take nothing. Repeated rows have places of
-    their own; rows alike in id and size are interchangeable, so runs agree. An empty table gives none."""
+    their own, in the order of id, size and a hash of the kept columns, so runs agree. An empty table gives none."""
     queue = materialize(queued(docs, keep, weights, share, id_col, text_col, source_col), "mixing-queue")
     total = queue.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first().n
     time, rank = last_taken(queue, int(total * share))

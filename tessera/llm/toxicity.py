@@ -8,6 +8,7 @@ inflections. Those that tell toxic documents best are chosen in Spark from count
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,11 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fit_logistic, materialize, quoted, sigmoid
+from .common import fit_logistic, free_name, materialize, quoted, sigmoid
 from .gam import labelled_sample
 
-#: The chain's order. The labels hold one overall mark; the narrower categories are its parts by language.
-CHAIN = ("toxic_de", "toxic_en", "toxic_es", "toxic_fr", "toxic")
+#: The labels hold one overall mark and no types of toxicity, so the chain's narrower categories are the mark's parts by
+#: language: the languages that occur among toxic training rows, the most frequent first, so many at most.
+MAX_CATEGORIES = 8
 #: The models are fitted to at most so many labelled rows, on at most so many features.
 MAX_TRAIN = 16_000
 MAX_FEATURES = 4_000
@@ -79,9 +81,10 @@ def _predict(rows: np.ndarray, cols: np.ndarray, prior: np.ndarray, k: int, w: n
     return sigmoid(np.bincount(rows, w[cols], n) + prior @ w[k : k + j] + w[-1])
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", chain: tuple[str, ...] = CHAIN, limit: int = MAX_TRAIN, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Chain:
-    """Fits the chain on a bounded sample of rows that aren't held out. A category ``label_x`` is the label's part in
-    language x; the last of the chain is the label itself. Without labels every probability is next to none."""
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = MAX_TRAIN, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Chain:
+    """Fits the chain on at most ``limit`` rows that aren't held out (of the least hashes; the bound holds for rows, also
+    where ids repeat). A category ``label_x`` is the label's part in language x, as found among those rows; the last of
+    the chain is the label itself. Without labels every probability is next to none."""
     sample = labelled_sample(labels, label, limit, id_col)
     joined = docs.select(id_col, F.col(text_col).alias("_t"), F.coalesce(F.col(lang_col), F.lit("")).alias("_l")).join(F.broadcast(sample), id_col)
 
@@ -90,6 +93,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", chain: tuple
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([sorted(tokens(t.as_py())) for t in b.column(b.num_columns - 1)], pa.list_(pa.string()))], names=["id", "y", "lang", "f"])
 
     kind = docs.schema[id_col].dataType.simpleString()
+    if joined.limit(limit + 1).count() > limit:  # repeated rows of one id can exceed the sample
+        joined = joined.orderBy(F.xxhash64(id_col, "_y", "_l", "_t"), id_col, "_t").limit(limit)
     seen = materialize(joined.select(F.col(id_col).alias("id"), F.col("_y").alias("y"), F.col("_l").alias("lang"), "_t").mapInArrow(run, f"id {kind}, y int, lang string, f array<string>"), "toxicity-sample")
     total = seen.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("p")).first()
     n, p = max(total.n, 1), max(total.p, 1)
@@ -102,25 +107,35 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", chain: tuple
     index = {r.f: i for i, r in enumerate(chosen)}
     scale = np.minimum(1.0, np.array([r.c1 for r in chosen], float) / FULL_EVIDENCE)
     data = sorted(seen.select("id", "y", "lang", _hits_udf(seen, index)).collect(), key=lambda r: (r.id, r.y, r.lang, r.hits))
+    (chain, weights), prior = fit_chain([(r.id, r.y, r.lang, r.hits) for r in data], len(index), scale, label)
     y = np.array([r.y for r in data], dtype=int)
-    lang = np.array([r.lang for r in data], dtype=object)
-    rows = np.repeat(np.arange(len(data)), [len(r.hits) for r in data]).astype(np.int64)
-    cols = np.array([c for r in data for c in r.hits], dtype=np.int64)
-    k, fold = len(index), np.arange(len(data)) % FOLDS
+    if len(data) and 0 < y.sum() < len(y):
+        at = decision_point(prior[:, -1], y)
+        weights[-1][-1] -= np.log(at / (1 - at))
+    return Chain(chain, index, weights)
+
+
+def fit_chain(data: list[tuple], k: int, scale: np.ndarray, label: str) -> tuple[tuple[tuple[str, ...], list[np.ndarray]], np.ndarray]:
+    """((categories, their weights), out-of-fold probabilities by category) from rows (id, label, language, features).
+
+    A category's inputs from earlier categories are out-of-fold predictions, in training rows only."""
+    y = np.array([r[1] for r in data], dtype=int)
+    lang = np.array([r[2] for r in data], dtype=object)
+    rows = np.repeat(np.arange(len(data)), [len(r[3]) for r in data]).astype(np.int64)
+    cols = np.array([c for r in data for c in r[3]], dtype=np.int64)
+    fold = np.arange(len(data)) % FOLDS
+    parts = Counter(lang[y == 1].tolist())
+    chain = (*(f"{label}_{p}" for p, _ in sorted(parts.items(), key=lambda x: (-x[1], x[0]))[:MAX_CATEGORIES]), label)
     prior, weights = np.zeros((len(data), 0)), []
     for name in chain:
-        part = name.removeprefix(f"{label}_")
-        target = y if name == label else y * (lang == part).astype(int)
+        target = y if name == label else y * (lang == name.removeprefix(f"{label}_")).astype(int)
         apart = np.zeros(len(data))
         for i in range(FOLDS):
             w = _fit(rows, cols, scale, prior, k, target, fold != i)
             apart[fold == i] = _predict(rows, cols, prior, k, w)[fold == i]
         weights.append(_fit(rows, cols, scale, prior, k, target, np.ones(len(data), bool)))
         prior = np.column_stack([prior, apart])
-    if len(data) and 0 < y.sum() < len(y):
-        at = decision_point(prior[:, -1], y)
-        weights[-1][-1] -= np.log(at / (1 - at))
-    return Chain(tuple(chain), index, weights)
+    return (chain, weights), prior
 
 
 def decision_point(p: np.ndarray, y: np.ndarray) -> float:
@@ -145,11 +160,17 @@ def _hits_udf(seen: DataFrame, index: dict[str, int]) -> F.Column:
     return hits("f").alias("hits")
 
 
+def probability_names(model: Chain, columns: list[str]) -> list[str]:
+    """Column names of the probabilities, unlike any of ``columns``."""
+    return [free_name(columns, f"__p_{c}") for c in model.names]
+
+
 def score(docs: DataFrame, model: Chain, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(columns ``keep``, id, a probability per category) of every row, over whole texts."""
+    """(columns ``keep``, id, a probability per category as ``probability_names`` calls them) of every row, over whole
+    texts."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     cols = [*keep, id_col]
-    names = [f"__p_{c}" for c in model.names]
+    names = probability_names(model, cols)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -158,19 +179,25 @@ def score(docs: DataFrame, model: Chain, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(p[:, j]) for j in range(p.shape[1]))], names=[*b.schema.names[:-1], *names])
 
     schema = T.StructType([*(docs.schema[c] for c in cols), *(T.StructField(c, T.DoubleType()) for c in names)])
-    return docs.select(*map(quoted, cols), quoted(text_col).alias("__scored_text")).mapInArrow(run, schema)
+    return docs.select(*map(quoted, cols), quoted(text_col).alias(free_name(cols, "__scored_text"))).mapInArrow(run, schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: id, a probability per category, toxic (the last one's verdict).
+    """One row per row of ``docs``: id, toxic (the chain's last verdict), p_toxic, and categories, a list of (name,
+    probability) in the chain's order. The categories are the label's parts by language, not types of toxicity.
 
-    Null and empty texts have no features; repeated rows each come back; an empty table gives none."""
-    scored = score(docs, train(docs, labels, id_col=id_col, text_col=text_col), id_col, text_col)
-    return scored.select(id_col, (F.col(f"__p_{CHAIN[-1]}") >= THRESHOLD).alias("toxic"), *(F.round(f"__p_{c}", 6).alias(f"p_{c}") for c in CHAIN))
+    Null and empty texts have no features; repeated rows each come back; an empty table gives none; other columns are
+    left out, whatever they are called."""
+    model = train(docs, labels, id_col=id_col, text_col=text_col)
+    scored, names = score(docs, model, id_col, text_col), probability_names(model, [id_col])
+    each = F.array(*[F.struct(F.lit(c).alias("name"), F.round(quoted(n), 6).alias("probability")) for c, n in zip(model.names, names, strict=True)])
+    return scored.select(id_col, (quoted(names[-1]) >= THRESHOLD).alias("toxic"), F.round(quoted(names[-1]), 6).alias("p_toxic"), each.alias("categories"))
 
 
 def keep_civil(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the chain doesn't call toxic, with their columns."""
+    """The rows of ``docs`` that the chain doesn't call toxic, with their columns, whatever those are called. Null and
+    empty texts have no features; repeated rows stay or go together; an empty table gives none."""
     cols = tuple(c for c in docs.columns if c != id_col)
-    scored = score(docs, train(docs, labels, id_col=id_col, text_col=text_col), id_col, text_col, cols)
-    return scored.where(F.col(f"__p_{CHAIN[-1]}") < THRESHOLD).select(*map(quoted, docs.columns))
+    model = train(docs, labels, id_col=id_col, text_col=text_col)
+    scored, last = score(docs, model, id_col, text_col, cols), probability_names(model, [*cols, id_col])[-1]
+    return scored.where(quoted(last) < THRESHOLD).select(*map(quoted, docs.columns))
