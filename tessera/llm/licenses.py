@@ -38,13 +38,14 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
 OTHERS = ("Permission to use, copy, modify, and distribute this software and its documentation for any purpose and without fee is hereby granted, provided that the above copyright notice appear in all copies", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v. 2.0", "Licensed under the Academic Free License version 3.0", "This package is distributed under the Artistic License", "Distributed under the Boost Software License, Version 1.0", "This Font Software is licensed under the SIL Open Font License, Version 1.1", "This database is made available under the Open Database License", "The contents of this file are subject to the terms of the Common Development and Distribution License", "Licensed under the European Union Public Licence", "Licensed under the zlib license", "The origin of this software must not be misrepresented; altered source versions must be plainly marked as such", "Use is subject to license terms", "SPDX-License-Identifier: Zlib", "See the file LICENSE for the license terms")
 #: Training paragraphs of no licence: talk about licences and rights.
 NEGATIVES = ("You need a driving license to rent a car", "the license plate was found", "a license to kill", "terms of service and privacy", "the general public was free to use the work", "he asked for permission and it was granted", "the software is sold with a warranty", "a copy of the document is in the source", "version two of the public work was released", "all the rights of man", "conditions are met with or without reason", "this work is under way", "permitted use of the form is subject to terms", "my driving license", "the public and the domain of the king")
+#: Words that are no n-gram by themselves, nor with each other.
+STOP = frozenset("a all an and any are as at be by for from has have i in is it its may more no not of on one or see so that the their this to was were which with you your 0 1 2 3".split())
 UNKNOWN, NONE = "unknown", "none"
 CLASSES = (*TEMPLATES, UNKNOWN, NONE)
 #: Corpus paragraphs with one of these words aren't taken for training rows of ``none``; scoring doesn't look at them.
 RIGHTS = ("license", "licenses", "licensed", "licence", "licenced", "copyright", "copyrighted", "permission", "permitted", "redistribution", "redistribute", "distributed", "spdx", "rights", "warranty", "gpl", "cc", "cc0", "domain")
 #: Corpus paragraphs among the training rows of ``none``: so many at most (of the least hashes), of so many words at most.
 MAX_NEGATIVES, MAX_NEGATIVE_WORDS = 600, 400
-MAX_FEATURES = 3_000
 #: A family needs this share of some template's word pairs.
 MIN_OVERLAP = 0.5
 #: Lines up to so long can be wrapped.
@@ -59,7 +60,7 @@ def words_of(text: Column) -> Column:
 
 def _ngrams(text: str) -> list[str]:
     w = _TOKEN.findall(text.lower())
-    return sorted({" ".join(w[i : i + k]) for k in (1, 2, 3) for i in range(len(w) - k + 1)})
+    return sorted({" ".join(w[i : i + k]) for k in (1, 2, 3) for i in range(len(w) - k + 1) if not STOP.issuperset(w[i : i + k])})
 
 
 def paragraphs(text: Column) -> Column:
@@ -81,7 +82,7 @@ def paragraphs(text: Column) -> Column:
         return F.array_join(F.transform(b["lines"], line), "")
 
     flat = F.array_join(F.filter(F.transform(sized, joined), lambda x: x != ""), _MARK)
-    return F.split(F.regexp_replace(flat, r"[\x20\x09-\x0D]+", " "), _MARK)
+    return F.split(F.regexp_replace(flat, r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+", " "), _MARK)
 
 
 def paragraph_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -149,11 +150,7 @@ def train(corpus: list[str], folds: int = 3) -> tuple[list[str], np.ndarray]:
     """(n-grams, calibrated weights by n-gram and class; the last row is the intercept)."""
     rows = training_rows(corpus)
     grams = [_ngrams(t) for t, _, _ in rows]
-    seen: dict[str, int] = {}
-    for (_, family, _), gs in zip(rows, grams, strict=True):
-        for g in gs if family != NONE else ():
-            seen[g] = seen.get(g, 0) + 1
-    names = sorted(sorted(seen, key=lambda g: (-seen[g], g))[:MAX_FEATURES])
+    names = sorted({g for ts in (*TEMPLATES.values(), OTHERS, NEGATIVES) for t in ts for g in _ngrams(t)})
     index = {g: i for i, g in enumerate(names)}
     x = np.zeros((len(rows), len(names)), np.float32)
     for i, gs in enumerate(grams):
@@ -221,9 +218,27 @@ class Scorer:
         self.base = literal([round(float(v), 6) for v in weights[-1]], "array<double>")
         self.table = literal([[round(float(v), 6) for v in known.get(g, np.zeros(len(CLASSES)))] for g in grams], "array<array<double>>")
 
-    def keys(self, words: Column) -> Column:
+        # no class can beat none unless the margins of what a paragraph may hold add up to it: an n-gram's margin, if
+        # positive, is put on the word of it that has the largest, so that common words promise little
+        margin = {g: float((known[g][:-1] - known[g][-1]).max()) if g in known else 0.0 for g in grams}
+        promise = dict.fromkeys(words, 0.0)
+        for g in grams:
+            best = max(g.split(), key=lambda w: (margin.get(w, 0.0), w))
+            promise[best] += margin[g] if g == best else max(0.0, margin[g])
+        self.promise = literal([0.0, *(round(promise[w], 6) for w in words)], "array<double>")
+        self.need = float((weights[-1][:-1] - weights[-1][-1]).max()) + 1e-3
+
+    def numbers(self, words: Column) -> Column:
+        """Each word's number; 0 for words in no n-gram."""
+        return F.transform(F.transform(words, lambda w: F.xxhash64(w)), lambda h: F.coalesce(self.word(h) + 1, F.lit(0)).cast("bigint"))
+
+    def may_be_listed(self, numbers: Column) -> Column:
+        """False only where ``none`` is certain, by an upper bound from single words."""
+        met = F.array_distinct(F.filter(numbers, lambda x: x > 0))
+        return F.aggregate(met, F.lit(self.need), lambda acc, x: acc + F.get(self.promise, x.cast("int"))) >= 0
+
+    def keys(self, numbers: Column) -> Column:
         """Numbers of the runs of one to three known words, each once."""
-        one = F.transform(F.transform(words, lambda w: F.xxhash64(w)), lambda h: F.coalesce(self.word(h) + 1, F.lit(0)).cast("bigint"))
         follow = lambda xs, ys: F.zip_with(xs, ys, lambda x, y: F.when((x > 0) & (y > 0), x * (1 << 12) + y % (1 << 12)).otherwise(F.lit(0).cast("bigint")))
         rest = lambda xs, k: (F.slice(xs, 1, F.greatest(F.size(xs) - k, F.lit(0))), F.slice(xs, 1 + k, F.greatest(F.size(xs) - k, F.lit(0))))
 
@@ -232,7 +247,7 @@ class Scorer:
             three = F.transform(F.array(two), lambda t: follow(*rest(t, 1)))[0]
             return F.concat(ones, two, three)
 
-        return F.array_distinct(F.filter(F.flatten(F.transform(F.array(one), runs)), lambda x: x > 0))
+        return F.array_distinct(F.filter(F.flatten(F.transform(F.array(numbers), runs)), lambda x: x > 0))
 
     def found(self, keys: Column) -> Column:
         """Places of the n-grams among the known ones."""
@@ -256,10 +271,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     likeliest class's. Null and empty texts give no rows. Repeated rows each give theirs, ties between classes go to the
     one listed first; an empty table gives none; other columns are left out, whatever they are called."""
     rows = paragraph_rows(docs, id_col, text_col)
-    short = rows.select("text").where(F.size(F.split("text", " ")) <= MAX_NEGATIVE_WORDS)
+    short = rows.select("text").where(F.length("text") - F.length(F.replace("text", F.lit(" "))) < MAX_NEGATIVE_WORDS)
     sample = short.orderBy(F.xxhash64("text"), "text").limit(MAX_NEGATIVES).collect()
     scorer = Scorer(docs.sparkSession, *train([r.text for r in sample]))
-    known = rows.select("id", "paragraph", "text", once(scorer.found(scorer.keys(words_of(F.col("text"))))).alias("found")).where(F.size("found") > 0)
+    rows = rows.select("*", once(scorer.numbers(words_of(F.col("text")))).alias("numbers")).where(F.exists("numbers", lambda x: x > 0) & scorer.may_be_listed(F.col("numbers")))
+    known = rows.select("id", "paragraph", "text", once(scorer.found(scorer.keys(F.col("numbers")))).alias("found")).where(F.size("found") > 0)
     scored = known.select("*", once(scorer.scores(F.col("found"))).alias("z"))
     best = scored.withColumn("top", F.array_max("z")).withColumn("best", F.array_position("z", F.col("top")).cast("int"))
     family = F.element_at(F.lit(list(CLASSES)), F.col("best"))
