@@ -29,10 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 END = "</w>"
-#: Characters of words, ids and labels whose encoding a Python worker keeps; beyond that it starts again.
-CACHE_CHARS = 16_000_000
+#: Bytes of words, ids and labels that a Python worker keeps; beyond that it starts again. An entry's objects take ENTRY
+#: bytes besides its characters.
+CACHE_BYTES, ENTRY = 64_000_000, 350
 #: Transitions that a worker keeps.
-ARCS = 500_000
+ARCS = 300_000
 #: The endings that the tokenizer's pattern splits off.
 ENDINGS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 
@@ -72,14 +73,14 @@ class Words(dict):
     """piece -> (ids, labels), each joined by single spaces; encodes what it lacks, and starts again when full."""
 
     def __init__(self, encode: Callable[[str], tuple[str, str]]) -> None:
-        self.encode, self.chars = encode, 0
+        self.encode, self.bytes = encode, 0
 
     def __missing__(self, piece: str) -> tuple[str, str]:
         found = self.encode(piece)
-        self.chars += len(piece) + len(found[0]) + len(found[1])
-        if self.chars > CACHE_CHARS:
+        self.bytes += ENTRY + 2 * len(piece) + len(found[0]) + 2 * len(found[1])
+        if self.bytes > CACHE_BYTES:
             self.clear()
-            self.chars = 0
+            self.bytes = 0
         self[piece] = found
         return found
 
