@@ -105,12 +105,11 @@ def _cross(left: list[tuple[int, int, np.ndarray]], right: list[tuple[int, int,
     return out
 
 
-def buckets_of(marked: DataFrame, spread: DataFrame) -> DataFrame:
-    """(bucket, name, blocks, block, pivot) of the keys that bring two sets or more together. Keys that bring the same
+def buckets_of(spread: DataFrame) -> DataFrame:
+    """(bucket, name, blocks, block, pivot) from (key, name, n shingles), of the keys that bring two sets or more together. Keys that bring the same
     sets together are one bucket, told by its count and two sums of its names' hashes. A bucket of more than BLOCK_SETS
     sets, or BLOCK_HASHES shingles, is dealt to blocks; about PIVOTS of its sets are in every block."""
-    sized = spread.join(marked.select("name", "n"), "name") if "n" not in spread.columns else spread
-    keys = sized.groupBy("key").agg(F.count("*").alias("size"), F.sum("n").alias("hashes"), F.sum(F.xxhash64("name").cast("decimal(20,0)")).alias("s"), F.bit_xor(F.xxhash64(F.lit(1), "name")).alias("x")).where("size > 1")
+    keys = spread.groupBy("key").agg(F.count("*").alias("size"), F.sum("n").alias("hashes"), F.sum(F.xxhash64("name").cast("decimal(20,0)")).alias("s"), F.bit_xor(F.xxhash64(F.lit(1), "name")).alias("x")).where("size > 1")
     kept = keys.groupBy("size", "hashes", "s", "x").agg(F.min("key").alias("key")).select("key", "size", F.greatest(F.ceil(F.col("size") / BLOCK_SETS), F.ceil(F.col("hashes") / BLOCK_HASHES)).cast("int").alias("blocks"))
     rows = lookup_join(spread.select("key", "name"), materialize(kept, "shingles-keys"), "key", "inner")
     block, pivot = F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int"), (F.col("blocks") > 1) & (F.pmod(F.xxhash64(F.lit(2), "name"), F.col("size")) < PIVOTS)
@@ -119,12 +118,12 @@ def buckets_of(marked: DataFrame, spread: DataFrame) -> DataFrame:
 
 def components(docs: DataFrame, marked: DataFrame, spread: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH) -> DataFrame:
     """(node, component) of sets that links of at least ``similarity`` join, from ``docs`` (id, t), ``marked`` (name,
-    number n of shingles, least id) and ``spread`` (key, name), which says what is compared.
+    number n of shingles, least id) and ``spread`` (key, name, n), which says what is compared.
 
     A bucket's blocks are joined within themselves first; pivots join the blocks of a group of near copies. What is then
     still apart from its bucket's largest component is compared with all the bucket, block by block, so no task holds
     more than two blocks and no link is lost."""
-    buckets = materialize(buckets_of(marked, spread.distinct()), "shingles-buckets")
+    buckets = materialize(buckets_of(spread), "shingles-buckets")
     wanted = materialize(marked.select("name", "least.id").join(buckets.select("name").distinct(), "name", "left_semi").select("id").distinct(), "shingles-wanted")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

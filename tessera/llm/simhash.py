@@ -168,8 +168,8 @@ def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str
     marked = materialize(rows.dropDuplicates(["name"]).select("name", "n", "fp", "keys").join(first, "name"), "shingles-marked")
     fps = marked.select("fp").distinct()
     near = links(fps, crowded=marked.count() > CROWDED).withColumn("key", F.xxhash64("src", "dst"))
-    near = near.select("key", F.explode(F.array("src", "dst")).alias("fp")).join(marked.select("fp", "name"), "fp").select("key", "name")
-    spread = marked.select(F.explode(F.concat("keys", F.array(F.xxhash64("fp")))).alias("key"), "name").union(near)
+    near = near.select("key", F.explode(F.array("src", "dst")).alias("fp")).join(marked.select("fp", "name", "n"), "fp").select("key", "name", "n")
+    spread = marked.select(F.explode(F.concat("keys", F.array(F.xxhash64("fp")))).alias("key"), "name", "n").union(near)
     comp = components(plain.select("id", "t"), marked, spread, similarity, width).withColumnRenamed("node", "name")
     found = marked.select("name", "least").join(comp, "name", "left").groupBy(F.coalesce("component", "name").alias("component")).agg(F.min("least").alias(tag))
     found = materialize(found.join(rows.groupBy(F.struct("id", "digest").alias(tag)).agg(F.count("*").alias(copies)), tag), "shingles-kept")
