@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 SEPARATOR = "\u001f"
 #: Spellings of a missing value, and of a present but unsupported one.
 MISSING = ("", "nan", "none", "null", "<na>", "na")
-UNSUPPORTED = ("unknown", "unknown_donor", "not_applicable", "__mixed__")
+UNSUPPORTED = ("unknown", "unknown_donor", "unknown_target", "not_applicable", "not applicable", "not_applicable_cell_line", "not_applicable_primary_cell", "__mixed__")
 PROMPT_MISSING = ("n/a", "unk", "unknown")
 TRUE_TEXT = ("true", "1", "yes", "y", "t")
 FALSE_TEXT = ("false", "0", "no", "n", "f")

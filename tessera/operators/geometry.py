@@ -8,22 +8,40 @@ from pyspark.sql import functions as F
 from tessera.functions.columns import dot, unit
 
 
-def unordered_pairs(df: DataFrame, group: str, key: str) -> DataFrame:
+#: Rows of a group that are paired in one task.
+BLOCK_ROWS = 4_096
+
+
+def blocks_of(df: DataFrame, group: str, block_rows: int = BLOCK_ROWS) -> int:
+    """Into how many blocks the rows of a group are to be cut, by a count of the largest group."""
+    most = df.groupBy(group).count().agg(F.max("count").alias("n")).first().n or 1
+    return -(-most // block_rows)
+
+
+def unordered_pairs(df: DataFrame, group: str, key: str, blocks: int = 1) -> DataFrame:
     """Self join within a group to unordered pairs; the other columns come as ``_a`` and ``_b``.
 
-    Pairs are keyed by the group, so the join is never a global nested loop. The left side is dealt by group and id,
-    which spreads a large group over the partitions."""
+    Pairs are keyed by the group, so the join is never a global nested loop. With one block, which is for groups of
+    bounded size, a group is one task's; with more, each pair of a group's blocks is a key of its own."""
     rest = [c for c in df.columns if c not in (group, key)]
     a = df.select(group, F.col(key).alias("i"), *[F.col(c).alias(f"{c}_a") for c in rest])
     b = df.select(group, F.col(key).alias("j"), *[F.col(c).alias(f"{c}_b") for c in rest])
-    return a.join(b, group).where("i < j")
+    if blocks == 1:
+        return a.join(b, group).where("i < j")
+    place, every = (lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    a = a.withColumn("_p", place("i")).withColumn("_q", every)
+    b = b.withColumn("_q", place("j")).withColumn("_p", every)
+    return a.join(b, [group, "_p", "_q"]).where("i < j").drop("_p", "_q")
+
+
+def clipped_dot(a: str, b: str) -> Column:
+    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(F.col(a), F.col(b))))
 
 
-def cosine_pairs(df: DataFrame, group: str, key: str, vector: str, sim: str = "sim") -> DataFrame:
+def cosine_pairs(df: DataFrame, group: str, key: str, vector: str, sim: str = "sim", blocks: int = 1) -> DataFrame:
     """Cosine of each pair within a group, clipped to [-1, 1]; zero vectors have cosine 0."""
     units = df.select(group, key, unit(F.col(vector)).alias("u"))
-    p = unordered_pairs(units, group, key)
-    return p.select(group, "i", "j", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(F.col("u_a"), F.col("u_b")))).alias(sim))
+    return unordered_pairs(units, group, key, blocks).select(group, "i", "j", clipped_dot("u_a", "u_b").alias(sim))
 
 
 def distinct_cosine_pairs(df: DataFrame, group: str, key: str, vector: str) -> DataFrame:

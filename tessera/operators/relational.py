@@ -94,12 +94,13 @@ def greedy_matching(scored: DataFrame, group: str, left: str, right: str, score:
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         used_l, used_r, keep = set(), set(), []
-        for i, (a, b) in enumerate(zip(*(pdf.sort_values([score, left, right], ascending=[False, True, True], kind="stable")[c] for c in (left, right)), strict=True)):
+        pdf = pdf.sort_values([score, left, right], ascending=[False, True, True], kind="stable")
+        for i, (a, b) in enumerate(zip(pdf[left], pdf[right], strict=True)):
             if a not in used_l and b not in used_r:
                 used_l.add(a)
                 used_r.add(b)
                 keep.append(i)
-        return pdf.sort_values([score, left, right], ascending=[False, True, True], kind="stable").iloc[keep]
+        return pdf.iloc[keep]
 
     cols = [group, left, right, score]
     return scored.select(*cols).groupBy(group).applyInPandas(pick, scored.select(*cols).schema)

@@ -38,7 +38,12 @@ def sign_flip(df: DataFrame, group: str, value: str, most: int = 20) -> DataFram
 
 def standardised_ridge(x: np.ndarray, y: np.ndarray, alpha: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(mean, scale, coefficients, intercept): features standardised by training rows (scale 1 where almost constant),
-    the intercept unpenalised."""
+    the intercept unpenalised. Inputs must be tables of real, finite numbers with as many rows each."""
+    for name, v in (("features", x), ("targets", y)):
+        if v.ndim != 2 or not np.issubdtype(v.dtype, np.number) or np.iscomplexobj(v) or not np.isfinite(v).all():
+            raise ValueError(f"{name} must be a two-dimensional table of real, finite numbers")
+    if len(x) != len(y) or not len(x) or alpha < 0:
+        raise ValueError("features and targets need as many rows, one at least, and the penalty must not be negative")
     mu, sd = x.mean(0), x.std(0)
     sd = np.where(sd < 1e-8, 1.0, sd)
     z, ym = (x - mu) / sd, y.mean(0)
@@ -109,19 +114,27 @@ def assign(cost: np.ndarray) -> np.ndarray:
 
 def balanced_derangements(lengths: list[tuple[int, int]], texts: list[str], pool: int, keep: int, seed: int, gate: float = 1.10, jitter: float = 0.05) -> list[list[int]]:
     """Length-balanced derangements: the optimum's cost bounds the pool (``gate`` times it), jittered assignments fill
-    the pool, and the most different ones by Hamming distance are kept. Runs on the driver over some dozens of texts."""
+    the pool, and the most different ones by Hamming distance of the texts given are kept. No mapping gives an entity its
+    own text; where none can, or the pool stays smaller than ``keep``, that is an error. Runs on the driver over some
+    dozens of texts."""
     a = np.array(lengths, float)
     cost = sum(0.5 * np.abs(np.log((a[:, None, k] + 1) / (a[None, :, k] + 1))) for k in range(2))
     same = np.array([[x == y for y in texts] for x in texts])
     big = np.where(same, 1e6, cost)
     best = assign(big)
+    if same[np.arange(len(a)), best].any():
+        raise ValueError("some entity would keep its own text: more than half of the texts are alike")
     optimum = big[np.arange(len(a)), best].sum()
-    rng, found = np.random.default_rng(seed), {tuple(best.tolist())}
+    code = {x: i for i, x in enumerate(dict.fromkeys(texts))}
+    given = lambda p: tuple(code[texts[k]] for k in p)  # noqa: E731  # mappings that give the same texts are one
+    rng, found = np.random.default_rng(seed), {given(best): tuple(best.tolist())}
     for _ in range(pool):
         p = assign(np.where(same, 1e6, cost + rng.uniform(0, jitter, cost.shape)))
-        if big[np.arange(len(a)), p].sum() <= gate * optimum + 1e-12:
-            found.add(tuple(p.tolist()))
-    return diverse(sorted(found), keep, start=tuple(best.tolist()))
+        if not same[np.arange(len(a)), p].any() and big[np.arange(len(a)), p].sum() <= gate * optimum + 1e-12:
+            found.setdefault(given(p), tuple(p.tolist()))
+    if len(found) < keep:
+        raise ValueError(f"{len(found)} mappings within the gate, {keep} wanted")
+    return [list(found[tuple(s)]) for s in diverse(sorted(found), keep, start=given(best))]
 
 
 def diverse(items: list[tuple[int, ...]], keep: int, start: tuple[int, ...]) -> list[list[int]]:

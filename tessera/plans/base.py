@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators.geometry import cosine_pairs
+from tessera.functions.columns import unit
+from tessera.operators.geometry import blocks_of, clipped_dot, unordered_pairs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -47,7 +48,7 @@ def r6(c: Column | str) -> Column:
 def cells(t: Tables) -> DataFrame:
     """Measured cells: (entity, context, feature, value, is_control, rep) from line items."""
     li = t.lineitem.join(t.part.select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
-    li = li.join(F.broadcast(t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select("s_suppkey", "r_name")), F.col("l_suppkey") == F.col("s_suppkey"))
+    li = li.join(t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select("s_suppkey", "r_name"), F.col("l_suppkey") == F.col("s_suppkey"))
     return li.select(F.col("p_brand").alias("entity"), F.col("r_name").alias("context"), F.month("l_shipdate").cast("bigint").alias("feature"), F.col("l_extendedprice").alias("value"), (F.col("l_returnflag") == "N").alias("is_control"), (F.col("l_linenumber") % 2).cast("bigint").alias("rep"), F.col("l_orderkey").alias("cell"))
 
 
@@ -83,11 +84,10 @@ TWO_VIEWS = "two_views as (select vec_id, label::bigint as label, (embedding::do
 
 
 def rep_pairs(t: Tables) -> DataFrame:
-    """(label, i, j, x, y): cosines of both views for each unordered pair within a label."""
-    v = two_views(t)
-    a = cosine_pairs(v.select("label", "vec_id", "text"), "label", "vec_id", "text").withColumnRenamed("sim", "x")
-    b = cosine_pairs(v.select("label", "vec_id", "resp"), "label", "vec_id", "resp").withColumnRenamed("sim", "y")
-    return a.join(b, ["label", "i", "j"])
+    """(label, i, j, x, y): cosines of both views for each unordered pair within a label, in one pass over the pairs."""
+    v = two_views(t).select("label", "vec_id", unit(F.col("text")).alias("x"), unit(F.col("resp")).alias("y"))
+    p = unordered_pairs(v, "label", "vec_id", blocks_of(t.embeddings, "label"))
+    return p.select("label", "i", "j", clipped_dot("x_a", "x_b").alias("x"), clipped_dot("y_a", "y_b").alias("y"))
 
 
 PAIRS = (

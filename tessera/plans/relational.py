@@ -190,7 +190,7 @@ def j12(t: Tables) -> DataFrame:
 
 @query("j13_greedy_matching")
 def j13(t: Tables) -> DataFrame:
-    p = t.part.where("p_partkey <= 400").select("p_brand", "p_partkey", "p_size")
+    p = t.part.select("p_brand", "p_partkey", "p_size")
     s = unordered_pairs(p, "p_brand", "p_partkey").select("p_brand", F.col("i").alias("left"), F.col("j").alias("right"), (-F.abs(F.col("p_size_a") - F.col("p_size_b"))).cast("double").alias("score"))
     return rel.greedy_matching(s, "p_brand", "left", "right", "score")
 

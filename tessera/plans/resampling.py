@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,22 +68,20 @@ def l05(t: Tables) -> DataFrame:
     return t.part.join(f, "p_brand").groupBy("fold").agg(F.count("*").alias("n_rows"), F.countDistinct("p_brand").alias("n_groups"))
 
 
-@query("l06_stratified_group_folds", """with g as (select source, count(*) as n, lang from documents where lang = 'en' group by all), f as (select source, (row_number() over (order by n desc, sha256('47|' || source)) - 1) % 3 as fold from g) select fold::bigint as fold, count(*)::bigint as n_groups from f group by 1""")
+@query("l06_stratified_group_folds", """with g as (select source, count(*) as n, lang from documents group by all), f as (select lang, source, (row_number() over (partition by lang order by n desc, sha256('47|' || source)) - 1) % 3 as fold from g) select lang, fold::bigint as fold, count(*)::bigint as n_groups from f group by all""")
 def l06(t: Tables) -> DataFrame:
     # groups of a stratum go round the folds in the order of size, then hash; a substitute for a library's shuffle
-    g = t.documents.where("lang = 'en'").groupBy("source").agg(F.count("*").alias("n"))
-    f = g.withColumn("fold", ((F.row_number().over(Window.orderBy(F.col("n").desc(), hash_order(47, F.col("source")))) - 1) % 3).cast("bigint"))
-    return f.groupBy("fold").agg(F.count("*").alias("n_groups"))
+    g = t.documents.groupBy("lang", "source").agg(F.count("*").alias("n"))
+    f = g.withColumn("fold", ((F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), hash_order(47, F.col("source")))) - 1) % 3).cast("bigint"))
+    return f.groupBy("lang", "fold").agg(F.count("*").alias("n_groups"))
 
 
 @query("l07_context_out", f"with {EFFECTS}, c as (select distinct context as target from effects), r as (select target, entity, count(distinct context) filter (context <> target) as k, bool_or(context = target) as has from effects, c group by all) select target, count(*) filter (has and k >= 2)::bigint as n_supported, count(*)::bigint as n_entities from r group by 1")
 def l07(t: Tables) -> DataFrame:
-    # one row per entity with its contexts, then roles by target: no cross join of effects
+    # an entity supports a target that is one of its contexts if two others are left; all entities count for each target
     e = effects(t).groupBy("entity").agg(F.collect_set("context").alias("ctx"))
-    targets = effects(t).select(F.col("context").alias("target")).distinct()
-    r = e.join(targets)
-    k = F.size(F.array_except("ctx", F.array("target")))
-    return r.groupBy("target").agg(F.count_if(F.array_contains("ctx", F.col("target")) & (k >= 2)).alias("n_supported"), F.count("*").alias("n_entities"))
+    own = e.select("entity", F.size("ctx").alias("k"), F.explode("ctx").alias("target"))
+    return own.groupBy("target").agg(F.count_if(F.col("k") > 2).alias("n_supported")).join(e.agg(F.count("*").alias("n_entities")))
 
 
 @query("l08_double_hold_out", f"with {EFFECTS}, f as (select entity, (row_number() over (order by sha256('53|' || entity), entity) - 1) % 5 as fold from (select distinct entity from effects)) select case when fold = 0 and context = 'ASIA' then 'query' when fold <> 0 and context <> 'ASIA' then 'source' else 'unused' end as role, count(*)::bigint as n from effects join f using (entity) group by 1")
@@ -109,9 +109,9 @@ def l09(t: Tables) -> DataFrame:
     return p.select("fold", "vec_id", F.transform("prediction", lambda v: F.round(v, 6)).alias("prediction"))
 
 
-@query("l09b_one_landmark", "with d as (select event_id % 2 as fold, value as x, value * 2 + event_id % 3 as y, event_id % 10 > 0 as train from events where event_id <= 2000), m as (select fold, avg(x) as mx, avg(y) as my, stddev_pop(x) as sd, sum(1) as n from d where train group by 1), b as (select d.fold, max(mx) as mx, max(my) as my, max(sd) as sd, sum((x - mx) / sd * (y - my)) / (sum(((x - mx) / sd) ** 2) + 10) as b from d join m using (fold) where train group by 1) select fold, round(avg(my + (x - mx) / sd * b), 6) + 0.0 as mean_prediction from d join b using (fold) where not train group by 1")
+@query("l09b_one_landmark", "with d as (select event_id % 2 as fold, value as x, value * 2 + event_id % 3 as y, event_id % 10 > 0 as train from events), m as (select fold, avg(x) as mx, avg(y) as my, stddev_pop(x) as sd, sum(1) as n from d where train group by 1), b as (select d.fold, max(mx) as mx, max(my) as my, max(sd) as sd, sum((x - mx) / sd * (y - my)) / (sum(((x - mx) / sd) ** 2) + 10) as b from d join m using (fold) where train group by 1) select fold, round(avg(my + (x - mx) / sd * b), 6) + 0.0 as mean_prediction from d join b using (fold) where not train group by 1")
 def l09b(t: Tables) -> DataFrame:
-    d = t.events.where("event_id <= 2000").select((F.col("event_id") % 2).alias("fold"), "event_id", F.array("value").alias("x"), F.array(F.col("value") * 2 + F.col("event_id") % 3).alias("y"), (F.col("event_id") % 10 > 0).alias("train"))
+    d = t.events.select((F.col("event_id") % 2).alias("fold"), "event_id", F.array("value").alias("x"), F.array(F.col("value") * 2 + F.col("event_id") % 3).alias("y"), (F.col("event_id") % 10 > 0).alias("train"))
     return res.ridge_by_fold(d, "fold", "event_id", "x", "y", "train").groupBy("fold").agg(r6(F.avg(F.col("prediction")[0])).alias("mean_prediction"))
 
 
@@ -158,7 +158,7 @@ def l14(t: Tables) -> DataFrame:
 
 
 def _mapping(t: Tables) -> tuple[list, list[list[int]]]:
-    rows = t.benchmark.where("item_id < 24").orderBy("item_id").select("item_id", "text").collect()  # some dozens of texts
+    rows = t.benchmark.orderBy("item_id").select("item_id", "text").collect()  # the fixed list of test items
     maps = res.balanced_derangements([(len(r.text), len(r.text.split())) for r in rows], [hashlib.sha256(r.text.encode()).hexdigest() for r in rows], pool=60, keep=5, seed=67)
     return rows, maps
 
@@ -180,24 +180,25 @@ def l16(t: Tables) -> DataFrame:
 
 @query("j15_assignment")
 def j15(t: Tables) -> DataFrame:
-    rows = t.supplier.where("s_suppkey <= 40").orderBy("s_suppkey").select("s_suppkey", "s_acctbal").collect()  # forty rows
-    import numpy as np
+    def nation(pdf: pd.DataFrame) -> pd.DataFrame:
+        p = pdf.sort_values("s_suppkey")
+        a = p["s_acctbal"].to_numpy()
+        return pd.DataFrame({"s_suppkey": p["s_suppkey"], "slot": res.assign(np.abs(a[:, None] - np.roll(a, 1)[None, :]))})
 
-    a = np.array([r.s_acctbal for r in rows])
-    pick = res.assign(np.abs(a[:, None] - np.roll(a, 1)[None, :]))
-    return t.spark.createDataFrame([(rows[i].s_suppkey, int(j)) for i, j in enumerate(pick)], "s_suppkey bigint, slot bigint")
+    return t.supplier.select("s_nationkey", "s_suppkey", "s_acctbal").groupBy("s_nationkey").applyInPandas(nation, "s_suppkey bigint, slot bigint")
 
 
 @query("k08_diverse_selection")
 def k08(t: Tables) -> DataFrame:
-    rows = [tuple(map(int, (r.p_size, r.p_partkey % 7, r.p_partkey % 11))) for r in t.part.where("p_partkey <= 80").orderBy("p_partkey").select("p_partkey", "p_size").collect()]
-    got = res.diverse(sorted(set(rows)), 10, start=sorted(set(rows))[0])
+    # a few thousand signatures at any size: 50 sizes by 7 by 11 remainders
+    rows = sorted(tuple(map(int, r)) for r in t.part.select("p_size", F.col("p_partkey") % 7, F.col("p_partkey") % 11).distinct().collect())
+    got = res.diverse(rows, 10, start=rows[0])
     return t.spark.createDataFrame([(i, *r) for i, r in enumerate(got)], "place bigint, a bigint, b bigint, c bigint")
 
 
-@query("l17_prompt_registry", "with p as (select p_partkey, p_brand, p_type from part where p_partkey <= 100) select perm::bigint as perm, p_partkey, substr(sha256(concat_ws(chr(31), perm::varchar, p_brand, p_type)), 1, 16) as prompt_id from p, range(0, 3) r(perm)")
+@query("l17_prompt_registry", "with p as (select p_partkey, p_brand, p_type from part) select perm::bigint as perm, p_partkey, substr(sha256(concat_ws(chr(31), perm::varchar, p_brand, p_type)), 1, 16) as prompt_id from p, range(0, 3) r(perm)")
 def l17(t: Tables) -> DataFrame:
-    p = t.part.where("p_partkey <= 100").withColumn("perm", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(2).cast("bigint"))))
+    p = t.part.withColumn("perm", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(2).cast("bigint"))))
     return p.select("perm", "p_partkey", joined_hash(F.col("perm"), F.col("p_brand"), F.col("p_type"), digits=16).alias("prompt_id"))
 
 

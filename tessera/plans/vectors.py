@@ -13,7 +13,7 @@ from .base import EFFECTS, PAIRS, TWO_VIEWS, Tables, effects, query, r6, rep_pai
 
 @query("v01_cosine_pairs", f"with {PAIRS} select label, i, j, round(x, 6) + 0.0 as sim from rep_pairs")
 def v01(t: Tables) -> DataFrame:
-    return geo.cosine_pairs(two_views(t).select("label", "vec_id", "text"), "label", "vec_id", "text").select("label", "i", "j", r6("sim").alias("sim"))
+    return geo.cosine_pairs(two_views(t).select("label", "vec_id", "text"), "label", "vec_id", "text", blocks=geo.blocks_of(t.embeddings, "label")).select("label", "i", "j", r6("sim").alias("sim"))
 
 
 DUPLICATED = "dup as (select label, vec_id, text, vec_id - (vec_id % 2) as rep from two_views), d2 as (select a.label, a.vec_id, coalesce(b.text, a.text) as text from dup a left join dup b on b.vec_id = a.rep and b.label = a.label)"
@@ -37,12 +37,12 @@ def v03(t: Tables) -> DataFrame:
     return geo.spearman_pairs(v, "context", "entity", "v").select("context", "i", "j", r6("sim").alias("sim"))
 
 
-BITS = "bits as (select c_custkey, c_nationkey::bigint as g, list_distinct(list_filter([c_custkey % 3, c_custkey % 5 + 3, c_custkey % 7 + 8], lambda x: x % 4 <> 0)) as b from customer where c_custkey % 4 = 0)"
+BITS = "bits as (select c_custkey, c_nationkey::bigint as g, list_distinct(list_filter([c_custkey % 3, c_custkey % 5 + 3, c_custkey % 7 + 8], lambda x: x % 4 <> 0)) as b from customer)"
 
 
 def bits(t: Tables) -> DataFrame:
     b = F.filter(F.array(F.col("c_custkey") % 3, F.col("c_custkey") % 5 + 3, F.col("c_custkey") % 7 + 8), lambda x: x % 4 != 0)
-    return t.customer.where("c_custkey % 4 = 0").select("c_custkey", F.col("c_nationkey").cast("bigint").alias("g"), F.array_distinct(b).alias("b"))
+    return t.customer.select("c_custkey", F.col("c_nationkey").cast("bigint").alias("g"), F.array_distinct(b).alias("b"))
 
 
 JACCARD = "case when len(list_distinct(list_concat(a.b, b.b))) = 0 then {empty} else len(list_intersect(a.b, b.b))::double / len(list_distinct(list_concat(a.b, b.b))) end"
@@ -50,14 +50,14 @@ JACCARD = "case when len(list_distinct(list_concat(a.b, b.b))) = 0 then {empty}
 
 @query("v04_jaccard", f"with {BITS} select a.g, a.c_custkey as i, b.c_custkey as j, round({JACCARD.format(empty='1.0')}, 6) + 0.0 as sim from bits a join bits b on a.g = b.g and a.c_custkey < b.c_custkey")
 def v04(t: Tables) -> DataFrame:
-    p = geo.unordered_pairs(bits(t), "g", "c_custkey")
+    p = geo.unordered_pairs(bits(t), "g", "c_custkey", geo.blocks_of(t.customer, "c_nationkey"))
     return p.select("g", "i", "j", r6(jaccard(F.col("b_a"), F.col("b_b"))).alias("sim"))
 
 
 @query("v05_jaccard_nonempty", f"with {BITS} select a.g, a.c_custkey as i, b.c_custkey as j, round({JACCARD.format(empty='null')}, 6) + 0.0 as sim from bits a join bits b on a.g = b.g and a.c_custkey < b.c_custkey where len(a.b) > 0 and len(b.b) > 0")
 def v05(t: Tables) -> DataFrame:
     ok = bits(t).where(F.size("b") > 0).where(F.assert_true(F.size("b") > 0).isNull())  # an empty set that got here would fail the run
-    return geo.unordered_pairs(ok, "g", "c_custkey").select("g", "i", "j", r6(jaccard(F.col("b_a"), F.col("b_b"), None)).alias("sim"))
+    return geo.unordered_pairs(ok, "g", "c_custkey", geo.blocks_of(t.customer, "c_nationkey")).select("g", "i", "j", r6(jaccard(F.col("b_a"), F.col("b_b"), None)).alias("sim"))
 
 
 KERNEL = f"with {BITS}, d as (select bits.*, (c_custkey % 12) // 4 as dose from bits), k as (select a.g, a.c_custkey as i, b.c_custkey as j, {JACCARD.format(empty='1.0')} as jac, (a.dose = b.dose)::int as same from d a join d b on a.g = b.g and a.c_custkey < b.c_custkey)"
@@ -65,7 +65,7 @@ KERNEL = f"with {BITS}, d as (select bits.*, (c_custkey % 12) // 4 as dose from
 
 def kernel(t: Tables) -> DataFrame:
     d = bits(t).withColumn("dose", F.floor(F.col("c_custkey") % 12 / 4))
-    return geo.unordered_pairs(d, "g", "c_custkey").select("g", "i", "j", jaccard(F.col("b_a"), F.col("b_b")).alias("jac"), (F.col("dose_a") == F.col("dose_b")).cast("int").alias("same"))
+    return geo.unordered_pairs(d, "g", "c_custkey", geo.blocks_of(t.customer, "c_nationkey")).select("g", "i", "j", jaccard(F.col("b_a"), F.col("b_b")).alias("jac"), (F.col("dose_a") == F.col("dose_b")).cast("int").alias("same"))
 
 
 @query("v06_structure_dose_kernel", f"{KERNEL} select g, i, j, round(0.5 * (jac + same), 6) + 0.0 as sim from k")
@@ -96,9 +96,9 @@ def v10(t: Tables) -> DataFrame:
     return geo.fuse_ranks(p, "x", "y", "label").select("label", "i", "j", r6("fused").alias("fused"))
 
 
-@query("v11_identity_exposure", "select a.p_partkey as i, b.p_partkey as j, round(((a.p_brand = b.p_brand)::int + (a.p_size = b.p_size)::int) / 2, 6) + 0.0 as sim from part a join part b on a.p_type = b.p_type and a.p_partkey < b.p_partkey where a.p_partkey <= 200 and b.p_partkey <= 200")
+@query("v11_identity_exposure", "select a.p_partkey as i, b.p_partkey as j, round(((a.p_brand = b.p_brand)::int + (a.p_size = b.p_size)::int) / 2, 6) + 0.0 as sim from part a join part b on a.p_type = b.p_type and a.p_partkey < b.p_partkey")
 def v11(t: Tables) -> DataFrame:
-    p = geo.unordered_pairs(t.part.where("p_partkey <= 200").select("p_type", "p_partkey", "p_brand", "p_size"), "p_type", "p_partkey")
+    p = geo.unordered_pairs(t.part.select("p_type", "p_partkey", "p_brand", "p_size"), "p_type", "p_partkey", geo.blocks_of(t.part, "p_type"))
     same = lambda c: (F.col(f"{c}_a") == F.col(f"{c}_b")).cast("int")
     return p.select("i", "j", r6((same("p_brand") + same("p_size")) / 2).alias("sim"))
 
@@ -117,9 +117,9 @@ def v13(t: Tables) -> DataFrame:
 
 @query("v14_submatrix", f"with {PAIRS} select label, i, j, round(x, 6) + 0.0 as sim from rep_pairs where i % 3 = 0 and j % 3 = 0")
 def v14(t: Tables) -> DataFrame:
-    members = t.embeddings.where("vec_id % 3 = 0").select("vec_id")
-    p = rep_pairs(t).join(members.withColumnRenamed("vec_id", "i"), "i", "left_semi").join(members.withColumnRenamed("vec_id", "j"), "j", "left_semi")
-    return p.select("label", "i", "j", r6("x").alias("sim"))
+    # the members are chosen before they are paired; the choice of rows is what the operator is for
+    v = two_views(t).where("vec_id % 3 = 0").select("label", "vec_id", "text")
+    return geo.cosine_pairs(v, "label", "vec_id", "text", blocks=geo.blocks_of(t.embeddings, "label")).select("label", "i", "j", r6("sim").alias("sim"))
 
 
 @query("v15_norm_audit", "select count(*)::bigint as n, bool_and(abs(sqrt(list_sum(list_transform(embedding::double[], lambda x: x * x))) - 1) <= 5e-4) as unit_rows, bool_and(len(embedding) = 64) as one_width from embeddings")
@@ -146,11 +146,11 @@ def v17(t: Tables) -> DataFrame:
     return p.groupBy(F.col("label_a").alias("label")).agg((F.max(F.abs(dot(F.col("u_a"), F.col("u_b")) - 1)) <= 1e-5).alias("invariant"))
 
 
-@query("v18_multi_hot", """with m as (select o_custkey, list_sort(list(distinct o_orderpriority)) as b from orders group by 1), s as (select c_nationkey::bigint as g, c_custkey, b from customer join m on c_custkey = o_custkey where c_custkey <= 400)
+@query("v18_multi_hot", """with m as (select o_custkey, list_sort(list(distinct o_orderpriority)) as b from orders group by 1), s as (select c_nationkey::bigint as g, c_custkey, b from customer join m on c_custkey = o_custkey)
   select a.g, a.c_custkey as i, b.c_custkey as j, round(len(list_intersect(a.b, b.b)) / len(list_distinct(list_concat(a.b, b.b))), 6) + 0.0 as sim from s a join s b on a.g = b.g and a.c_custkey < b.c_custkey""")
 def v18(t: Tables) -> DataFrame:
     member = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.collect_set("o_orderpriority").alias("b"))
-    s = t.customer.where("c_custkey <= 400").select("c_custkey", F.col("c_nationkey").cast("bigint").alias("g")).join(member, "c_custkey").select("g", "c_custkey", "b")
-    return geo.unordered_pairs(s, "g", "c_custkey").select("g", "i", "j", r6(jaccard(F.col("b_a"), F.col("b_b"), None)).alias("sim"))
+    s = t.customer.select("c_custkey", F.col("c_nationkey").cast("bigint").alias("g")).join(member, "c_custkey").select("g", "c_custkey", "b")
+    return geo.unordered_pairs(s, "g", "c_custkey", geo.blocks_of(t.customer, "c_nationkey")).select("g", "i", "j", r6(jaccard(F.col("b_a"), F.col("b_b"), None)).alias("sim"))
 
 
