@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 END = "</w>"
 #: Bytes of words, ids and labels that a Python worker keeps; beyond that it starts again. An entry's objects take ENTRY
 #: bytes besides its characters.
-CACHE_BYTES, ENTRY = 64_000_000, 350
+CACHE_BYTES, ENTRY = 32_000_000, 350
 #: Transitions that a worker keeps.
-ARCS = 300_000
+ARCS = 100_000
 #: The endings that the tokenizer's pattern splits off.
 ENDINGS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 
