@@ -13,7 +13,7 @@ from tessera.functions.text import canonical_entities, split_ids, tokens
 from tessera.operators import metrics as met
 from tessera.operators import relational as rel
 from tessera.operators import resampling as res
-from tessera.operators.geometry import cosine_pairs, distinct_cosine_pairs, fuse_ranks, spearman_pairs
+from tessera.operators.geometry import cosine_pairs, distinct_cosine_pairs, fuse_ranks, spearman_pairs, unordered_pairs
 
 
 def one(df, col):
@@ -161,12 +161,37 @@ def test_assignment_is_optimal():
 
 def test_derangements_keep_no_text():
     texts = ["a", "b", "b", "c", "d"]
-    maps = res.balanced_derangements([(i + 3, i) for i in range(5)], texts, 20, 4, 1, gate=3.0)
-    assert maps and all(texts[i] != texts[j] for m in maps for i, j in enumerate(m))
+    lengths = [(i + 3, i) for i in range(5)]
+    maps = res.balanced_derangements(lengths, texts, 20, 2, 1, gate=3.0)
+    assert len({tuple(texts[j] for j in m) for m in maps}) == 2 and all(texts[i] != texts[j] for m in maps for i, j in enumerate(m))
+    with pytest.raises(ValueError):  # the pool holds two mappings that give different texts
+        res.balanced_derangements(lengths, texts, 20, 4, 1, gate=3.0)
+    with pytest.raises(ValueError):  # one of the two must keep its text
+        res.balanced_derangements(lengths[:3], ["a", "a", "b"], 20, 1, 1)
     p = res.derangement(list("abcde"), texts, 1)
     assert p and all(texts[i] != texts[j] for i, j in enumerate(p))
 
 
+def test_assignment_is_the_cheapest():
+    rng = np.random.default_rng(8)
+    for n in (1, 2, 5, 6):
+        cost = rng.random((n, n))
+        assert cost[np.arange(n), res.assign(cost)].sum() == pytest.approx(min(cost[np.arange(n), list(p)].sum() for p in itertools.permutations(range(n))))
+
+
+def test_ridge_refuses_what_is_not_finite():
+    good = np.ones((3, 2))
+    for x in (np.array([[1.0, np.nan], [1, 2], [3, 4]]), np.ones(3), good.astype(complex), good[:2]):
+        with pytest.raises(ValueError):
+            res.standardised_ridge(x, good, 1.0)
+
+
+def test_pairs_in_blocks_are_the_same(spark):
+    df = spark.range(40).selectExpr("id % 3 as g", "id as k", "id * 2 as v")
+    one, many = (sorted(map(tuple, unordered_pairs(df, "g", "k", b).collect())) for b in (1, 4))
+    assert one == many and len(one) == 247
+
+
 def test_greedy_matching(spark):
     df = spark.createDataFrame([("g", 1, 10, 0.9), ("g", 1, 11, 0.8), ("g", 2, 10, 0.7), ("g", 2, 11, 0.1)], "g string, l int, r int, s double")
     assert {(x.l, x.r) for x in rel.greedy_matching(df, "g", "l", "r", "s").collect()} == {(1, 10), (2, 11)}
