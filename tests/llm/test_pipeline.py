@@ -75,3 +75,16 @@ def test_edited_copies_leave(spark):
 def test_near_duplicates_of_the_documents(spark):
     docs = table(spark, SF, "documents")
     assert {r.doc_id for r in corpus_pipeline.distinct(spark, docs, SF).collect()} == brute_kept([(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_stages_of_odd_and_empty_tables(spark):
+    """Nulls, empty and long texts, repeated rows and extra columns go through every stage; so do no rows at all."""
+    text = "one two three four five six seven eight nine ten " * 8
+    rows = [(1, text, "en", "a"), (1, text, "en", "a"), (2, None, None, None), (3, "", "en", "a"), (None, text, "en", None), (None, None, None, None), (4, "word " * 20_000, "de", "b"), (5, "x" * 100_000, "de", "b")]
+    odd = spark.createDataFrame([(*r, 1, "clash", 2.0) for r in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint, __score string, _tag double")
+    for docs in (odd, odd.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, SF)
+            got = out.collect()
+            assert name == "bpe" or (out.columns == docs.columns and {r.doc_id for r in got} <= {r[0] for r in rows}), name
+            assert bool(got) <= bool(docs.count()) and (name != "bpe" or len(got) == docs.count()), name
