@@ -29,11 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 END = "</w>"
-#: Bytes of words, ids and labels that a Python worker keeps; beyond that it starts again. An entry's objects take ENTRY
-#: bytes besides its characters.
-CACHE_BYTES, ENTRY = 32_000_000, 350
+#: Bytes of words and ids that a Python worker keeps. An entry's objects take ENTRY bytes besides its characters.
+CACHE_BYTES, ENTRY = 40_000_000, 200
 #: Transitions that a worker keeps.
-ARCS = 100_000
+ARCS = 200_000
 #: The endings that the tokenizer's pattern splits off.
 ENDINGS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 
@@ -70,17 +69,20 @@ def no_collection() -> Iterator[None]:
 
 
 class Words(dict):
-    """piece -> (ids, labels), each joined by single spaces; encodes what it lacks, and starts again when full."""
-
-    def __init__(self, encode: Callable[[str], tuple[str, str]]) -> None:
-        self.encode, self.bytes = encode, 0
-
-    def __missing__(self, piece: str) -> tuple[str, str]:
-        found = self.encode(piece)
-        self.bytes += ENTRY + 2 * len(piece) + len(found[0]) + 2 * len(found[1])
-        if self.bytes > CACHE_BYTES:
+    """piece -> its ids, joined by single spaces; encodes what it lacks. Two generations: when the younger takes half the
+    bytes it becomes the older, whose words come back when they are met and else go with it."""
+
+    def __init__(self, encode: Callable[[str], str]) -> None:
+        self.encode, self.bytes, self.older = encode, 0, {}
+
+    def __missing__(self, piece: str) -> str:
+        found = self.older.pop(piece, None)
+        if found is None:
+            found = self.encode(piece)
+        self.bytes += ENTRY + 2 * len(piece) + len(found)
+        if self.bytes > CACHE_BYTES // 2:
+            self.older, self.bytes = dict(self), 0
             self.clear()
-            self.bytes = 0
         self[piece] = found
         return found
 
@@ -147,20 +149,24 @@ class Automaton:
             arcs.clear()
         ends = [-1] + [None] * n
         for j in range(n):
-            kids, base = trie, ends[j] + 1 << 20
-            for i in range(j, n):
-                node = kids.get(symbols[i])
+            kids, base, i = trie, ends[j] + 1 << 20, j
+            for symbol in symbols[j:]:
+                node = kids.get(symbol)
                 if node is None:
                     break
+                i += 1
                 kids, t, last = node
-                if i == n - 1:
+                if i == n:
                     t = last
-                if t is not None and ends[i + 1] is None:
+                if t is not None and ends[i] is None:
+                    if not base:
+                        ends[i] = t  # the start has all arcs
+                        continue
                     found = arcs.get(base | t)
                     if found is None:
                         found = arcs[base | t] = self.has_arc(ends[j], t)
                     if found:
-                        ends[i + 1] = t
+                        ends[i] = t
         out, i = [], n
         while i:
             out.append(ends[i])
@@ -206,7 +212,9 @@ class WordTokenizer:
     def __post_init__(self) -> None:
         self.symbols = byte_symbols()
         self.words = Words(self._word)
-        self.names = {v: k for k, v in self.special.items()}
+        names = {v: k for k, v in self.special.items()}
+        self.names = {str(i): names.get(i) or label for i, label in enumerate(self.automaton.labels)}
+        self.names.update({str(i): name for i, name in names.items()})
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     def __getstate__(self) -> dict:
@@ -216,27 +224,29 @@ class WordTokenizer:
         self.__dict__.update(state)
         self.__post_init__()
 
-    def _word(self, piece: str) -> tuple[str, str]:
-        ids = self.automaton.encode("".join(map(self.symbols.__getitem__, piece.encode("utf-8"))))
-        return " ".join(map(str, ids)), self.decode(ids)
+    def _word(self, piece: str) -> str:
+        plain = piece.isascii() and piece.isalnum()  # such bytes stand for themselves
+        symbols = piece if plain else "".join(map(self.symbols.__getitem__, piece.encode("utf-8")))
+        return " ".join(map(str, self.automaton.encode(symbols)))
 
     def encode_joined(self, text: str | None) -> tuple[str, str]:
         """(ids, labels) of a whole text, each joined by single spaces; null is an empty text."""
-        out: list[tuple[str, str]] = []
+        out: list[str] = []
         for part in self.split.split(text or "") if self.split else [text or ""]:
             if part in self.special:
-                out.append((str(self.special[part]), part))
+                out.append(str(self.special[part]))
                 continue
             part = (part if part.isascii() else unicodedata.normalize("NFC", part).replace("Σ", "σ")).lower()
             out += map(self.words.__getitem__, pieces(0xFFFF if len(part.encode('utf-16-le')) == 2 * len(part) else 0x10FFFF).findall(part))
-        return " ".join([o[0] for o in out]), " ".join([o[1] for o in out])
+        ids = " ".join(out)
+        return ids, " ".join(map(self.names.__getitem__, ids.split()))
 
     def encode(self, text: str | None) -> list[int]:
         return [int(i) for i in self.encode_joined(text)[0].split()]
 
     def decode(self, ids: list[int]) -> str:
         """The arcs' labels, joined as the tokenizer's file has no decoder: by single spaces."""
-        return " ".join([self.names.get(i) or self.automaton.labels[i] for i in ids])
+        return " ".join([self.names[str(i)] for i in ids])
 
 
 def encode_table(docs: DataFrame, tokenizer: WordTokenizer, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
