@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, dom, forest, gam, hostrules, licenses, mixing, simhash, toxicity, urlgraph
+from . import align, bpe, dom, forest, gam, hostrules, licenses, mixing, simhash, toxicity, urlgraph
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +21,12 @@ def tokenizer() -> bpe.WordTokenizer:
     return bpe.WordTokenizer.from_file(os.environ.get("WORD_BPE_FILE") or public_tokenizers.path("word_bpe_49k.json"))
 
 
+def token_files() -> tuple[align.ByteTokens, align.PieceTokens]:
+    """The two tokenizers that are aligned."""
+    byte, piece = os.environ.get("BYTE_BPE_FILE"), os.environ.get("PIECE_BPE_FILE")
+    return align.ByteTokens(byte or public_tokenizers.path("byte_bpe_50k.json")), align.PieceTokens(piece or public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gam.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -61,6 +67,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(table(spark, sf_dir, "documents"), *token_files())
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_host_rules": op2_host_rules,
@@ -72,6 +82,7 @@ QUERIES: dict[str, Query] = {
     "op8_license_scan": op8_license_scan,
     "op9_toxicity": op9_toxicity,
     "op10_mixing": op10_mixing,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 #: Only what SQL can express over whole tables; the others are tested against brute force or held-out rows.
