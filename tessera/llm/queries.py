@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import align, bpe, codes, dom, forest, gam, hostrules, licenses, mixing, simhash, toxicity, urlgraph
+from . import align, bpe, codes, digests, dom, forest, gam, hostrules, licenses, mixing, simhash, toxicity, urlgraph
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -67,6 +67,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op11_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests.near_edited(table(spark, sf_dir, "documents"))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.compress(table(spark, sf_dir, "embeddings"))
 
@@ -86,6 +90,7 @@ QUERIES: dict[str, Query] = {
     "op8_license_scan": op8_license_scan,
     "op9_toxicity": op9_toxicity,
     "op10_mixing": op10_mixing,
+    "op11_document_fingerprints": op11_document_fingerprints,
     "op12_vector_codes": op12_vector_codes,
     "op13_token_alignment": op13_token_alignment,
 }
