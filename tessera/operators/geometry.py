@@ -7,15 +7,20 @@ from pyspark.sql import functions as F
 
 from tessera.functions.columns import dot, unit
 
+from .order import RANK_ROWS, with_ranks
 
 #: Rows of a group that are paired in one task.
 BLOCK_ROWS = 4_096
 
 
+def largest_group(df: DataFrame, group: str) -> int:
+    """Rows of the largest group, nulls aside; 1 at least."""
+    return df.where(F.col(group).isNotNull()).groupBy(group).count().agg(F.max("count").alias("n")).first().n or 1
+
+
 def blocks_of(df: DataFrame, group: str, block_rows: int = BLOCK_ROWS) -> int:
     """Into how many blocks the rows of a group are to be cut, by a count of the largest group."""
-    most = df.groupBy(group).count().agg(F.max("count").alias("n")).first().n or 1
-    return -(-most // block_rows)
+    return -(-largest_group(df, group) // block_rows)
 
 
 def unordered_pairs(df: DataFrame, group: str, key: str, blocks: int = 1) -> DataFrame:
@@ -99,7 +104,12 @@ def spearman_pairs(df: DataFrame, group: str, key: str, vector: str) -> DataFram
     return cosine_pairs(rank_rows(df, [group, key], vector), group, key, "ranks")
 
 
-def fuse_ranks(pairs: DataFrame, a: str, b: str, *group: str) -> DataFrame:
-    """Rank fusion of two pair vectors: (2ra + 2rb - 4) / (4 (m - 1)), integers summed first."""
-    p = pairs.withColumn("_a", doubled_rank(a, *group)).withColumn("_b", doubled_rank(b, *group)).withColumn("_m", F.count(F.lit(1)).over(Window.partitionBy(*group)))
+def fuse_ranks(pairs: DataFrame, a: str, b: str, *group: str, largest: int | None = None, most: int = RANK_ROWS) -> DataFrame:
+    """Rank fusion of two pair vectors: (2ra + 2rb - 4) / (4 (m - 1)), integers summed first; ``largest`` and ``most`` as
+    in ``with_ranks``."""
+    p = with_ranks(pairs, {"_a": a, "_b": b}, *group, doubled=True, largest=largest, most=most)
+    if (largest or 0) <= most:
+        p = p.withColumn("_m", F.count(F.lit(1)).over(Window.partitionBy(*group)))
+    else:
+        p = p.join(F.broadcast(p.groupBy(*group).agg(F.count(F.lit(1)).alias("_m"))), list(group))  # a row per group of over ``most`` rows
     return p.withColumn("fused", (F.col("_a") + F.col("_b") - 4) / F.nullif(4 * (F.col("_m") - 1), F.lit(0))).drop("_a", "_b", "_m")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.columns import try_ratio
 
-from .geometry import average_rank
+from .order import RANK_ROWS, with_ranks
 
 
 def pearson(x: str, y: str) -> Column:
@@ -19,10 +19,11 @@ def pearson(x: str, y: str) -> Column:
     return F.when((sxx > tiny * F.abs(F.sum(a * a))) & (syy > tiny * F.abs(F.sum(b * b))), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), try_ratio(sxy, F.sqrt(F.greatest(sxx, F.lit(0.0)) * F.greatest(syy, F.lit(0.0)))))))
 
 
-def spearman(df: DataFrame, x: str, y: str, *group: str, minimum: int = 3, name: str = "rho") -> DataFrame:
-    """(group, n, rho, status): rank correlation over the rows where both sides are known."""
+def spearman(df: DataFrame, x: str, y: str, *group: str, minimum: int = 3, name: str = "rho", largest: int | None = None, most: int = RANK_ROWS) -> DataFrame:
+    """(group, n, rho, status): rank correlation over the rows where both sides are known; ``largest`` and ``most`` as in
+    ``with_ranks``."""
     ok = df.where(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(x) & ~F.isnan(y))
-    r = ok.withColumn("_x", average_rank(x, *group)).withColumn("_y", average_rank(y, *group))
+    r = with_ranks(ok, {"_x": x, "_y": y}, *group, largest=largest, most=most)
     flat = lambda c: F.max(c) - F.min(c) <= 1e-12
     n = F.count(F.lit(1))
     status = F.when(n < minimum, "too_few").when(flat(x), "constant_text").when(flat(y), "constant_response").otherwise("ok")

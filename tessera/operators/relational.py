@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions.columns import hash_order, tri_state
 
+from .order import hash_positions
+
 
 def assert_unique(df: DataFrame, *keys: str) -> DataFrame:
     """``df`` itself; fails at run time if a key comes twice. The check is a window over the keys, so nothing is read twice."""
@@ -47,8 +49,8 @@ def role_by_order(df: DataFrame, keys: list[str], order: Column, name: str = "ro
 
 def group_folds(df: DataFrame, group: str, k: int, seed: int) -> DataFrame:
     """(group, fold): distinct groups in hash order, dealt round-robin."""
-    g = df.select(group).where(F.col(group).isNotNull()).distinct().withColumn("_h", hash_order(seed, F.col(group)))
-    return g.select(group, ((F.row_number().over(Window.orderBy("_h", group)) - 1) % k).cast("bigint").alias("fold"))
+    g = hash_positions(df.select(group).where(F.col(group).isNotNull()).distinct(), group, seed)
+    return g.select(group, (F.col("position") % k).alias("fold"))
 
 
 def landmarks(df: DataFrame, entity: str, key: str, count: int, seed: int) -> DataFrame:

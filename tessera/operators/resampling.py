@@ -36,42 +36,6 @@ def sign_flip(df: DataFrame, group: str, value: str, most: int = 20) -> DataFram
     return d.select(group, "n").join(p.select(group, "p"), group, "left")
 
 
-def standardised_ridge(x: np.ndarray, y: np.ndarray, alpha: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(mean, scale, coefficients, intercept): features standardised by training rows (scale 1 where almost constant),
-    the intercept unpenalised. Inputs must be tables of real, finite numbers with as many rows each."""
-    for name, v in (("features", x), ("targets", y)):
-        if v.ndim != 2 or not np.issubdtype(v.dtype, np.number) or np.iscomplexobj(v) or not np.isfinite(v).all():
-            raise ValueError(f"{name} must be a two-dimensional table of real, finite numbers")
-    if len(x) != len(y) or not len(x) or alpha < 0:
-        raise ValueError("features and targets need as many rows, one at least, and the penalty must not be negative")
-    mu, sd = x.mean(0), x.std(0)
-    sd = np.where(sd < 1e-8, 1.0, sd)
-    z, ym = (x - mu) / sd, y.mean(0)
-    b = np.linalg.solve(z.T @ z + alpha * np.eye(x.shape[1]), z.T @ (y - ym))
-    return mu, sd, b, ym
-
-
-def ridge_by_fold(df: DataFrame, fold: str, key: str, x: str, y: str, is_train: str, alpha: float = 10.0) -> DataFrame:
-    """(fold, key, prediction): ridge per fold, fitted to its training rows, applied to the others' distinct inputs.
-
-    A fold is one pandas frame: its width is the number of landmarks, which is bounded, its length one fold's rows."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf.sort_values(key)
-        tr, te = p[p[is_train]], p[~p[is_train]]
-        if tr.empty or te.empty:
-            return pd.DataFrame({fold: p[fold][:0], key: p[key][:0], "prediction": pd.Series([], dtype=object)})
-        mu, sd, b, ym = standardised_ridge(np.stack(tr[x].to_list()), np.stack(tr[y].to_list()), alpha)
-        q = np.stack(te[x].to_list())
-        uniq, back = np.unique(q, axis=0, return_inverse=True)
-        pred = ((uniq - mu) / sd) @ b + ym
-        return pd.DataFrame({fold: te[fold].to_numpy(), key: te[key].to_numpy(), "prediction": pred[back.ravel()].tolist()})
-
-    base = df.select(fold, key, x, y, is_train)
-    kinds = {f.name: f.dataType.simpleString() for f in base.schema}
-    return base.groupBy(fold).applyInPandas(run, f"`{fold}` {kinds[fold]}, `{key}` {kinds[key]}, prediction array<double>")
-
-
 def derangement(names: list[str], texts: list[str], seed: int, attempts: int = 2000) -> list[int] | None:
     """A permutation that gives no entry its own text (equal texts count as its own); by rejection; None if none is found."""
     rng = np.random.default_rng(seed)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import unit
-from tessera.operators.geometry import blocks_of, clipped_dot, unordered_pairs
+from tessera.operators.geometry import BLOCK_ROWS, clipped_dot, largest_group, unordered_pairs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -20,6 +20,14 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.dir = spark, sf_dir
 
+        self._largest: dict[tuple[str, str], int] = {}
+
+    def largest(self, table: str, group: str) -> int:
+        """Rows of the largest group of a table, counted once."""
+        if (table, group) not in self._largest:
+            self._largest[table, group] = largest_group(getattr(self, table), group)
+        return self._largest[table, group]
+
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
@@ -86,10 +94,16 @@ TWO_VIEWS = "two_views as (select vec_id, label::bigint as label, (embedding::do
 def rep_pairs(t: Tables) -> DataFrame:
     """(label, i, j, x, y): cosines of both views for each unordered pair within a label, in one pass over the pairs."""
     v = two_views(t).select("label", "vec_id", unit(F.col("text")).alias("x"), unit(F.col("resp")).alias("y"))
-    p = unordered_pairs(v, "label", "vec_id", blocks_of(t.embeddings, "label"))
+    p = unordered_pairs(v, "label", "vec_id", -(-t.largest("embeddings", "label") // BLOCK_ROWS))
     return p.select("label", "i", "j", clipped_dot("x_a", "x_b").alias("x"), clipped_dot("y_a", "y_b").alias("y"))
 
 
+def most_pairs(t: Tables) -> int:
+    """Pairs of the largest label."""
+    n = t.largest("embeddings", "label")
+    return n * (n - 1) // 2
+
+
 PAIRS = (
     TWO_VIEWS
     + """, rep_pairs as (select a.label, a.vec_id as i, b.vec_id as j, list_cosine_similarity(a.text, b.text) as x,

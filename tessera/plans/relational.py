@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import hash_order
+from tessera.operators import linear as lin
 from tessera.operators import relational as rel
+from tessera.operators.order import hash_positions, with_ranks
 from tessera.operators.metrics import confusion, equal_weight, fractional_topk
 
 from .base import CELLS, EFFECTS, METRICS, TWO_VIEWS, Tables, cells, effects, metric_table, query, r6, two_views
@@ -139,7 +142,7 @@ def j05(t: Tables) -> DataFrame:
 
 @query("j06_reorder", "select row_number() over (order by sha256('5|' || c_custkey), c_custkey)::bigint as position, c_custkey, c_acctbal from customer")
 def j06(t: Tables) -> DataFrame:
-    order = t.customer.select("c_custkey", F.row_number().over(Window.orderBy(hash_order(5, F.col("c_custkey")), "c_custkey")).cast("bigint").alias("position"))
+    order = hash_positions(t.customer.select("c_custkey").where("c_custkey is not null"), "c_custkey", 5).withColumn("position", F.col("position") + 1)
     return order.join(t.customer.select("c_custkey", "c_acctbal"), "c_custkey").select("position", "c_custkey", "c_acctbal")
 
 
@@ -195,13 +198,14 @@ def j13(t: Tables) -> DataFrame:
     return rel.greedy_matching(s, "p_brand", "left", "right", "score")
 
 
-@query("j14_landmark_kernel", f"with {TWO_VIEWS} select q.vec_id, l.vec_id as landmark, round(list_cosine_similarity(q.text, l.text), 6) + 0.0 as sim from two_views q, (select * from two_views order by sha256('9|' || vec_id), vec_id limit 8) l")
+@query("j14_landmark_kernel", f"with {TWO_VIEWS} select q.vec_id, l.vec_id as landmark, round(list_cosine_similarity(q.text, l.text) * list_cosine_similarity(q.resp, l.resp), 6) + 0.0 as sim from two_views q, (select * from two_views order by sha256('9|' || vec_id), vec_id limit 256) l")
 def j14(t: Tables) -> DataFrame:
-    from tessera.functions.columns import dot, unit
-
-    v = two_views(t).select("vec_id", unit(F.col("text")).alias("u"))
-    marks = v.orderBy(hash_order(9, F.col("vec_id")), "vec_id").limit(8).select(F.col("vec_id").alias("landmark"), F.col("u").alias("w"))
-    return v.join(F.broadcast(marks)).select("vec_id", "landmark", r6(dot(F.col("u"), F.col("w"))).alias("sim"))  # eight rows are broadcast
+    # the product kernel of every row with 256 landmarks; the landmarks are the sent side at every size
+    v = two_views(t)
+    marks = lin.choose_landmarks(v, "vec_id", 256, 9)
+    x = lin.landmark_features(v, "text", np.array([r.text for r in marks]), "resp", np.array([r.resp for r in marks]), "interaction")
+    names = F.lit([r.vec_id for r in marks])
+    return x.select("vec_id", F.posexplode("x").alias("k", "s")).select("vec_id", F.get(names, "k").alias("landmark"), r6("s").alias("sim"))
 
 
 # A: aggregates
@@ -406,6 +410,14 @@ def w02(t: Tables) -> DataFrame:
     return metric_table(t).select("dataset", "metric", "model", doubled_rank("value", "dataset", "metric").alias("r"))
 
 
+@query("w02b_large_group_rank", "select l_orderkey, l_linenumber::bigint as l_linenumber, (2 * rank() over (partition by l_returnflag order by l_extendedprice) + count(*) over (partition by l_returnflag, l_extendedprice) - 1)::bigint as r, (2 * rank() over (partition by l_returnflag order by l_quantity) + count(*) over (partition by l_returnflag, l_quantity) - 1)::bigint as q from lineitem")
+def w02b(t: Tables) -> DataFrame:
+    # three groups that hold the whole table: by counts per value and running totals, never a group in one task
+    d = t.lineitem.select("l_orderkey", F.col("l_linenumber").cast("bigint").alias("l_linenumber"), "l_returnflag", "l_extendedprice", "l_quantity")
+    r = with_ranks(d, {"r": "l_extendedprice", "q": "l_quantity"}, "l_returnflag", doubled=True, largest=1, most=0)
+    return r.select("l_orderkey", "l_linenumber", "r", "q")
+
+
 @query("w03_group_centering", "select c_custkey, round(c_acctbal - avg(c_acctbal) over (partition by c_nationkey), 6) + 0.0 as centered from customer")
 def w03(t: Tables) -> DataFrame:
     return t.customer.select("c_custkey", r6(F.col("c_acctbal") - F.avg("c_acctbal").over(Window.partitionBy("c_nationkey"))).alias("centered"))

@@ -6,16 +6,18 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.columns import hash_order, joined_hash
+from tessera.functions.columns import hash_order, joined_hash, unit
+from tessera.operators import linear as lin
 from tessera.operators import metrics as met
 from tessera.operators import relational as rel
 from tessera.operators import resampling as res
 from tessera.operators.geometry import unordered_pairs
+from tessera.operators.order import hash_positions
 
-from .base import EFFECTS, METRICS, PAIRS, Tables, effects, metric_table, query, r6, rep_pairs
+from .base import EFFECTS, METRICS, PAIRS, Tables, effects, metric_table, most_pairs, query, r6, rep_pairs
 
 WIDE = f"{METRICS}, wd as (select dataset, max(value) filter (model = '1-URGENT' and metric = 'rsa') - max(value) filter (model = '5-LOW' and metric = 'rsa') as d, max(value) filter (model = '1-URGENT' and metric = 'ndcg') - max(value) filter (model = '5-LOW' and metric = 'ndcg') as e from metric_table group by 1)"
 
@@ -92,34 +94,56 @@ def l08(t: Tables) -> DataFrame:
     return j.groupBy(role.alias("role")).agg(F.count("*").alias("n"))
 
 
-def fold_rows(t: Tables) -> DataFrame:
-    """(fold, vec_id, x, y, train) for five folds: eight landmark cosines as inputs, three dimensions as outputs."""
-    from tessera.functions.columns import dot, unit
+FOLDS, LANDMARKS = 5, 256
 
+
+def landmark_rows(t: Tables, mode: str = "perturbation_only") -> DataFrame:
+    """(vec_id, fold, others, x, y): features by 256 landmarks in hash order, three dimensions as targets, and the folds
+    that a row trains."""
     v = t.embeddings.select("vec_id", unit(F.col("embedding").cast("array<double>")).alias("u"))
-    marks = [r.u for r in v.orderBy(hash_order(59, F.col("vec_id")), "vec_id").limit(8).collect()]
-    x = F.array(*[dot(F.col("u"), F.lit(m)) for m in marks])
-    base = v.select("vec_id", x.alias("x"), F.slice("u", 1, 3).alias("y"))
-    return base.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(4)))).withColumn("train", F.col("vec_id") % 5 != F.col("fold"))
+    v = v.select("vec_id", "u", F.slice("u", 1, 48).alias("text"), F.slice("u", 17, 48).alias("resp"), F.slice("u", 1, 3).alias("y"), (F.col("vec_id") % FOLDS).alias("fold"))
+    marks = lin.choose_landmarks(v, "vec_id", LANDMARKS, 59)
+    side = lambda c: np.array([r[c] for r in marks])
+    if mode == "interaction":
+        x = lin.landmark_features(v, "text", side("text"), "resp", side("resp"), mode)
+    else:
+        x = lin.landmark_features(v, "u", side("u"))
+    return x.select("vec_id", "fold", other_folds().alias("others"), "x", "y")
+
+
+def other_folds() -> Column:
+    return F.filter(F.sequence(F.lit(0), F.lit(FOLDS - 1)), lambda m: m != F.col("fold"))
+
+
+def _predicted(rows: DataFrame) -> DataFrame:
+    p = lin.LandmarkRidge(10.0).fit(rows, "x", "y", F.col("others")).predict(rows, "x", F.col("fold"))
+    return p.select("fold", "vec_id", F.transform("prediction", lambda v: F.round(v, 6) + 0.0).alias("prediction"))
 
 
 @query("l09_landmark_ridge")
 def l09(t: Tables) -> DataFrame:
-    p = res.ridge_by_fold(fold_rows(t), "fold", "vec_id", "x", "y", "train")
-    return p.select("fold", "vec_id", F.transform("prediction", lambda v: F.round(v, 6)).alias("prediction"))
+    return _predicted(landmark_rows(t))
+
+
+@query("l09c_interaction_ridge")
+def l09c(t: Tables) -> DataFrame:
+    # features are products of two kernels
+    return _predicted(landmark_rows(t, "interaction"))
 
 
 @query("l09b_one_landmark", "with d as (select event_id % 2 as fold, value as x, value * 2 + event_id % 3 as y, event_id % 10 > 0 as train from events), m as (select fold, avg(x) as mx, avg(y) as my, stddev_pop(x) as sd, sum(1) as n from d where train group by 1), b as (select d.fold, max(mx) as mx, max(my) as my, max(sd) as sd, sum((x - mx) / sd * (y - my)) / (sum(((x - mx) / sd) ** 2) + 10) as b from d join m using (fold) where train group by 1) select fold, round(avg(my + (x - mx) / sd * b), 6) + 0.0 as mean_prediction from d join b using (fold) where not train group by 1")
 def l09b(t: Tables) -> DataFrame:
-    d = t.events.select((F.col("event_id") % 2).alias("fold"), "event_id", F.array("value").alias("x"), F.array(F.col("value") * 2 + F.col("event_id") % 3).alias("y"), (F.col("event_id") % 10 > 0).alias("train"))
-    return res.ridge_by_fold(d, "fold", "event_id", "x", "y", "train").groupBy("fold").agg(r6(F.avg(F.col("prediction")[0])).alias("mean_prediction"))
+    d = t.events.select((F.col("event_id") % 2).alias("fold"), F.array("value").alias("x"), F.array(F.col("value") * 2 + F.col("event_id") % 3).alias("y"), (F.col("event_id") % 10 > 0).alias("train"))
+    model = lin.LandmarkRidge(10.0).fit(d, "x", "y", F.when(F.col("train"), F.array("fold")))
+    return model.predict(d.where("not train"), "x", F.col("fold")).groupBy("fold").agg(r6(F.avg(F.col("prediction")[0])).alias("mean_prediction"))
 
 
-@query("l10_predict_distinct")
+@query("l10_predict_distinct", """with v as (select vec_id, vec_id % 5 as fold, embedding::double[] as u from embeddings), m as (select u as w, row_number() over (order by sha256('59|' || vec_id), vec_id) as k from v qualify k <= 256),
+  f as (select vec_id, fold, list(round(list_cosine_similarity(u, w)) + 0.0 order by k) as x from v, m group by all) select fold, x, count(*)::bigint as n, 1::bigint as n_predictions from f group by all""")
 def l10(t: Tables) -> DataFrame:
-    # equal inputs must have bitwise equal predictions
-    d = fold_rows(t).withColumn("x", F.transform("x", lambda v: F.round(v, 0)))
-    p = res.ridge_by_fold(d, "fold", "vec_id", "x", "y", "train").join(d.select("fold", "vec_id", "x"), ["fold", "vec_id"])
+    # equal inputs are predicted once and have bitwise equal predictions
+    d = landmark_rows(t).withColumn("x", F.transform("x", lambda v: F.round(v, 0) + 0.0))
+    p = lin.LandmarkRidge(10.0).fit(d, "x", "y", F.col("others")).predict_distinct(d.select("vec_id", "fold", "x"), "x", "fold")
     return p.groupBy("fold", "x").agg(F.count("*").alias("n"), F.countDistinct("prediction").alias("n_predictions"))
 
 
@@ -134,13 +158,13 @@ def l11(t: Tables) -> DataFrame:
 
 @query("l12_field_readout")
 def l12(t: Tables) -> DataFrame:
-    labels = [r.label for r in t.embeddings.where("label is not null").select("label").distinct().orderBy("label").collect()]
-    v = t.embeddings.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("x"), F.array(*[(F.col("label") == k).cast("double") for k in labels]).alias("y"))
-    d = v.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(4)))).withColumn("train", F.col("vec_id") % 5 != F.col("fold"))
-    p = res.ridge_by_fold(d, "fold", "vec_id", "x", "y", "train", alpha=10.0)
-    best = F.element_at(F.lit([str(k) for k in labels]), F.array_position("prediction", F.array_max("prediction")).cast("int"))
-    j = p.join(v.select("vec_id", F.col("label").cast("string").alias("truth")), "vec_id").select("truth", best.alias("pred"))
-    return met.classification(j, "truth", "pred").select(*[r6(c).alias(c) for c in ("accuracy", "macro_f1", "balanced_accuracy")])
+    labels = sorted(str(r.label) for r in t.embeddings.where("label is not null").select("label").distinct().collect())
+    truth = F.col("label").cast("string")
+    v = t.embeddings.where("label is not null").select(truth.alias("truth"), F.col("embedding").alias("x"), F.array(*[(truth == k).cast("double") for k in labels]).alias("y"), (F.col("vec_id") % FOLDS).alias("fold"))
+    p = lin.LandmarkRidge(10.0).fit(v, "x", "y", other_folds()).predict(v, "x", F.col("fold"))
+    # the first of equal predictions is the lexically least label
+    best = F.element_at(F.lit(labels), F.array_position("prediction", F.array_max("prediction")).cast("int"))
+    return met.classification(p.select("truth", best.alias("pred")), "truth", "pred").select(*[r6(c).alias(c) for c in ("accuracy", "macro_f1", "balanced_accuracy")])
 
 
 @query("l13_registry", "select method, contrast, method || ':' || contrast as id from (values ('native'), ('text'), ('fused')) m(method), (values ('vs_zero'), ('vs_mean')) c(contrast)")
@@ -152,7 +176,7 @@ def l13(t: Tables) -> DataFrame:
 @query("l14_derangement", "with b as (select p_brand, row_number() over (order by sha256('61|' || p_brand), p_brand) as k, count(*) over () as n from (select distinct p_brand from part)) select a.p_brand as entity, b.p_brand as given from b a join b on b.k = a.k % a.n + 1")
 def l14(t: Tables) -> DataFrame:
     # rotation in hash order: no entity keeps its own text
-    b = t.part.select("p_brand").distinct().withColumn("k", F.row_number().over(Window.orderBy(hash_order(61, F.col("p_brand")), "p_brand")))
+    b = hash_positions(t.part.select("p_brand").where("p_brand is not null").distinct(), "p_brand", 61, "k").withColumn("k", F.col("k") + 1)
     n = b.agg(F.count("*").alias("n"))
     return b.join(F.broadcast(n)).select(F.col("p_brand").alias("entity"), (F.col("k") % F.col("n") + 1).alias("k")).join(b.withColumnRenamed("p_brand", "given"), "k").select("entity", "given")
 
@@ -294,7 +318,7 @@ def l28(t: Tables) -> DataFrame:
   c as (select label, object, corr(a, b) as rho from r group by all) select a.label, round(a.rho, 6) + 0.0 as text_rho, round(b.rho - a.rho, 6) + 0.0 as contrast from c a join c b on a.label = b.label and a.object = 'text' and b.object = 'fused'""")
 def l29(t: Tables) -> DataFrame:
     objects = F.inline(F.array(F.struct(F.lit("text").alias("object"), F.col("x").alias("s")), F.struct(F.lit("fused").alias("object"), ((F.col("x") + F.col("y")) / 2).alias("s"))))
-    s = met.spearman(rep_pairs(t).select("label", "y", objects), "s", "y", "label", "object")
+    s = met.spearman(rep_pairs(t).select("label", "y", objects), "s", "y", "label", "object", largest=most_pairs(t))
     w = s.groupBy("label").pivot("object", ["text", "fused"]).agg(F.first("rho"))
     return w.select("label", r6("text").alias("text_rho"), r6(F.col("fused") - F.col("text")).alias("contrast"))
 

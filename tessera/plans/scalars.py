@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import columns as col
 from tessera.functions import text as txt
 from tessera.operators import kernels
+from tessera.operators.order import hash_positions
 
 from .base import CELLS, EFFECTS, Tables, cells, effects, query, r6
 
@@ -142,9 +143,8 @@ def f19(t: Tables) -> DataFrame:
 @query("f20_anonymous_views", """with n as (select p_brand, 'entity ' || row_number() over (order by sha256('31|' || p_brand)) as anon from (select distinct p_brand from part))
   select p_partkey, view, case view when 'P1' then anon when 'P2' then anon || ' in ' || p_type when 'P3' then anon || ' at ' || p_size else anon || ' in ' || p_type || ' at ' || p_size end as text from part join n using (p_brand), (values ('P1'), ('P2'), ('P3'), ('P4')) v(view)""")
 def f20(t: Tables) -> DataFrame:
-    from pyspark.sql import Window
-
-    names = t.part.select("p_brand").distinct().select("p_brand", F.concat(F.lit("entity "), F.row_number().over(Window.orderBy(col.hash_order(31, F.col("p_brand"))))).alias("anon"))
+    names = hash_positions(t.part.select("p_brand").where("p_brand is not null").distinct(), "p_brand", 31)
+    names = names.select("p_brand", F.concat(F.lit("entity "), (F.col("position") + 1).cast("string")).alias("anon"))
     bio, exp = F.concat(F.lit(" in "), "p_type"), F.concat(F.lit(" at "), F.col("p_size").cast("string"))
     views = [F.struct(F.lit(v).alias("view"), F.concat("anon", *parts).alias("text")) for v, parts in (("P1", ()), ("P2", (bio,)), ("P3", (exp,)), ("P4", (bio, exp)))]
     return t.part.join(names, "p_brand").select("p_partkey", F.inline(F.array(*views)))

@@ -9,7 +9,7 @@ from tessera.functions.columns import hash_order, try_ratio
 from tessera.operators import metrics as met
 from tessera.operators.geometry import average_rank, blocks_of, unordered_pairs
 
-from .base import CELLS, EFFECTS, METRICS, PAIRS, Tables, cells, effects, metric_table, query, r6, rep_pairs
+from .base import CELLS, EFFECTS, METRICS, PAIRS, Tables, cells, effects, metric_table, most_pairs, query, r6, rep_pairs
 from .relational import VISIBLE, p12
 
 RANKED = f"""{PAIRS}, rk as (select label, x, y, rank() over (partition by label order by x) + (count(*) over (partition by label, x) - 1) / 2.0::double as rx,
@@ -18,7 +18,7 @@ RANKED = f"""{PAIRS}, rk as (select label, x, y, rank() over (partition by label
 
 @query("m01_rsa_status", f"with {RANKED} select label, count(*)::bigint as n, round(corr(rx, ry), 6) + 0.0 as rho, 'ok' as status from rk group by 1")
 def m01(t: Tables) -> DataFrame:
-    return met.spearman(rep_pairs(t), "x", "y", "label").select("label", "n", r6("rho").alias("rho"), "status")
+    return met.spearman(rep_pairs(t), "x", "y", "label", largest=most_pairs(t)).select("label", "n", r6("rho").alias("rho"), "status")
 
 
 @query("m02_rank_correlation", f"with {EFFECTS}, p as (select a.entity, a.feature, a.effect as x, b.effect as y from effects a join effects b using (entity, feature) where a.context = 'ASIA' and b.context = 'EUROPE'), r as (select entity, rank() over (partition by entity order by x) + 0.0::double as rx, rank() over (partition by entity order by y) + 0.0::double as ry from p) select entity, count(*)::bigint as n, round(corr(rx, ry), 6) + 0.0 as rho from r group by 1")
@@ -103,7 +103,7 @@ def m09(t: Tables) -> DataFrame:
 
 @query("m10_constant_is_null", "select label::bigint as label, count(*)::bigint as n, null::double as rho, 'constant_text' as status from (select a.label from embeddings a join embeddings b on a.label = b.label and a.vec_id < b.vec_id) group by 1")
 def m10(t: Tables) -> DataFrame:
-    return met.spearman(rep_pairs(t).withColumn("x", F.lit(0.25)), "x", "y", "label").select("label", "n", "rho", "status")
+    return met.spearman(rep_pairs(t).withColumn("x", F.lit(0.25)), "x", "y", "label", largest=most_pairs(t)).select("label", "n", "rho", "status")
 
 
 @query("m11_set_retrieval", f"""with {BOTH}, o as (select label, q, c, c % 4 = q % 4 as pos, row_number() over (partition by label, q order by round(score, 8) desc, c) as r, score from nb), m as (select label, q, min(r) filter (pos) as fr, max(score) filter (pos) as best from o group by all)
@@ -298,6 +298,6 @@ def m29(t: Tables) -> DataFrame:
   select label, round(max(rho) filter (kind = 'fused') - max(rho) filter (kind <> 'fused'), 6) + 0.0 as delta from c group by 1""")
 def m30(t: Tables) -> DataFrame:
     z = rep_pairs(t).select("label", (F.col("x") * F.col("y")).alias("resp"), F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("val")) for k, v in (("native", F.col("x")), ("lang", F.col("y")), ("fused", (F.col("x") + F.col("y")) / 2))])))
-    s = met.spearman(z, "val", "resp", "label", "kind")
+    s = met.spearman(z, "val", "resp", "label", "kind", largest=most_pairs(t))
     fused = F.col("kind") == "fused"
     return s.groupBy("label").agg(r6(F.max(F.when(fused, F.col("rho"))) - F.max(F.when(~fused, F.col("rho")))).alias("delta"))

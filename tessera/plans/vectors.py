@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions.columns import dot, jaccard, norm, unit
 from tessera.operators import geometry as geo
 
-from .base import EFFECTS, PAIRS, TWO_VIEWS, Tables, effects, query, r6, rep_pairs, two_views
+from .base import EFFECTS, PAIRS, TWO_VIEWS, Tables, effects, most_pairs, query, r6, rep_pairs, two_views
 
 
 @query("v01_cosine_pairs", f"with {PAIRS} select label, i, j, round(x, 6) + 0.0 as sim from rep_pairs")
@@ -93,7 +93,7 @@ def v09(t: Tables) -> DataFrame:
   2 * rank() over (partition by label order by y) + count(*) over (partition by label, y) - 1 as rb, count(*) over (partition by label) as m from q) select label, i, j, round((ra + rb - 4) / (4 * (m - 1)), 6) + 0.0 as fused from r""")
 def v10(t: Tables) -> DataFrame:
     p = rep_pairs(t).select("label", "i", "j", F.round("x", 2).alias("x"), F.round("y", 2).alias("y"))
-    return geo.fuse_ranks(p, "x", "y", "label").select("label", "i", "j", r6("fused").alias("fused"))
+    return geo.fuse_ranks(p, "x", "y", "label", largest=most_pairs(t)).select("label", "i", "j", r6("fused").alias("fused"))
 
 
 @query("v11_identity_exposure", "select a.p_partkey as i, b.p_partkey as j, round(((a.p_brand = b.p_brand)::int + (a.p_size = b.p_size)::int) / 2, 6) + 0.0 as sim from part a join part b on a.p_type = b.p_type and a.p_partkey < b.p_partkey")
