@@ -17,9 +17,10 @@ otherwise by a join on the pair, hot pairs apart.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cached_property
 
 import numpy as np
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .bpe import Words, byte_symbols
+from .bpe import byte_symbols
 from .common import HotKeys, materialize, nullable_key, quoted
 
 #: Bytes of text whose events are in one row.
@@ -45,6 +46,31 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 SPACE = "▁"
 
 
+#: Bytes that a worker keeps of stretches of text and their ids, about; an entry takes ENTRY besides.
+KEPT_BYTES, ENTRY = 150_000_000, 160
+
+
+class Kept:
+    """Ids of stretches of text, as bytes. Two generations: when the younger takes half the bytes it becomes the older,
+    whose stretches come back when they are met and else go with it."""
+
+    def __init__(self, encode: Callable[[list[str]], list[bytes]]) -> None:
+        self.encode, self.young, self.older, self.bytes = encode, {}, {}, 0
+
+    def joined(self, parts: list[str]) -> bytes:
+        lacking = set(parts).difference(self.young)
+        if lacking:
+            if self.bytes > KEPT_BYTES // 2:
+                self.young, self.older, self.bytes = {}, self.young, 0
+                lacking = set(parts)
+            found = {p: self.older.pop(p) for p in lacking & self.older.keys()}
+            new = [p for p in lacking if p not in found]
+            found.update(zip(new, self.encode(new), strict=True))
+            self.young.update(found)
+            self.bytes += sum(ENTRY + 2 * len(p) + len(i) for p, i in found.items())
+        return b"".join(map(self.young.__getitem__, parts))
+
+
 class ByteTokens:
     """A byte-level BPE file (JSON). ``encode`` gives the ids of space + text; special tokens' strings are plain text."""
 
@@ -92,14 +118,23 @@ class PieceTokens:
         return sentencepiece.SentencePieceProcessor(model_proto=self.proto)
 
     @cached_property
-    def _stretches(self) -> Words:
-        return Words(self._stretch)
+    def _kept(self) -> Kept:
+        return Kept(self._stretches)
 
-    def _stretch(self, part: str) -> bytes:
-        ids = self._model.encode("\n" + part)[2:]
-        if b"".join(self.bytes.get(i, b"") for i in ids) != part.encode("utf-8"):
+    def _stretches(self, parts: list[str]) -> list[bytes]:
+        """All in one call: a line end before each part, which is a token of its own."""
+        ids = np.array(self._model.encode("\n" + "\n".join(parts)), _kind(len(self.lengths)))
+        if b"".join(map(self.bytes.get, ids.tolist(), itertools.repeat(b""))) != (" \n" + "\n".join(parts)).encode("utf-8"):
             raise _Differs
-        return np.array(ids, _kind(len(self.lengths))).tobytes()
+        ends = np.flatnonzero(ids == ids[1]).tolist()
+        whole = iter(zip(ends, [*ends[1:], len(ids)], strict=True))
+        out = []
+        for part in parts:
+            i, j = next(whole)
+            if part == "\n":
+                i, j = j - 1, next(whole)[1]
+            out.append(ids[i + 1 : j].tobytes())
+        return out
 
     def encode(self, text: str) -> np.ndarray | None:
         if SPACE in text:
@@ -110,7 +145,7 @@ class PieceTokens:
             same = b"".join(self.bytes.get(i, b"") for i in ids) == (" " + text).encode("utf-8")
             return np.array(ids, kind) if same else None
         try:
-            return np.frombuffer(b"".join(map(self._stretches.__getitem__, re.findall(r" +[^ \n]*|[^ \n]+|\n", " " + text))), kind)
+            return np.frombuffer(self._kept.joined(re.findall(r" +[^ \n]*|[^ \n]+|\n", " " + text)), kind)
         except _Differs:
             return None
 
