@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,22 +86,3 @@ def match_controls(rows: DataFrame, atom: str, donor: str, batch: str, is_contro
     chosen = F.when(F.col("ok_donor_batch"), "donor_batch").when(F.col("ok_donor"), "donor").otherwise("unsupported")
     n = F.when(F.col("ok_donor_batch"), F.col("n_donor_batch")).when(F.col("ok_donor"), F.col("n_donor")).otherwise(F.lit(0))
     return both.select(atom, chosen.alias("level"), "n_pert", n.cast("bigint").alias("n_controls"))
-
-
-def greedy_matching(scored: DataFrame, group: str, left: str, right: str, score: str) -> DataFrame:
-    """(group, left, right, score): per group the best pair is taken again and again among what is unused; ties by ids.
-
-    The choice depends on what was used before, so a group is one pandas frame; a group holds one condition's entities."""
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        used_l, used_r, keep = set(), set(), []
-        pdf = pdf.sort_values([score, left, right], ascending=[False, True, True], kind="stable")
-        for i, (a, b) in enumerate(zip(pdf[left], pdf[right], strict=True)):
-            if a not in used_l and b not in used_r:
-                used_l.add(a)
-                used_r.add(b)
-                keep.append(i)
-        return pdf.iloc[keep]
-
-    cols = [group, left, right, score]
-    return scored.select(*cols).groupBy(group).applyInPandas(pick, scored.select(*cols).schema)

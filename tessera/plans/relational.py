@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tessera.functions.columns import hash_order
 from tessera.operators import linear as lin
 from tessera.operators import relational as rel
+from tessera.operators.matching import nearest_matching
 from tessera.operators.order import hash_positions, with_ranks
 from tessera.operators.metrics import confusion, equal_weight, fractional_topk
 
@@ -193,9 +194,10 @@ def j12(t: Tables) -> DataFrame:
 
 @query("j13_greedy_matching")
 def j13(t: Tables) -> DataFrame:
-    p = t.part.select("p_brand", "p_partkey", "p_size")
-    s = unordered_pairs(p, "p_brand", "p_partkey").select("p_brand", F.col("i").alias("left"), F.col("j").alias("right"), (-F.abs(F.col("p_size_a") - F.col("p_size_b"))).cast("double").alias("score"))
-    return rel.greedy_matching(s, "p_brand", "left", "right", "score")
+    # odd parts are matched with even ones of their brand, the nearest in price first
+    p = t.part.select("p_brand", "p_partkey", "p_retailprice")
+    left, right = (p.where(F.col("p_partkey") % 2 == k).withColumnRenamed("p_partkey", n) for k, n in ((1, "left"), (0, "right")))
+    return nearest_matching(left, right, "p_brand", "left", "right", "p_retailprice").withColumn("score", r6("score"))
 
 
 @query("j14_landmark_kernel", f"with {TWO_VIEWS} select q.vec_id, l.vec_id as landmark, round(list_cosine_similarity(q.text, l.text) * list_cosine_similarity(q.resp, l.resp), 6) + 0.0 as sim from two_views q, (select * from two_views order by sha256('9|' || vec_id), vec_id limit 256) l")

@@ -15,6 +15,7 @@ from tessera.operators import metrics as met
 from tessera.operators import relational as rel
 from tessera.operators import resampling as res
 from tessera.operators.geometry import unordered_pairs
+from tessera.operators.matching import stratified_group_folds
 from tessera.operators.order import hash_positions
 
 from .base import EFFECTS, METRICS, PAIRS, Tables, effects, metric_table, most_pairs, query, r6, rep_pairs
@@ -70,12 +71,21 @@ def l05(t: Tables) -> DataFrame:
     return t.part.join(f, "p_brand").groupBy("fold").agg(F.count("*").alias("n_rows"), F.countDistinct("p_brand").alias("n_groups"))
 
 
-@query("l06_stratified_group_folds", """with g as (select source, count(*) as n, lang from documents group by all), f as (select lang, source, (row_number() over (partition by lang order by n desc, sha256('47|' || source)) - 1) % 3 as fold from g) select lang, fold::bigint as fold, count(*)::bigint as n_groups from f group by all""")
+L06 = """c as (select source as g, lang, count(*) as n from documents where source is not null and lang is not null group by all), t as (select lang, sum(n)::double as n from c group by 1),
+  cl as (select list(lang order by lang) as cs, list(n order by lang) as ts from t), f as (select g, list(coalesce(c.n, 0)::double order by t.lang) as ns from (select distinct g from c) g cross join t left join c using (g, lang) group by g),
+  o as (select g, ns, row_number() over (order by -round(list_sum(list_transform(list_zip(ns, ts), lambda z: (z[1] / z[2]) ** 2)), 12), sha256('47|' || g)) as k from f, cl),
+  p as (select 0::bigint as k, null::varchar as g, 0 as fold, [list_transform(cs, lambda x: 0.0::double) for i in range(3)] as loads from cl
+    union all select k, g, fold, [case when i = fold then list_transform(list_zip(loads[i + 1], ns), lambda z: z[1] + z[2]) else loads[i + 1] end for i in range(3)] from (
+      select o.k, o.g, o.ns, p.loads, list_sort([{'c': round(list_sum(list_transform(list_zip(p.loads[i + 1], o.ns, cl.ts), lambda z: z[1] * z[2] / z[3] ** 2)), 12), 's': list_sum(p.loads[i + 1]), 'f': i} for i in range(3)])[1].f as fold
+      from p join o on o.k = p.k + 1, cl))"""
+
+
+@query("l06_stratified_group_folds", f"with recursive {L06} select d.lang, p.fold::bigint as fold, count(*)::bigint as n_rows, count(distinct d.source)::bigint as n_groups, 0::bigint as n_split from documents d join p on d.source = p.g group by 1, 2")
 def l06(t: Tables) -> DataFrame:
-    # groups of a stratum go round the folds in the order of size, then hash; a substitute for a library's shuffle
-    g = t.documents.groupBy("lang", "source").agg(F.count("*").alias("n"))
-    f = g.withColumn("fold", ((F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), hash_order(47, F.col("source")))) - 1) % 3).cast("bigint"))
-    return f.groupBy("lang", "fold").agg(F.count("*").alias("n_groups"))
+    f = stratified_group_folds(t.documents, "source", "lang", 3, 47)
+    split = f.groupBy("source").agg(F.countDistinct("fold").alias("k"))
+    d = t.documents.join(f, "source").join(split, "source")
+    return d.groupBy("lang", "fold").agg(F.count("*").alias("n_rows"), F.countDistinct("source").alias("n_groups"), F.countDistinct(F.when(F.col("k") > 1, F.col("source"))).alias("n_split"))
 
 
 @query("l07_context_out", f"with {EFFECTS}, c as (select distinct context as target from effects), r as (select target, entity, count(distinct context) filter (context <> target) as k, bool_or(context = target) as has from effects, c group by all) select target, count(*) filter (has and k >= 2)::bigint as n_supported, count(*)::bigint as n_entities from r group by 1")

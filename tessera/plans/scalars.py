@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import columns as col
 from tessera.functions import text as txt
 from tessera.operators import kernels
+from tessera.operators.matching import literal_hits
 from tessera.operators.order import hash_positions
 
 from .base import CELLS, EFFECTS, Tables, cells, effects, query, r6
@@ -155,12 +156,12 @@ def f21(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", col.ellipsis(F.col("p_name"), 9).alias("short"))
 
 
-@query("f22_literal_leakage", "select lang, bool_or(coalesce(contains(d.text, b.text), false)) as leaks from documents d, benchmark b group by 1")
+@query("f22_literal_leakage", "select lang, bool_or(coalesce(contains(d.text, b.text), false)) as leaks, count(distinct d.doc_id) filter (contains(d.text, b.text))::bigint as n_docs, count(*) filter (contains(d.text, b.text))::bigint as n_hits from documents d, (select distinct text from benchmark where text <> '') b group by 1")
 def f22(t: Tables) -> DataFrame:
-    items = t.benchmark.select(F.col("text").alias("item"))
-    found = F.when(F.col("text").contains(F.col("item")), True).otherwise(False)
-    # the benchmark is the smaller side at every size; Spark checks its size before broadcasting
-    return t.documents.select("lang", "text").join(items).groupBy("lang").agg(F.bool_or(found).alias("leaks"))
+    # items are found by their rarest inner run of words, then verified
+    hits = literal_hits(t.documents, "doc_id", "text", t.benchmark.select(F.col("text").alias("item")), "item")
+    d = t.documents.select("doc_id", "lang").join(hits.groupBy("doc_id").agg(F.count("*").alias("n")), "doc_id", "left")
+    return d.groupBy("lang").agg((F.count("n") > 0).alias("leaks"), F.count("n").alias("n_docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_hits"))
 
 
 @query("f23_tfidf", r"""with tk as (select item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}') as w from benchmark), g as (select item_id, unnest(list_concat(w, [w[i] || ' ' || w[i + 1] for i in range(1, len(w))])) as term from tk),

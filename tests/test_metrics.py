@@ -174,8 +174,3 @@ def test_pairs_in_blocks_are_the_same(spark):
     df = spark.range(40).selectExpr("id % 3 as g", "id as k", "id * 2 as v")
     one, many = (sorted(map(tuple, unordered_pairs(df, "g", "k", b).collect())) for b in (1, 4))
     assert one == many and len(one) == 247
-
-
-def test_greedy_matching(spark):
-    df = spark.createDataFrame([("g", 1, 10, 0.9), ("g", 1, 11, 0.8), ("g", 2, 10, 0.7), ("g", 2, 11, 0.1)], "g string, l int, r int, s double")
-    assert {(x.l, x.r) for x in rel.greedy_matching(df, "g", "l", "r", "s").collect()} == {(1, 10), (2, 11)}
