@@ -85,15 +85,6 @@ def expected_tie_retrieval(df: DataFrame, score: str, is_target: str, *query: st
     return g.select(*query, "n", ((h(F.col("a") + F.col("e")) - h(F.col("a"))) / F.col("e")).alias("mrr"), F.when(F.col("a") == 0, 1.0 / F.col("e")).otherwise(0.0).alias("hit1"), (h(F.col("n")) / F.col("n")).alias("random_mrr"))
 
 
-def pair_order_accuracy(df: DataFrame, key: str, truth: str, pred: str, *group: str) -> DataFrame:
-    """(group, n_pairs, accuracy): share of truth-ordered pairs that predictions order alike; predicted ties are half."""
-    a = df.select(*group, F.col(key).alias("ka"), F.col(truth).alias("ta"), F.col(pred).alias("pa"))
-    b = df.select(*group, F.col(key).alias("kb"), F.col(truth).alias("tb"), F.col(pred).alias("pb"))
-    p = a.join(b, list(group)).where("ka < kb and ta <> tb")
-    right = F.when(F.col("pa") == F.col("pb"), 0.5).when(F.signum(F.col("pa") - F.col("pb")) == F.signum(F.col("ta") - F.col("tb")), 1.0).otherwise(0.0)
-    return p.groupBy(*group).agg(F.count(F.lit(1)).alias("n_pairs"), F.avg(right).alias("accuracy"))
-
-
 def confusion(df: DataFrame, truth: str, pred: str, labels: DataFrame) -> DataFrame:
     """(truth, pred, n) over the whole label set (one column), zero counts included."""
     c = labels.columns[0]

@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -110,27 +107,3 @@ def diverse(items: list[tuple[int, ...]], keep: int, start: tuple[int, ...]) ->
         chosen.append(k)
         near = np.minimum(near, (arr != arr[k]).sum(1))
     return [list(items[k]) for k in chosen]
-
-
-ENCODER_WIDTH = 64
-
-
-def hashed_encoder(texts: pd.Series) -> pd.Series:
-    """Default text encoder: hashed word counts, L2-normalised. A model's encoder has the same shape."""
-
-    def one(t: str | None) -> list[float]:
-        v = np.zeros(ENCODER_WIDTH)
-        for w in (t or "").lower().split():
-            v[int.from_bytes(hashlib.blake2b(w.encode(), digest_size=4).digest(), "big") % ENCODER_WIDTH] += 1
-        n = np.linalg.norm(v)
-        return (v / n if n else v).tolist()
-
-    return texts.map(one)
-
-
-def encode_texts(df: DataFrame, text: str, encoder=hashed_encoder) -> DataFrame:  # noqa: ANN001
-    """Adds ``vector``. Each distinct text is encoded once, in Arrow batches, and joined back by its digest."""
-    keyed = df.withColumn("_h", F.sha2(F.coalesce(text, F.lit("")), 256))
-    run = F.pandas_udf(encoder, "array<double>")
-    vectors = keyed.groupBy("_h").agg(F.min(text).alias("_t")).select("_h", run(F.coalesce("_t", F.lit(""))).alias("vector"))
-    return keyed.join(vectors, "_h").drop("_h")

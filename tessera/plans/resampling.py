@@ -14,6 +14,7 @@ from tessera.operators import linear as lin
 from tessera.operators import metrics as met
 from tessera.operators import relational as rel
 from tessera.operators import resampling as res
+from tessera.operators.encoders import MODES, encode_texts
 from tessera.operators.geometry import unordered_pairs
 from tessera.operators.matching import stratified_group_folds
 from tessera.operators.order import hash_positions
@@ -297,7 +298,8 @@ def l24(t: Tables) -> DataFrame:
 
 @query("l25_text_encoder")
 def l25(t: Tables) -> DataFrame:
-    return res.encode_texts(t.conversations.select("conv_id", "turn", "text"), "text").select("conv_id", "turn", F.transform("vector", lambda x: F.round(x, 6)).alias("vector"))
+    v = encode_texts(t.conversations.select("conv_id", "turn", "text"), "text", modes=MODES)
+    return v.select("conv_id", "turn", *[F.transform(m, lambda x: F.round(x, 6) + 0.0).alias(m) for m in MODES])
 
 
 @query("l26_cache_plan", "with m as (select unnest(['a', 'b']) as model), x as (select model, sha256(text) as sha from (select distinct text from benchmark), m), c as (select 'a' as model, sha256(text) as sha from benchmark where item_id % 2 = 0) select x.model, x.sha, c.sha is not null as hit from x left join c on x.model = c.model and x.sha = c.sha")

@@ -5,21 +5,21 @@ from __future__ import annotations
 import hashlib
 import os
 import tempfile
-import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import unit
+from tessera.sources import blocks as blk
 from tessera.sources import tables as src
+from tessera.sources.shared import new_path
 
 from .base import Tables, query, r6
 
 
 def scratch(t: Tables, name: str) -> str:
-    """A new folder that all executors share: the cluster's checkpoint folder, or the warehouse of a single machine."""
-    top = t.spark.conf.get("spark.checkpoint.dir", None) or t.spark.conf.get("spark.sql.warehouse.dir")
-    return f"{top.rstrip('/')}/scratch-{name}-{uuid.uuid4().hex}"
+    """A new path in the folder that all executors share."""
+    return new_path(t.spark, f"scratch-{name}")
 
 
 @query("s01_csv_scan", "select n_nationkey::bigint as n_nationkey, n_name from nation")
@@ -36,33 +36,50 @@ def s02(t: Tables) -> DataFrame:
     return src.read_text_table(t.spark, path).select("r_regionkey", "r_name", "note")
 
 
+#: Sides of the blocks of the order-by-line matrix.
+ROWS, LINES = 1_024, 4
+
+
+def order_blocks(t: Tables) -> tuple[DataFrame, int]:
+    """The matrix of orders by line numbers as written blocks, and its number of rows."""
+    n = (t.lineitem.agg(F.max("l_orderkey").alias("m")).first().m or 0) + 1
+    path = scratch(t, "blocks")
+    blk.write_blocks(blk.to_blocks(t.lineitem, "l_orderkey", "l_linenumber", "l_quantity", n, ROWS, LINES), path)
+    return blk.read_blocks(t.spark, path), n
+
+
 @query("s03_long_matrix", "select l_orderkey as cell, l_linenumber::bigint as feature, l_quantity as value from lineitem where l_quantity <> 0")
 def s03(t: Tables) -> DataFrame:
-    return t.lineitem.select(F.col("l_orderkey").alias("cell"), F.col("l_linenumber").cast("bigint").alias("feature"), F.col("l_quantity").alias("value")).where("value <> 0")
+    return blk.to_long(order_blocks(t)[0]).toDF("cell", "feature", "value")
 
 
-@query("s04_row_selection", "select l_orderkey, l_linenumber::bigint as l_linenumber, l_quantity from lineitem where l_orderkey in (select o_orderkey from orders where o_orderpriority = '1-URGENT')")
+@query("s04_row_selection", "select l_orderkey, l_linenumber::bigint as l_linenumber, l_quantity from lineitem where l_quantity <> 0 and l_orderkey in (select o_orderkey from orders where o_orderpriority = '1-URGENT')")
 def s04(t: Tables) -> DataFrame:
-    wanted = t.orders.where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("l_orderkey"))
-    return src.select_rows(t.lineitem.select("l_orderkey", F.col("l_linenumber").cast("bigint").alias("l_linenumber"), "l_quantity"), wanted, "l_orderkey")
+    wanted = t.orders.where("o_orderpriority = '1-URGENT'").select("o_orderkey")
+    return blk.select_majors(order_blocks(t)[0], wanted, "o_orderkey", ROWS).toDF("l_orderkey", "l_linenumber", "l_quantity")
+
+
+@query("s04b_row_range", "select l_orderkey, l_linenumber::bigint as l_linenumber, l_quantity from lineitem where l_quantity <> 0 and l_orderkey >= 700 and l_orderkey < 3100")
+def s04b(t: Tables) -> DataFrame:
+    return blk.row_range(order_blocks(t)[0], 700, 3100).toDF("l_orderkey", "l_linenumber", "l_quantity")
 
 
-@query("s05_column_selection", "select l_orderkey, l_linenumber::bigint as feature, l_quantity from lineitem where l_linenumber in (1, 3)")
+@query("s05_column_selection", "select l_orderkey, l_linenumber::bigint as feature, l_quantity from lineitem where l_quantity <> 0 and l_linenumber in (1, 3)")
 def s05(t: Tables) -> DataFrame:
-    m = t.lineitem.select("l_orderkey", F.col("l_linenumber").alias("feature"), "l_quantity")
-    return src.select_columns(m, (1, 3)).withColumn("feature", F.col("feature").cast("bigint"))
+    return blk.select_minors(order_blocks(t)[0], [1, 3], LINES).toDF("l_orderkey", "feature", "l_quantity")
 
 
-@query("s06_layout_check", """select 'total' as problem, count(*)::bigint as n from lineitem""")
+@query("s06_layout_check", f"""with b as (select distinct l_orderkey // {ROWS} as k from lineitem where l_quantity <> 0 and l_linenumber < {LINES}), n as (select max(l_orderkey) // {ROWS} as last from lineitem), k as (select unnest(range(0, last + 1)) as k from n)
+  select 'canonical' as layout, 'none' as problem, 0::bigint as n union all select 'planted', 'bounds', count(*)::bigint from b where k % 5 = 1 having count(*) > 0
+  union all select 'planted', 'gap', count(*)::bigint from k, n where k % 5 <> 2 and ((k > 0 and (k - 1) % 5 = 2) or (k = last - 1 and last % 5 = 2)) having count(*) > 0""")
 def s06(t: Tables) -> DataFrame:
-    rows = t.supplier.groupBy().agg(F.max("s_suppkey").alias("m"))
-    per = t.lineitem.groupBy(F.col("l_suppkey").alias("row")).agg(F.count("*").alias("c"))
-    # pointers of the supplier-by-line matrix, made canonical, must show no problem; the total is reported
-    from pyspark.sql import Window
-
-    pointers = per.withColumn("end", F.sum("c").over(Window.orderBy("row"))).withColumn("start", F.col("end") - F.col("c"))
-    total = t.lineitem.agg(F.count("*").alias("n")).select(F.lit("total").alias("problem"), "n")
-    return src.layout_problems(pointers.join(F.broadcast(rows)), t.lineitem.count()).unionByName(total)
+    # the table as written has no fault; with minors moved in some blocks and other blocks taken out, those are reported
+    table, n = order_blocks(t)
+    k = F.col("major_block") % 5
+    planted = table.where(k != 2).withColumn("minors", F.when((k == 1) & (F.col("minor_block") == 0), F.transform("minors", lambda j: j + 1_000)).otherwise(F.col("minors")))
+    good, bad = (blk.layout_problems(x, n, 1_000) for x in (table, planted))
+    total = good.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).select(F.lit("canonical").alias("layout"), F.when(F.col("n") == 0, "none").otherwise("some").alias("problem"), "n")
+    return total.unionByName(bad.select(F.lit("planted").alias("layout"), "problem", "n"))
 
 
 @query("s07_category_decode", "select o_orderkey, o_orderpriority as priority from orders")

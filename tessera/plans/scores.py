@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.columns import hash_order, try_ratio
 from tessera.operators import metrics as met
+from tessera.operators.pairorder import pair_order_accuracy
 from tessera.operators.geometry import average_rank, blocks_of, unordered_pairs
 
 from .base import CELLS, EFFECTS, METRICS, PAIRS, Tables, cells, effects, metric_table, most_pairs, query, r6, rep_pairs
@@ -174,7 +175,7 @@ def m16(t: Tables) -> DataFrame:
 
 @query("m17_pair_order", f"with {PRED} select a.feature, count(*)::bigint as n_pairs, round(avg(case when a.pred = b.pred then 0.5 when sign(a.pred - b.pred) = sign(a.truth - b.truth) then 1.0 else 0.0 end), 6) + 0.0 as accuracy from pr a join pr b on a.feature = b.feature and a.entity < b.entity and a.truth <> b.truth group by 1")
 def m17(t: Tables) -> DataFrame:
-    return met.pair_order_accuracy(predictions(t), "entity", "truth", "pred", "feature").select("feature", "n_pairs", r6("accuracy").alias("accuracy"))
+    return pair_order_accuracy(predictions(t), "truth", "pred", "feature").select("feature", "n_pairs", r6("accuracy").alias("accuracy"))
 
 
 @query("m18_paired_gain", f"with {PRED}, e as (select entity, feature, abs(truth - pred) as a, case when feature % 4 = 0 then null else abs(truth) end as b from pr) select entity, count(*)::bigint as n_total, count(case when a is not null and b is not null then 1 end)::bigint as n_valid, round(avg(b - a), 6) + 0.0 as gain from e group by 1")

@@ -13,6 +13,7 @@ from tessera.functions.text import canonical_entities, split_ids, tokens
 from tessera.operators import metrics as met
 from tessera.operators import relational as rel
 from tessera.operators import resampling as res
+from tessera.operators.pairorder import pair_order_accuracy
 from tessera.operators.geometry import cosine_pairs, distinct_cosine_pairs, fuse_ranks, spearman_pairs, unordered_pairs
 
 
@@ -83,7 +84,7 @@ def test_expected_ties(spark):
 
 def test_pair_order_of_a_constant_prediction(spark):
     df = spark.createDataFrame([("g", i, float(i), 0.0) for i in range(5)], "g string, k int, t double, p double")
-    assert met.pair_order_accuracy(df, "k", "t", "p", "g").first().accuracy == 0.5
+    assert pair_order_accuracy(df, "t", "p", "g").first().accuracy == 0.5
 
 
 def test_equal_children(spark):
