@@ -41,6 +41,12 @@ def contiguous(df: DataFrame, column: str, start: int = 0) -> DataFrame:
     return df.agg(F.count("*").alias("n"), F.coalesce((F.min(c) == start) & (F.max(c) == start + F.count("*") - 1) & (F.countDistinct(c) == F.count("*")), F.lit(False)).alias("contiguous"))
 
 
+def conservation(df: DataFrame, part: str, name: str, keep: Column | None = None) -> DataFrame:
+    """One row: do the parts of a table, after what each part keeps of it, add up to its rows?"""
+    parts = (df if keep is None else df.where(keep)).groupBy(part).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("parts"))
+    return df.agg(F.lit(name).alias("split"), F.count("*").alias("total")).crossJoin(parts).withColumn("conserved", F.col("total") == F.col("parts"))  # one row each
+
+
 def overall(checks: DataFrame) -> DataFrame:
     """One row: PASS if every check is ok."""
     return checks.agg(F.count("*").alias("n_checks"), F.count_if(~F.col("ok")).alias("n_failed"), F.when(F.bool_and("ok"), "PASS").otherwise("FAIL").alias("status"))

@@ -537,11 +537,18 @@ def u04(t: Tables) -> DataFrame:
     return t.part.select(F.col("p_partkey").alias("k")).subtract(t.lineitem.where("l_quantity > 40").select("l_partkey"))
 
 
-@query("u05_multiset_equality", "select true as equal_sets, false as equal_multisets")
+@query("u05_multiset_equality", """with s as (select count(*) as n from (select o_orderkey from orders except select l_orderkey from lineitem)), e as (select (select n from s) = 0 and count(*) = 0 as eq from (select l_orderkey from lineitem except select o_orderkey from orders))
+  select 'orders and their lines' as pair, (select eq from e) as equal_sets, (select count(*) from orders) = (select count(*) from lineitem) and (select eq from e) and (select count(distinct l_orderkey) = count(*) from lineitem) as equal_multisets
+  union all select 'orders shuffled', true, true""")
 def u05(t: Tables) -> DataFrame:
-    a, b = t.orders.select(F.col("o_orderkey").alias("k")), t.lineitem.select(F.col("l_orderkey").alias("k")).join(t.orders.select(F.col("o_orderkey").alias("k")), "k", "left_semi").union(t.orders.select("o_orderkey"))
-    n = lambda x: x.agg((F.count("*") == 0).alias("e"))
-    return n(a.subtract(b).union(b.subtract(a))).withColumnRenamed("e", "equal_sets").crossJoin(n(a.exceptAll(b).union(b.exceptAll(a))).withColumnRenamed("e", "equal_multisets"))
+    orders, lines = t.orders.select(F.col("o_orderkey").alias("k")), t.lineitem.select(F.col("l_orderkey").alias("k"))
+    n = lambda x, name: x.agg((F.count("*") == 0).alias(name))
+
+    def pair(name: str, a: DataFrame, b: DataFrame) -> DataFrame:
+        sets, multisets = a.subtract(b).union(b.subtract(a)), a.exceptAll(b).union(b.exceptAll(a))
+        return n(sets, "equal_sets").crossJoin(n(multisets, "equal_multisets")).withColumn("pair", F.lit(name))  # one row each
+
+    return pair("orders and their lines", orders, lines).unionByName(pair("orders shuffled", orders, orders.repartition(5, F.xxhash64("k"))))
 
 
 @query("u06_fold_leakage", "select 0::bigint as n_shared, 25::bigint as n_brands")

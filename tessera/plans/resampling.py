@@ -178,10 +178,13 @@ def l12(t: Tables) -> DataFrame:
     return met.classification(p.select("truth", best.alias("pred")), "truth", "pred").select(*[r6(c).alias(c) for c in ("accuracy", "macro_f1", "balanced_accuracy")])
 
 
-@query("l13_registry", "select method, contrast, method || ':' || contrast as id from (values ('native'), ('text'), ('fused')) m(method), (values ('vs_zero'), ('vs_mean')) c(contrast)")
+@query("l13_registry", f"with {METRICS}, m as (select distinct model from metric_table), k as (select distinct metric from metric_table) select a.model as method, metric, b.model as baseline, substr(sha256(concat_ws(chr(31), a.model, metric, b.model)), 1, 16) as id from m a, k, m b where a.model <> b.model")
 def l13(t: Tables) -> DataFrame:
-    one = lambda n, xs: t.spark.range(1).select(F.explode(F.lit(xs)).alias(n))
-    return one("method", ["native", "text", "fused"]).crossJoin(one("contrast", ["vs_zero", "vs_mean"])).withColumn("id", F.concat_ws(":", "method", "contrast"))
+    # every method against every other by every metric that the table has: two short lists of names
+    m = metric_table(t)
+    methods = m.select(F.col("model").alias("method")).distinct()
+    pairs = methods.crossJoin(F.broadcast(methods.withColumnRenamed("method", "baseline"))).where("method <> baseline")
+    return pairs.crossJoin(F.broadcast(m.select("metric").distinct())).select("method", "metric", "baseline", joined_hash(F.col("method"), F.col("metric"), F.col("baseline"), digits=16).alias("id"))
 
 
 @query("l14_derangement", "with b as (select p_brand, row_number() over (order by sha256('61|' || p_brand), p_brand) as k, count(*) over () as n from (select distinct p_brand from part)) select a.p_brand as entity, b.p_brand as given from b a join b on b.k = a.k % a.n + 1")

@@ -243,9 +243,10 @@ def g07(t: Tables) -> DataFrame:
     return x.crossJoin(y).select("a", "b", r6(col.length_cost(F.col("na"), F.col("nb")) + col.length_cost(F.col("wa"), F.col("wb"))).alias("cost"))
 
 
-@query("g08_discount_table", "select r::bigint as r, round(sum(1 / log2(r + 1)) over (order by r), 6) + 0.0 as discount, round(sum(1 / r::double) over (order by r), 6) + 0.0 as harmonic from range(1, 51) t(r)")
+@query("g08_discount_table", "with r as (select distinct p_size::bigint as r from part where p_size > 0) select r, round(list_sum(list_transform(range(1, r + 1), lambda i: 1 / log2(i + 1))), 6) + 0.0 as discount, round(list_sum(list_transform(range(1, r + 1), lambda i: 1.0::double / i)), 6) + 0.0 as harmonic from r")
 def g08(t: Tables) -> DataFrame:
-    r = t.spark.range(1).select(F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(50).cast("bigint"))).alias("r"))
+    # cumulative discounts and harmonic numbers of the group sizes that occur
+    r = t.part.where("p_size > 0").select(F.col("p_size").cast("bigint").alias("r")).distinct()
     total = lambda f: F.aggregate(F.sequence(F.lit(1).cast("bigint"), F.col("r")), F.lit(0.0), lambda s, i: s + f(i))
     return r.select("r", r6(total(col.dcg_discount)).alias("discount"), r6(total(lambda i: 1.0 / i)).alias("harmonic"))
 

@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import hashlib
-import os
-import tempfile
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import unit
+from tessera.operators import checks as chk
 from tessera.sources import blocks as blk
 from tessera.sources import tables as src
-from tessera.sources.shared import new_path
+from tessera.sources.shared import new_path, store
 
 from .base import Tables, query, r6
 
@@ -104,18 +102,18 @@ def s09(t: Tables) -> DataFrame:
     return src.read_bundle(t.spark, path)[0].agg(F.count("vec_id").alias("n_ids"), F.max(F.size("embedding")).cast("bigint").alias("width"))
 
 
-@query("s10_exclusive_sink", "select 'second write refused' as outcome, count(*)::bigint as n from region")
+@query("s10_exclusive_sink", "select 'new' as target, 'written' as outcome, count(*)::bigint as n, sum(r_regionkey)::bigint as keys from region union all select 'taken', 'refused', count(*), sum(r_regionkey) from region")
 def s10(t: Tables) -> DataFrame:
-    from pyspark.errors import AnalysisException
-
-    path = scratch(t, "once")
-    src.write_json(t.region, path)
-    try:
-        src.write_json(t.region, path)
-        outcome = "overwritten"
-    except AnalysisException:
-        outcome = "second write refused"
-    return t.spark.read.json(path).agg(F.count("*").alias("n")).withColumn("outcome", F.lit(outcome))
+    # a second, different table is refused and leaves what the first one wrote
+    path, out = scratch(t, "once"), []
+    for target, rows in (("new", t.region), ("taken", t.nation.select(F.col("n_nationkey").alias("r_regionkey"), F.col("n_name").alias("r_name")))):
+        try:
+            src.write_json(rows, path)
+            outcome = "written"
+        except AnalysisException:
+            outcome = "refused"
+        out.append(t.spark.read.json(path).agg(F.lit(target).alias("target"), F.lit(outcome).alias("outcome"), F.count("*").alias("n"), F.sum("r_regionkey").alias("keys")))
+    return out[0].union(out[1])
 
 
 @query("s11_sorted_gzip", "select n_name, n_nationkey::varchar as n_nationkey from nation")
@@ -125,16 +123,19 @@ def s11(t: Tables) -> DataFrame:
     return src.read_text_table(t.spark, path).select("n_name", "n_nationkey")
 
 
-@query("s12_config", "select 'out' as key, '/data/run/out' as value union all select 'seed', '7'")
+@query("s12_config", "select p_partkey, '/data/' || p_brand || '/' || p_type || '/${OTHER}' as path from part")
 def s12(t: Tables) -> DataFrame:
-    conf = src.expand({"out": "${ROOT}/run/out", "seed": "7"}, {"ROOT": "/data"})
-    return t.spark.createDataFrame(sorted(conf.items()), "key string, value string")
+    # known tokens of each row's setting are replaced, unknown ones stay
+    setting = F.concat(F.lit("${ROOT}/${BRAND}/"), "p_type", F.lit("/${OTHER}"))
+    return t.part.select("p_partkey", src.expand_tokens(setting, {"ROOT": F.lit("/data"), "BRAND": F.col("p_brand")}).alias("path"))
 
 
-@query("s13_path_readiness", "select 'a' as key, true as ready union all select 'b[0]', false")
+@query("s13_path_readiness", "select r_regionkey::varchar as key, coalesce(bool_or(n_nationkey % 7 = 0), false) as ready from region left join nation on n_regionkey = r_regionkey group by r_regionkey")
 def s13(t: Tables) -> DataFrame:
-    found = src.path_readiness({"a": os.sep, "b": ["/no/such/path"], "c": "plain"})
-    return t.spark.createDataFrame([(k, ok) for k, _, ok in found], "key string, ready boolean")
+    # one folder per region, written where the region has such a nation
+    top = scratch(t, "ready")
+    t.nation.where("n_nationkey % 7 = 0").write.partitionBy("n_regionkey").parquet(top)
+    return src.path_readiness(t.region.select(F.col("r_regionkey").cast("string").alias("key"), F.concat(F.lit(f"{top}/n_regionkey="), "r_regionkey").alias("path")))
 
 
 @query("s14_cached_lookup", """select p_partkey, case when p_partkey % 7 in (1, 2) then p_name end as value,
@@ -156,26 +157,22 @@ def s17(t: Tables) -> DataFrame:
     return src.sample_by_hash(t.events.select("event_id", "value"), 3, "event_id", 0.1)
 
 
-@query("s15_verified_file", "select 'pinned' as file, true as ok union all select 'changed', false")
+@query("s15_verified_file", "select 'pinned' as copy, count(*)::bigint as n, true as ok from customer union all select 'changed', count(*) filter (c_custkey <> 5), count(*) filter (c_custkey = 5) = 0 from customer")
 def s15(t: Tables) -> DataFrame:
-    rows = []
-    with tempfile.TemporaryDirectory() as d:  # read again by this process only
-        path = os.path.join(d, "x")
-        for name, data in (("pinned", b"one"), ("changed", b"two")):
-            with open(path, "wb") as f:
-                f.write(data)
-            try:
-                rows.append((name, src.verified(path, hashlib.sha256(b"one").hexdigest()) == path))
-            except ValueError:
-                rows.append((name, False))
-    return t.spark.createDataFrame(rows, "file string, ok boolean")
-
-
-@query("s18_package", "select 'nation.csv' as name, 25::bigint as n_lines union all select 'region.csv', 5")
+    # copies of a table against its pinned digest; the second lacks a row
+    pinned, out = chk.table_digest(t.customer, "c_custkey", "c_name").first().digest, []
+    for name, rows in (("pinned", t.customer), ("changed", t.customer.where("c_custkey <> 5"))):
+        copy = store(rows, f"copy-{name}")
+        out.append(chk.table_digest(copy, "c_custkey", "c_name").select(F.lit(name).alias("copy"), "n", (F.col("digest") == pinned).alias("ok")))
+    return out[0].union(out[1])
+
+
+LINES_SQL = "count(*)::bigint as n_lines, sum(('0x' || substr(sha256(l), 1, 15))::hugeint)::varchar as digest, true as intact"
+
+
+@query("s18_package", f"with n as (select n_nationkey || chr(9) || n_name || chr(9) || n_regionkey as l from nation), r as (select r_regionkey || chr(9) || r_name as l from region) select 'nation' as name, {LINES_SQL} from n union all select 'region', {LINES_SQL} from r")
 def s18(t: Tables) -> DataFrame:
-    small = {"nation.csv": t.nation.orderBy("n_nationkey"), "region.csv": t.region.orderBy("r_regionkey")}  # published result tables
-    with tempfile.TemporaryDirectory() as d:
-        path = os.path.join(d, "results.zip")
-        src.pack({k: "\n".join(",".join(map(str, r)) for r in df.collect()).encode() for k, df in small.items()}, path)
-        rows = [(k, len(v.split(b"\n"))) for k, v in src.unpack_verified(path).items()]
-    return t.spark.createDataFrame(rows, "name string, n_lines bigint")
+    # text tables in one folder with a manifest of lines and digests, read again and checked against it
+    path = scratch(t, "package")
+    src.write_package({"nation": t.nation, "region": t.region}, path)
+    return src.read_manifest(t.spark, path)

@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-import hashlib
 import json
-import os
-import re
-import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -65,63 +61,50 @@ def cached_lookup(keys: DataFrame, cache: DataFrame, key: str) -> DataFrame:
     return j.select(key, F.when(~F.col("failed"), F.col("value")).alias("value"), F.when(F.col("failed").isNull(), "miss").when(F.col("failed"), "failed").otherwise("hit").alias("state"))
 
 
-def expand(value: object, variables: dict[str, str]) -> object:
-    """Replaces ${NAME} in all strings of a configuration."""
-    if isinstance(value, str):
-        return re.sub(r"\$\{(\w+)\}", lambda m: variables.get(m[1], m[0]), value)
-    if isinstance(value, dict):
-        return {k: expand(v, variables) for k, v in value.items()}
-    return [expand(v, variables) for v in value] if isinstance(value, list) else value
+def expand_tokens(text: Column, variables: dict[str, Column]) -> Column:
+    """Replaces ${NAME} of the given names; other tokens stay, a null value gives null."""
+    for name, value in variables.items():
+        text = F.replace(text, F.lit("${" + name + "}"), value)
+    return text
 
 
-def load_config(path: str, variables: dict[str, str] | None = None) -> object:
-    with open(path, encoding="utf-8") as f:
-        return expand(json.load(f), variables or dict(os.environ))
+def path_readiness(paths: DataFrame) -> DataFrame:
+    """(key, ready) of a configuration's paths (key, path): a bounded list, looked up by Spark's own file systems."""
+    spark = paths.sparkSession
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
 
+    def exists(path: str) -> bool:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(conf).exists(p)
 
-def path_readiness(config: object, key: str = "") -> list[tuple[str, str, bool]]:
-    """(key, path, exists) of every value that looks like a path."""
-    if isinstance(config, dict):
-        return [x for k, v in config.items() for x in path_readiness(v, f"{key}.{k}".strip("."))]
-    if isinstance(config, list):
-        return [x for i, v in enumerate(config) for x in path_readiness(v, f"{key}[{i}]")]
-    return [(key, config, os.path.exists(config))] if isinstance(config, str) and "/" in config else []
+    return spark.createDataFrame([(r.key, exists(r.path)) for r in paths.collect()], "key string, ready boolean")
 
 
-def file_digest(path: str) -> str:
-    h = hashlib.sha256()
-    with open(path, "rb") as f:
-        while part := f.read(1 << 20):
-            h.update(part)
-    return h.hexdigest()
+def _lines(df: DataFrame) -> DataFrame:
+    return df.select(F.concat_ws("\t", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]).alias("value"))
 
 
-def verified(path: str, digest: str) -> str:
-    """The path of a file whose SHA-256 is pinned; an error names what was found otherwise. Nothing is downloaded."""
-    found = file_digest(path)
-    if found != digest:
-        raise ValueError(f"{path}: expected {digest}, found {found}")
-    return path
+def _manifest(lines: DataFrame, name: str) -> DataFrame:
+    h = F.conv(F.substring(F.sha2("value", 256), 1, 15), 16, 10).cast("decimal(38,0)")
+    return lines.agg(F.lit(name).alias("name"), F.count("*").alias("n_lines"), F.sum(h).cast("string").alias("digest"))
 
 
-def pack(files: dict[str, bytes], out: str) -> list[tuple[str, int, str]]:
-    """Zips small result files with a manifest (name, bytes, SHA-256) and returns it; refuses to overwrite.
+def write_package(tables: dict[str, DataFrame], path: str) -> None:
+    """Result tables as text lines in one folder, with a manifest (name, n_lines, digest). Refuses to overwrite."""
+    manifest = None
+    for name, df in sorted(tables.items()):
+        _lines(df).write.mode("errorifexists").text(f"{path}/{name}")
+        own = _manifest(_lines(df), name)
+        manifest = own if manifest is None else manifest.union(own)
+    manifest.coalesce(1).write.mode("errorifexists").json(f"{path}/MANIFEST")
 
-    Entries are sorted and have a fixed date, so equal files give an equal package."""
-    manifest = [(name, len(data), hashlib.sha256(data).hexdigest()) for name, data in sorted(files.items())]
-    with zipfile.ZipFile(out, "x", zipfile.ZIP_DEFLATED) as z:
-        for name, data in [*sorted(files.items()), ("MANIFEST.json", json.dumps(manifest).encode())]:
-            z.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), data)
-    return manifest
 
-
-def unpack_verified(path: str) -> dict[str, bytes]:
-    """The files of a package, each checked against its manifest."""
-    with zipfile.ZipFile(path) as z:
-        out = {}
-        for name, size, digest in json.loads(z.read("MANIFEST.json")):
-            data = z.read(name)
-            if len(data) != size or hashlib.sha256(data).hexdigest() != digest:
-                raise ValueError(f"{name} differs from the manifest")
-            out[name] = data
-        return out
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """(name, n_lines, digest, intact): a package's manifest, and whether each table still has those lines."""
+    m = spark.read.schema("name string, n_lines bigint, digest string").json(f"{path}/MANIFEST")
+    found = None
+    for r in m.select("name").collect():  # the package's few tables
+        own = _manifest(spark.read.text(f"{path}/{r.name}"), r.name).toDF("name", "n", "d")
+        found = own if found is None else found.union(own)
+    same = F.coalesce((F.col("n") == F.col("n_lines")) & (F.col("d") == F.col("digest")), F.lit(False))
+    return m.join(found, "name", "left").select("name", "n_lines", "digest", same.alias("intact"))
