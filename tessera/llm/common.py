@@ -48,20 +48,32 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append(path)
+    _tables(spark).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-_written: list[str] = []
+#: Paths of written tables by application, oldest first.
+_written: dict[str, list[str]] = {}
+
+
+def _tables(spark: SparkSession) -> list[str]:
+    return _written.setdefault(spark.sparkContext.applicationId, [])
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Removes at its end the tables that were written within it, except the last one, which holds the result."""
-    start = len(_written)
-    yield
-    remove_tables(spark, _written[start:-1])
-    del _written[start:-1]
+    """Removes at its end the tables that were written within it, except the last one, which holds the result; all of
+    them if it fails."""
+    written, last = _tables(spark), -1
+    start = len(written)
+    try:
+        yield
+    except BaseException:
+        last = None
+        raise
+    finally:
+        remove_tables(spark, written[start:last])
+        del written[start:last]
 
 
 def remove_tables(spark: SparkSession, paths: list[str]) -> None:
@@ -70,9 +82,9 @@ def remove_tables(spark: SparkSession, paths: list[str]) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def last_table() -> str:
+def last_table(spark: SparkSession) -> str:
     """Path of the table written last."""
-    return _written[-1]
+    return _tables(spark)[-1]
 
 
 def quoted(name: str) -> Column:

@@ -14,12 +14,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lookup_join, materialize, nullable_key, quoted
+from .common import free_name, lookup_join, materialize, nullable_key, quoted, scratch
 
 WEIGHTS = (5, 2, 1)
 #: A document is taken so many times at most.
 MAX_REPEATS = 3
 BIN_ROWS = 4_000
+#: Up to so many keys of taken rows are sent to all tasks, of some 100 bytes each.
+SENT_ROWS = 300_000
 TIME_BINS = 1 << 12
 SPREAD = 1 << 60
 
@@ -53,13 +55,13 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     return src.select("source", "source_size", "n_docs", F.when(F.col("capped"), F.col("cap")).otherwise(F.least("cap", F.col("free") * F.col("w"))).alias("target"), "rank")
 
 
-def queued(docs: DataFrame, keep: tuple[str, ...] = (), weights: tuple[int, ...] = WEIGHTS, share: float = 1.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Every row with its size, its source's size and target, and ``cum``, the words of its queue up to and with it."""
-    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size"), *[quoted(c).alias(f"_k_{c}") for c in keep])
+def queued(docs: DataFrame, tie: Column | None = None, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """Every row's id, size and tie with its source's size and target, and ``cum``, the words of its queue up to and with
+    it. ``tie`` tells rows apart that are alike in id and size. No text goes further than its size."""
+    tie = F.lit(0).cast("bigint") if tie is None else tie
+    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size"), tie.alias("tie"))
     key = F.concat_ws(":", F.coalesce(F.col("id").cast("string"), F.lit("")), F.col("size").cast("string"))
-    # rows alike in id and size are told apart by what else is kept of them
-    tie = F.xxhash64(*[quoted(f"_k_{c}") for c in keep]) if keep else F.lit(0).cast("bigint")
-    rows = materialize(sized.withColumn("h", spread(key)).withColumn("tie", tie), "mixing")
+    rows = materialize(sized.withColumn("h", spread(key)), "mixing")
     sources = materialize(source_targets(rows, weights, share), "mixing-sources").withColumn("key", nullable_key(F.col("source"))).drop("source")
     rows = lookup_join(rows.withColumn("key", nullable_key(F.col("source"))), sources, "key")
     bins = F.greatest(F.lit(1), F.ceil(F.col("n_docs") / BIN_ROWS))
@@ -104,26 +106,45 @@ def last_taken(queue: DataFrame, budget: int) -> tuple[float, int]:
     return (first["time"], first["rank"] - 1) if first else (high, 1 << 30)
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0, keep: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per row of ``docs``: id, size, source_size, target, taken (words, repeats counted), kept columns as ``_k_`` and their names.
-
-    Null sources are a source of their own, the last. Texts without words take nothing. Repeated rows have places of
-    their own, in the order of id, size and a hash of the kept columns, so runs agree. An empty table gives none."""
-    queue = materialize(queued(docs, keep, weights, share, id_col, text_col, source_col), "mixing-queue")
+def queue_of(docs: DataFrame, tie: Column | None = None, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """``queued`` with ``times``: how often the mix takes a row."""
+    queue = materialize(queued(docs, tie, weights, share, id_col, text_col, source_col), "mixing-queue")
     total = queue.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first().n
     time, rank = last_taken(queue, int(total * share))
     place = lambda e: F.lit(e) * F.col("source_size") + F.col("cum")
     at = lambda e: place(e) / F.nullif(F.col("target"), F.lit(0.0))
     times = sum(((F.coalesce((at(e) < time) | ((at(e) == time) & (F.col("rank") <= rank)), F.lit(False)) & (place(e) - F.col("size") < 2 * F.col("target"))).cast("long") for e in range(MAX_REPEATS)), F.lit(0).cast("long"))
-    return queue.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * times).alias("taken"), *[quoted(f"_k_{c}") for c in keep])
+    return queue.withColumn("times", F.when(F.col("size") > 0, times).otherwise(0))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """One row per row of ``docs``: id, size, source_size, target, taken (words, repeats counted).
+
+    Null sources are a source of their own, the last. Texts without words take nothing. Repeated rows have places of
+    their own, in the order of id and size, so runs agree. An empty table gives none."""
+    queue = queue_of(docs, None, weights, share, id_col, text_col, source_col)
+    return queue.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
 
 
 def mixed_rows(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as it is taken, with its columns."""
-    rest = tuple(c for c in docs.columns if c != id_col)
-    out = mix(docs, weights, share, rest, id_col, text_col, source_col).where("taken > 0")
-    copies = out.withColumn("__copy", F.explode(F.sequence(F.lit(1), (F.col("taken") / F.col("size")).cast("int"))))
-    return copies.select(*[quoted(c if c == id_col else f"_k_{c}").alias(c) for c in docs.columns])
+    """The mix itself: each row of ``docs`` as often as it is taken, with its columns.
+
+    The queue knows rows by a key of id and a hash of all other columns; what is taken comes back to the rows by that
+    key. A row's texts are shuffled only if over SENT_ROWS keys are taken. Rows alike in everything are one
+    key: one of them comes back as often as all of them are taken."""
+    key, times, alike = (free_name(docs.columns, n) for n in ("_key", "_times", "_alike"))
+    tie = F.xxhash64(*[quoted(c) for c in docs.columns if c != id_col])
+    with scratch(docs.sparkSession):
+        queue = queue_of(docs, tie, weights, share, id_col, text_col, source_col).select(_row_key(F.col("id"), F.col("tie")).alias(key), "times")
+        taken = materialize(queue.groupBy(key).agg(F.sum("times").cast("int").alias(times), F.count("*").alias(alike)).where(F.col(times) > 0), "mixing-taken")
+        rows = lookup_join(docs.withColumn(key, _row_key(quoted(id_col), tie)), taken, key, "inner", limit=SENT_ROWS, counted=queue.select(key))
+    if not taken.where(F.col(alike) > 1).isEmpty():
+        rows = rows.where(F.col(alike) == 1).unionByName(rows.where(F.col(alike) > 1).dropDuplicates([key]))
+    return rows.withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*map(quoted, docs.columns))
+
+
+def _row_key(key: Column, tie: Column) -> Column:
+    return F.concat(nullable_key(key), F.lit(":"), tie.cast("string"))
 
 
 ORACLE_SQL = r"""

@@ -106,12 +106,17 @@ def _cross(left: list[tuple[int, int, np.ndarray]], right: list[tuple[int, int,
 
 
 def buckets_of(spread: DataFrame) -> DataFrame:
-    """(bucket, name, blocks, block, pivot) from (key, name, n shingles), of the keys that bring two sets or more together. Keys that bring the same
-    sets together are one bucket, told by its count and two sums of its names' hashes. A bucket of more than BLOCK_SETS
-    sets, or BLOCK_HASHES shingles, is dealt to blocks; about PIVOTS of its sets are in every block."""
+    """(bucket, name, blocks, block, pivot) from (key, name, n shingles), of the keys that bring two sets or
+    more together. Keys that bring the same sets together are one bucket, told by its count and two sums of its names'
+    hashes; one that lies within another goes. A bucket of more than BLOCK_SETS sets, or BLOCK_HASHES shingles, is dealt
+    to blocks; about PIVOTS of its sets are in every block."""
     keys = spread.groupBy("key").agg(F.count("*").alias("size"), F.sum("n").alias("hashes"), F.sum(F.xxhash64("name").cast("decimal(20,0)")).alias("s"), F.bit_xor(F.xxhash64(F.lit(1), "name")).alias("x")).where("size > 1")
     kept = keys.groupBy("size", "hashes", "s", "x").agg(F.min("key").alias("key")).select("key", "size", F.greatest(F.ceil(F.col("size") / BLOCK_SETS), F.ceil(F.col("hashes") / BLOCK_HASHES)).cast("int").alias("blocks"))
-    rows = lookup_join(spread.select("key", "name"), materialize(kept, "shingles-keys"), "key", "inner")
+    rows = materialize(lookup_join(spread.select("key", "name"), materialize(kept, "shingles-keys"), "key", "inner"), "shingles-members")
+    # a bucket goes if one and the same larger one is the largest of all its members: that holds all of it
+    top = rows.groupBy("name").agg(F.max(F.struct("size", "key")).alias("top"))
+    outer = rows.join(top, "name").groupBy("key").agg(F.min("top").alias("a"), F.max("top").alias("b")).where((F.col("a") != F.col("b")) | (F.col("a.key") == F.col("key")))
+    rows = lookup_join(rows, materialize(outer.select("key"), "shingles-outer"), "key", "inner")
     block, pivot = F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int"), (F.col("blocks") > 1) & (F.pmod(F.xxhash64(F.lit(2), "name"), F.col("size")) < PIVOTS)
     return rows.select(F.col("key").alias("bucket"), "name", "blocks", block.alias("block"), pivot.alias("pivot"))
 

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, free_name, lookup_join, materialize, quoted
+from .common import connected_components, free_name, lookup_join, materialize, quoted, scratch
 from .shingles import SIMILARITY, WIDTH, band_keys, components, name_of, shingles
 
 SEED = 42
@@ -149,7 +149,7 @@ def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Of rows alike in id and text one stays, the same in every run. Rows with a null id have nothing to be named by and
     pass through unchanged. An empty table gives none. All columns come back, whatever they are called; texts are
-    shuffled once at most, and not while the documents kept are few enough to be broadcast by name."""
+    shuffled by id and again by name only above what ``lookup_join`` sends to all tasks."""
     tag, copies, place = (free_name(docs.columns, n) for n in ("_tag", "_copies", "_place"))
     named = docs.where(quoted(id_col).isNotNull()).withColumn(tag, F.struct(quoted(id_col).alias("id"), F.md5(F.coalesce(quoted(text_col), F.lit(""))).alias("digest")))
     plain = named.select(F.col(f"{tag}.id").alias("id"), F.col(f"{tag}.digest").alias("digest"), quoted(text_col).alias("t"))
@@ -163,17 +163,18 @@ def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str
                 names=["id", "digest", "name", "n", "fp", "keys"],
             )
 
-    rows = materialize(plain.mapInArrow(marks, f"id {kind}, digest string, name bigint, n bigint, fp bigint, keys array<bigint>"), "shingles")
-    first = rows.groupBy("name").agg(F.min(F.struct("id", "digest")).alias("least"))
-    marked = materialize(rows.dropDuplicates(["name"]).select("name", "n", "fp", "keys").join(first, "name"), "shingles-marked")
-    fps = marked.select("fp").distinct()
-    near = links(fps, crowded=marked.count() > CROWDED).withColumn("key", F.xxhash64("src", "dst"))
-    near = near.select("key", F.explode(F.array("src", "dst")).alias("fp")).join(marked.select("fp", "name", "n"), "fp").select("key", "name", "n")
-    spread = marked.select(F.explode(F.concat("keys", F.array(F.xxhash64("fp")))).alias("key"), "name", "n").union(near)
-    comp = components(plain.select("id", "t"), marked, spread, similarity, width).withColumnRenamed("node", "name")
-    found = marked.select("name", "least").join(comp, "name", "left").groupBy(F.coalesce("component", "name").alias("component")).agg(F.min("least").alias(tag))
-    found = materialize(found.join(rows.groupBy(F.struct("id", "digest").alias(tag)).agg(F.count("*").alias(copies)), tag), "shingles-kept")
-    kept = lookup_join(named, found, tag, "inner", counted=rows.select(F.struct("id", "digest").alias(tag)))
+    with scratch(docs.sparkSession):
+        rows = materialize(plain.mapInArrow(marks, f"id {kind}, digest string, name bigint, n bigint, fp bigint, keys array<bigint>"), "shingles")
+        first = rows.groupBy("name").agg(F.min(F.struct("id", "digest")).alias("least"))
+        marked = materialize(rows.dropDuplicates(["name"]).select("name", "n", "fp", "keys").join(first, "name"), "shingles-marked")
+        fps = marked.select("fp").distinct()
+        near = links(fps, crowded=marked.count() > CROWDED).withColumn("key", F.xxhash64("src", "dst"))
+        near = near.select("key", F.explode(F.array("src", "dst")).alias("fp")).join(marked.select("fp", "name", "n"), "fp").select("key", "name", "n")
+        spread = marked.select(F.explode(F.concat("keys", F.array(F.xxhash64("fp")))).alias("key"), "name", "n").union(near)
+        comp = components(plain.select("id", "t"), marked, spread, similarity, width).withColumnRenamed("node", "name")
+        found = marked.select("name", "least").join(comp, "name", "left").groupBy(F.coalesce("component", "name").alias("component")).agg(F.min("least").alias(tag))
+        found = materialize(found.join(rows.groupBy(F.struct("id", "digest").alias(tag)).agg(F.count("*").alias(copies)), tag), "shingles-kept")
+        kept = lookup_join(named, found, tag, "inner", counted=rows.select(F.struct("id", "digest").alias(tag)))
     if not found.where(F.col(copies) > 1).isEmpty():
         order = Window.partitionBy(tag).orderBy(F.xxhash64(*map(quoted, docs.columns)))
         kept = kept.withColumn(place, F.row_number().over(order)).where(F.col(place) == 1)
