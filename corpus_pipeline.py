@@ -72,5 +72,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         with scratch(spark):
             docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
         remove_tables(spark, before)
-        before = [last_table()]
+        before = [last_table(spark)]
     return STAGES[-1][1](spark, docs, sf_dir)
