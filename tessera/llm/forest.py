@@ -239,27 +239,35 @@ def linked(x: np.ndarray, split: int, threshold: float, seed: int, trees: int =
     only pairs of a row before and a row from it on are compared."""
     rng, found, compared = np.random.default_rng(seed), np.zeros((len(x), len(x)), bool), 0
     known = np.zeros_like(found)  # pairs of large leaves, which aren't compared again
-    for _ in range(1 if len(x) <= leaf_rows else trees):
-        for idx in leaves_of(x, threshold, rng, leaf_rows):
+    few = len(x) <= max(leaf_rows, trees * leaf_rows * GROWTH)  # all pairs are fewer than those of the trees' leaves
+    for _ in range(1 if few else trees):
+        for idx in [np.arange(len(x))] if few else leaves_of(x, threshold, rng, leaf_rows):
             idx.sort()
-            a, b = (idx[idx < split], idx[idx >= split]) if split else (idx, idx)
-            if len(idx) > leaf_rows:
-                a = a[~known[np.ix_(a, b)].all(1)]
-                known[np.ix_(a, b)] = True
-            step = max(1, 4_000_000 // max(1, len(b)))
-            for lo in range(0, len(a), step):
-                rows = a[lo : lo + step]
-                cos = x[rows] @ x[b].T
-                near = cos >= threshold
-                for i, j in np.argwhere(np.abs(cos - threshold) <= CANDIDATE_SLACK):
-                    near[i, j] = np.einsum("i,i->", x[rows[i]], x[b[j]]) >= threshold
-                found[np.ix_(rows, b)] |= near
-                compared += near.size if split else near.size // 2
+            compared += compare_leaf(x, idx, split, threshold, found, known if len(idx) > leaf_rows else None)
     found |= found.T
     np.fill_diagonal(found, False)
     return found, compared
 
 
+def compare_leaf(x: np.ndarray, idx: np.ndarray, split: int, threshold: float, found: np.ndarray, known: np.ndarray | None = None) -> int:
+    """Compares all pairs of a leaf's rows and adds its links to ``found``; rows whose pairs are all ``known`` are left
+    out. Gives the number of pairs compared."""
+    compared, (a, b) = 0, (idx[idx < split], idx[idx >= split]) if split else (idx, idx)
+    if known is not None:
+        a = a[~known[np.ix_(a, b)].all(1)]
+        known[np.ix_(a, b)] = True
+    step = max(1, 4_000_000 // max(1, len(b)))
+    for lo in range(0, len(a), step):
+        rows = a[lo : lo + step]
+        cos = x[rows] @ x[b].T
+        near = cos >= threshold
+        for i, j in np.argwhere(np.abs(cos - threshold) <= CANDIDATE_SLACK):
+            near[i, j] = np.einsum("i,i->", x[rows[i]], x[b[j]]) >= threshold
+        found[np.ix_(rows, b)] |= near
+        compared += near.size if split else near.size // 2
+    return compared
+
+
 def roots(found: np.ndarray) -> np.ndarray:
     """The least row that links reach from each row."""
     root = np.arange(len(found))
@@ -279,13 +287,25 @@ def roots(found: np.ndarray) -> np.ndarray:
 def compare(pdf: pd.DataFrame, threshold: float = THRESHOLD) -> pd.DataFrame:
     """Links within one group (or between two of its blocks): per class its links to classes that share no earlier group
     with it, by their weights, and the least class that links reach here; so a group's rows grow with its classes and
-    not with its links."""
+    not with its links.
+
+    The forest of one group may find a link that another's has missed. So pairs that share a later group too are all
+    compared here, in the first group that they share: whatever any group finds is counted, and counted once."""
     pdf = pdf.sort_values(["side", "key"], kind="stable")
     size, leaf = int(pdf["size"].iloc[0]), int(pdf["leaf"].iloc[0])
     split = int((pdf["side"] == 1).sum())
     if split in (0, len(pdf)) and pdf["side"].iloc[0] != 0:
         return pd.DataFrame({"key": [], "links": [], "low": []})
-    found, _ = linked(_unit(decoded(pdf["v"], size)), split, threshold, seed=leaf)
+    x = _unit(decoded(pdf["v"], size))
+    found, _ = linked(x, split, threshold, seed=leaf)
+    if pdf["leaves"].iloc[0] is not None:
+        lists = [np.frombuffer(b, "<i8") for b in pdf["leaves"]]
+        flat, who = np.concatenate(lists), np.repeat(np.arange(len(x)), [len(k) for k in lists])
+        known = np.zeros_like(found)
+        for later in np.unique(flat[flat > leaf]):
+            compare_leaf(x, who[flat == later], split, threshold, found, known)
+        found |= found.T
+        np.fill_diagonal(found, False)
     got = np.flatnonzero(found.any(1))
     if not len(got):
         return pd.DataFrame({"key": [], "links": [], "low": []})
@@ -297,13 +317,16 @@ def compare(pdf: pd.DataFrame, threshold: float = THRESHOLD) -> pd.DataFrame:
     low[order] = keys[order][root]
     new = found
     if pdf["leaves"].iloc[0] is not None:
-        lists = [np.frombuffer(b, "<i8") for b in pdf["leaves"].to_numpy()[got]]
-        flat, who = np.concatenate(lists), np.repeat(np.arange(len(got)), [len(x) for x in lists])
+        place = np.full(len(x), -1)
+        place[got] = np.arange(len(got))
         new = found.copy()
         for other in np.unique(flat[flat < leaf]):
-            same = who[flat == other]
+            same = place[who[flat == other]]
+            same = same[same >= 0]
             new[np.ix_(same, same)] = False
-    return pd.DataFrame({"key": keys, "links": new.astype(np.int64) @ pdf["weight"].to_numpy(np.int64)[got], "low": low})
+    weight = pdf["weight"].to_numpy(np.int64)[got]
+    links = np.concatenate([new[lo : lo + 512] @ weight for lo in range(0, len(got), 512)])
+    return pd.DataFrame({"key": keys, "links": links, "low": low})
 
 
 def group_links(groups: DataFrame, threshold: float = THRESHOLD, block_rows: int = BLOCK_ROWS) -> DataFrame:
