@@ -200,8 +200,8 @@ def rarity(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(BINS, np.int64)
         for b in batches:
-            for group in _grouped([(t.as_py() or "").encode("utf-8") for t in b.column(0)]):
-                n += np.bincount(np.concatenate([classes(np.frombuffer(g, np.uint8)) for g in group]), minlength=BINS)
+            for laid, own in _grouped([(t.as_py() or "").encode("utf-8") for t in b.column(0)]):
+                n += np.bincount(classes(laid)[own], minlength=BINS)
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["c", "n"])
 
@@ -215,19 +215,25 @@ def rarity(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     return ranks
 
 
-def _grouped(texts: list[bytes]) -> Iterator[list[bytes]]:
-    """Texts joined to about CHUNK bytes with zero bytes between them; a longer one in pieces."""
+def _grouped(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Texts laid one after the other to about CHUNK bytes, zero bytes before each, and which bytes count; a longer text
+    comes in pieces that begin with the end of the one before."""
     held: list[bytes] = []
+    own: list[bool] = []
+    lengths: list[int] = []
     size = 0
     for t in texts:
         for at in range(0, len(t), CHUNK):
-            held.append(t[at : at + CHUNK])
+            before = t[max(0, at - WINDOW) : at].rjust(WINDOW, b"\0")
+            held += [before, t[at : at + CHUNK]]
+            own += [False, True]
+            lengths += [WINDOW, len(held[-1])]
             size += len(held[-1])
             if size > CHUNK:
-                yield [(b"\0" * WINDOW).join(held)]
-                held, size = [], 0
+                yield np.frombuffer(b"".join(held), np.uint8), np.repeat(own, lengths)
+                held, own, lengths, size = [], [], [], 0
     if held:
-        yield [(b"\0" * WINDOW).join(held)]
+        yield np.frombuffer(b"".join(held), np.uint8), np.repeat(own, lengths)
 
 
 def fingerprints(docs: DataFrame, ranks: np.ndarray | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
