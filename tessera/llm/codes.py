@@ -96,7 +96,7 @@ def train(rows: DataFrame, d: int, parts: int = PARTS, entries: int = ENTRIES, r
         rows = materialize(assigned(rows, books), "codes")
         if held:
             remove_tables(rows.sparkSession, [held])
-        held = last_table()
+        held = last_table(rows.sparkSession)
         changes = contributions(rows, parts, width).collect()
         if not changes:
             break
@@ -126,7 +126,7 @@ def compress(vectors: DataFrame, parts: int = PARTS, entries: int = ENTRIES, rou
     if not d:
         out = rows.select("id", "label", F.array().cast("array<int>").alias("code"), F.lit(0).cast("bigint").alias("error"))
     else:
-        out = assigned(rows.select("id", "label", "q", "code"), books).select("id", "label", "code", "error")
+        out = assigned(rows, books).select("id", "label", "code", "error")
     out = materialize(out.withColumn("key", nullable_key(F.col("label"))), "codes-final")
     labels = out.groupBy("key").agg(F.sum("error").alias("label_error"))
     code = F.array_join(F.transform("code", lambda c: F.lower(F.lpad(F.hex(c), 2, "0"))), "")

@@ -429,6 +429,19 @@ def test_forest_against_brute_force(spark, sizes):
         assert {i: c for i, (_, c) in got.items()} == brute_components(range(len(rows)), want)
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_no_found_link_is_lost(spark, seed):
+    """Every link that joins a component is counted: none of its vectors has no links, and both ends count it."""
+    rows = clusters(60, 30, seed)
+    got = near_rows(spark, rows, group_rows=250)
+    sizes = {}
+    for _, c in got.values():
+        sizes[c] = sizes.get(c, 0) + 1
+    assert all((n == 0) == (sizes[c] == 1) for n, c in got.values())
+    want = brute_links(rows)
+    assert sum(n for n, _ in got.values()) <= 2 * len(want) and all(n <= sum(i in w for w in want) for i, (n, _) in list(got.items())[:50])
+
+
 def test_groups_of_copies_are_compared_once(spark):
     rows = clusters(6, 5)
     copies = [(1000 + i, rows[i % 3][1], rows[i % 3][2]) for i in range(300)]
