@@ -49,12 +49,12 @@ def cosine_pairs(df: DataFrame, group: str, key: str, vector: str, sim: str = "s
     return unordered_pairs(units, group, key, blocks).select(group, "i", "j", clipped_dot("u_a", "u_b").alias(sim))
 
 
-def distinct_cosine_pairs(df: DataFrame, group: str, key: str, vector: str) -> DataFrame:
+def distinct_cosine_pairs(df: DataFrame, group: str, key: str, vector: str, blocks: int = 1) -> DataFrame:
     """``cosine_pairs`` by way of distinct vectors, so that duplicates have bitwise equal similarities."""
     first = df.groupBy(group, vector).agg(F.min(key).alias("rep"))
     member = df.join(first, [group, vector]).select(group, key, "rep")
-    sims = cosine_pairs(first.select(group, "rep", vector), group, "rep", vector)
-    p = unordered_pairs(member, group, key)
+    sims = cosine_pairs(first.select(group, "rep", vector), group, "rep", vector, blocks=blocks)
+    p = unordered_pairs(member, group, key, blocks)
     p = p.withColumn("lo", F.least("rep_a", "rep_b")).withColumn("hi", F.greatest("rep_a", "rep_b"))
     out = p.join(sims.select(group, F.col("i").alias("lo"), F.col("j").alias("hi"), "sim"), [group, "lo", "hi"], "left")
     return out.select(group, "i", "j", F.when(F.col("lo") == F.col("hi"), F.lit(1.0)).otherwise(F.col("sim")).alias("sim"))

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.sources.shared import store
+
 
 def seeded_normal(text: str, size: int) -> np.ndarray:
     seed = int.from_bytes(hashlib.sha256(text.encode()).digest()[:8], "big")
@@ -31,38 +34,92 @@ def field_vectors(fields: DataFrame, key: str, field: str, value: str, size: int
     return v.select(key, F.transform("v", lambda x: x / n).alias("vector"))
 
 
-def group_gaussian(df: DataFrame, group: str, key: str, size: int = 16) -> DataFrame:
-    """(group, key, vector): a matrix of normals per group, seeded by the group, rows in the order of keys."""
-
-    def make(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf.sort_values(key)
-        seed = int.from_bytes(hashlib.sha256(str(p[group].iloc[0]).encode()).digest()[:8], "big")
-        m = np.random.default_rng(seed).standard_normal((len(p), size))
-        return p.assign(vector=list(m))
-
-    base = df.select(group, key)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema)
-    return base.groupBy(group).applyInPandas(make, f"{schema}, vector array<double>")
-
-
-def truncated_svd(weights: DataFrame, key: str, term: str, weight: str, rank: int) -> DataFrame:
-    """(key, vector): left singular vectors times values of a sparse (key, term, weight) matrix, by its terms' Gram
-    matrix; the term list must be bounded (max_features), which the Gram matrix's size follows."""
-    terms = [r[0] for r in weights.select(term).distinct().orderBy(term).collect()]
-    index = {x: i for i, x in enumerate(terms)}
-    a = weights.select(F.col(key).alias("k"), F.col(term).alias("ta"), F.col(weight).alias("wa"))
-    b = weights.select(F.col(key).alias("k"), F.col(term).alias("tb"), F.col(weight).alias("wb"))
-    gram = np.zeros((len(terms), len(terms)))
-    for r in a.join(b, "k").groupBy("ta", "tb").agg(F.sum(F.col("wa") * F.col("wb")).alias("s")).collect():
-        gram[index[r.ta], index[r.tb]] = r.s
-    vals, vecs = np.linalg.eigh(gram)
-    top = vecs[:, np.argsort(-vals)[:rank]]
-    top *= np.where(top[np.abs(top).argmax(0), np.arange(top.shape[1])] < 0, -1.0, 1.0)
-    spark = weights.sparkSession
-    basis = spark.createDataFrame([(t, [float(x) for x in top[i]]) for i, t in enumerate(terms)], f"`{term}` string, basis array<double>")
-    j = weights.join(F.broadcast(basis), term).select(key, F.posexplode("basis").alias("pos", "x"), weight)  # bounded by the term list
-    long = j.groupBy(key, "pos").agg(F.sum(F.col("x") * F.col(weight)).alias("x"))
-    return long.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda e: e["x"]).alias("vector"))
+def group_gaussian(df: DataFrame, group: str, key: str, size: int = 16, seed: int = 0) -> DataFrame:
+    """(group, key, vector): normals seeded by the group and the key, so a row's vector depends on no other row."""
+
+    @F.pandas_udf("array<double>")
+    def draw(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: seeded_normal(x, size).tolist())
+
+    name = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in (group, key)])
+    return df.select(group, key, draw(name).alias("vector"))
+
+
+#: Terms of a matrix whose range is looked for: a table of so many rows by the rank is sent to all tasks.
+MOST_TERMS = 20_000
+#: Tasks that add up products at most, and sparse values that one works on at a time.
+PARTIALS, VALUES = 64, 20_000
+
+
+def truncated_svd(weights: DataFrame, key: str, term: str, weight: str, rank: int, power: int = 4, extra: int = 10, seed: int = 0, most_terms: int = MOST_TERMS) -> DataFrame:
+    """(key, vector): left singular vectors times values of a sparse (key, term, weight) matrix, its ``rank`` largest.
+
+    A random table of rank + ``extra`` columns per term is multiplied by the matrix and its transpose in one pass over the
+    keys' sparse rows, made orthonormal, and so on ``power`` times; within the range found, an eigenproblem of that size
+    is left. Only that table (terms by columns) is gathered and sent; the terms must be bounded (``max_features``), more
+    than ``most_terms`` are an error. Signs: the largest entry of each direction is positive. Rows with nulls are left
+    out."""
+    w = weights.select(F.col(key).alias("k"), F.col(term).alias("t"), F.col(weight).cast("double").alias("w")).dropna()
+    terms = [r.t for r in w.select("t").distinct().orderBy("t").limit(most_terms + 1).collect()]
+    if len(terms) > most_terms:
+        raise ValueError(f"more than {most_terms} terms: bound them first")
+    spark, v, r = weights.sparkSession, len(terms), min(rank + extra, len(terms))
+    index = spark.createDataFrame(list(zip(terms, range(v), strict=True)), f"t {w.schema['t'].dataType.simpleString()}, i int")
+    sparse = w.join(F.broadcast(index), "t").groupBy("k").agg(F.collect_list("i").alias("i"), F.collect_list("w").alias("w"))
+    rows = store(sparse, "sparse-rows")
+
+    def parts(pdf: pd.DataFrame) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
+        """(rows, row of each value, its term, its weight), VALUES values or one row at a time."""
+        sizes = pdf["i"].map(len).to_numpy()
+        at = 0
+        while at < len(pdf):
+            to = max(at + 1, at + int(np.searchsorted(np.cumsum(sizes[at:]), VALUES, "right")))
+            yield slice(at, to), np.repeat(np.arange(to - at), sizes[at:to]), np.concatenate(pdf["i"][at:to].to_list()), np.concatenate(pdf["w"][at:to].to_list())
+            at = to
+
+    def times(z: np.ndarray, row: np.ndarray, i: np.ndarray, x: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(z[i] * x[:, None], np.flatnonzero(np.diff(row, prepend=-1)), axis=0)
+
+    def product(z: np.ndarray) -> np.ndarray:
+        """The transposed matrix times the matrix times ``z``."""
+        sent = spark.sparkContext.broadcast(z)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = np.zeros_like(sent.value)
+            for pdf in batches:
+                for _, row, i, x in parts(pdf.reset_index(drop=True)):
+                    y, order = times(sent.value, row, i, x), np.argsort(i, kind="stable")
+                    first = np.flatnonzero(np.diff(i[order], prepend=-1))
+                    total[i[order][first]] += np.add.reduceat(y[row[order]] * x[order, None], first, axis=0)
+            at = np.flatnonzero(total.any(1))
+            yield pd.DataFrame({"i": at, "v": total[at].tolist()})
+
+        def added(pdf: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"i": pdf["i"][:1], "v": [np.sum(np.stack(pdf["v"].to_list()), 0)]})
+
+        out = np.zeros_like(z)
+        for got in rows.coalesce(PARTIALS).mapInPandas(run, "i bigint, v array<double>").groupBy("i").applyInPandas(added, "i bigint, v array<double>").collect():
+            out[got.i] = got.v
+        return out
+
+    basis = np.zeros((v, 0))
+    if v:
+        q = np.linalg.qr(np.random.default_rng(seed).standard_normal((v, r)))[0]
+        for _ in range(power):
+            q = np.linalg.qr(product(q))[0]
+        vals, vecs = np.linalg.eigh(q.T @ product(q))
+        basis = q @ vecs[:, np.argsort(-vals)[:rank]]
+        basis = basis * np.where(basis[np.abs(basis).argmax(0), np.arange(basis.shape[1])] < 0, -1.0, 1.0)
+    sent = spark.sparkContext.broadcast(basis)
+
+    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out: list = []
+            for _, row, i, x in parts(pdf.reset_index(drop=True)):
+                out += times(sent.value, row, i, x).tolist()
+            yield pd.DataFrame({key: pdf["k"], "vector": out})
+
+    return rows.mapInPandas(scored, f"`{key}` {w.schema['k'].dataType.simpleString()}, vector array<double>")
 
 
 def numeric_rank(df: DataFrame, group: str, vector: str) -> DataFrame:

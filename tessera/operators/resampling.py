@@ -71,39 +71,3 @@ def assign(cost: np.ndarray) -> np.ndarray:
     out = np.zeros(n, int)
     out[match[1:][match[1:] > 0] - 1] = np.flatnonzero(match[1:] > 0)
     return out
-
-
-def balanced_derangements(lengths: list[tuple[int, int]], texts: list[str], pool: int, keep: int, seed: int, gate: float = 1.10, jitter: float = 0.05) -> list[list[int]]:
-    """Length-balanced derangements: the optimum's cost bounds the pool (``gate`` times it), jittered assignments fill
-    the pool, and the most different ones by Hamming distance of the texts given are kept. No mapping gives an entity its
-    own text; where none can, or the pool stays smaller than ``keep``, that is an error. Runs on the driver over some
-    dozens of texts."""
-    a = np.array(lengths, float)
-    cost = sum(0.5 * np.abs(np.log((a[:, None, k] + 1) / (a[None, :, k] + 1))) for k in range(2))
-    same = np.array([[x == y for y in texts] for x in texts])
-    big = np.where(same, 1e6, cost)
-    best = assign(big)
-    if same[np.arange(len(a)), best].any():
-        raise ValueError("some entity would keep its own text: more than half of the texts are alike")
-    optimum = big[np.arange(len(a)), best].sum()
-    code = {x: i for i, x in enumerate(dict.fromkeys(texts))}
-    given = lambda p: tuple(code[texts[k]] for k in p)  # noqa: E731  # mappings that give the same texts are one
-    rng, found = np.random.default_rng(seed), {given(best): tuple(best.tolist())}
-    for _ in range(pool):
-        p = assign(np.where(same, 1e6, cost + rng.uniform(0, jitter, cost.shape)))
-        if not same[np.arange(len(a)), p].any() and big[np.arange(len(a)), p].sum() <= gate * optimum + 1e-12:
-            found.setdefault(given(p), tuple(p.tolist()))
-    if len(found) < keep:
-        raise ValueError(f"{len(found)} mappings within the gate, {keep} wanted")
-    return [list(found[tuple(s)]) for s in diverse(sorted(found), keep, start=given(best))]
-
-
-def diverse(items: list[tuple[int, ...]], keep: int, start: tuple[int, ...]) -> list[list[int]]:
-    """Greedy max-min choice by Hamming distance; the first wins ties."""
-    arr, chosen = np.array(items), [items.index(start)]
-    near = (arr != arr[chosen[0]]).sum(1)
-    while len(chosen) < min(keep, len(items)):
-        k = int(np.argmax(np.where(np.isin(np.arange(len(items)), chosen), -1, near)))
-        chosen.append(k)
-        near = np.minimum(near, (arr != arr[k]).sum(1))
-    return [list(items[k]) for k in chosen]

@@ -14,7 +14,7 @@ from tessera.operators.order import hash_positions, with_ranks
 from tessera.operators.metrics import confusion, equal_weight, fractional_topk
 
 from .base import CELLS, EFFECTS, METRICS, TWO_VIEWS, Tables, cells, effects, metric_table, query, r6, two_views
-from tessera.operators.geometry import average_rank, doubled_rank, mean_vector, unordered_pairs
+from tessera.operators.geometry import average_rank, blocks_of, doubled_rank, mean_vector, unordered_pairs
 
 EV = "ev as (select event_id, event_type as atom, (user_id % 5)::bigint as donor, day(ts)::bigint as batch, value, event_type = 'view' as is_control from events)"
 
@@ -154,7 +154,7 @@ def j07(t: Tables) -> DataFrame:
 
 @query("j08_unordered_pairs", "select a.label::bigint as label, count(*)::bigint as n_pairs from embeddings a join embeddings b on a.label = b.label and a.vec_id < b.vec_id group by a.label")
 def j08(t: Tables) -> DataFrame:
-    p = unordered_pairs(t.embeddings.select(F.col("label").cast("bigint").alias("label"), "vec_id"), "label", "vec_id")
+    p = unordered_pairs(t.embeddings.select(F.col("label").cast("bigint").alias("label"), "vec_id"), "label", "vec_id", blocks_of(t.embeddings, "label"))
     return p.groupBy("label").agg(F.count("*").alias("n_pairs"))
 
 
@@ -188,7 +188,7 @@ def j12(t: Tables) -> DataFrame:
     n = t.nation.select("n_nationkey")
     cond = n.select(F.col("n_nationkey").alias("ca")).crossJoin(n.select(F.col("n_nationkey").alias("cb"))).withColumn("sim", F.abs(F.col("ca") - F.col("cb")).cast("bigint"))
     s = t.supplier.select("s_suppkey", F.col("s_nationkey").alias("c"), (F.col("s_suppkey") % 10).alias("g"))
-    p = unordered_pairs(s, "g", "s_suppkey")
+    p = unordered_pairs(s, "g", "s_suppkey", blocks_of(s, "g"))
     return p.join(cond, (F.col("c_a") == F.col("ca")) & (F.col("c_b") == F.col("cb"))).select(F.col("i").alias("a"), F.col("j").alias("b"), "sim")
 
 

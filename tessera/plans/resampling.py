@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.columns import hash_order, joined_hash, unit
+from tessera.functions.columns import joined_hash, length_cost, unit
+from tessera.operators import derangements as der
 from tessera.operators import linear as lin
 from tessera.operators import metrics as met
 from tessera.operators import relational as rel
@@ -195,25 +196,37 @@ def l14(t: Tables) -> DataFrame:
     return b.join(F.broadcast(n)).select(F.col("p_brand").alias("entity"), (F.col("k") % F.col("n") + 1).alias("k")).join(b.withColumnRenamed("p_brand", "given"), "k").select("entity", "given")
 
 
-def _mapping(t: Tables) -> tuple[list, list[list[int]]]:
-    rows = t.benchmark.orderBy("item_id").select("item_id", "text").collect()  # the fixed list of test items
-    maps = res.balanced_derangements([(len(r.text), len(r.text.split())) for r in rows], [hashlib.sha256(r.text.encode()).hexdigest() for r in rows], pool=60, keep=5, seed=67)
-    return rows, maps
+def _mapping(t: Tables) -> tuple[list, DataFrame]:
+    """The list of test items and five derangements of their texts."""
+    rows = t.benchmark.orderBy("item_id").select("item_id", "text").limit(der.MAX_ENTITIES + 1).collect()
+    lengths = np.array([(len(r.text), len(r.text.split())) for r in rows])
+    return rows, der.balanced_derangements(t.spark, lengths, [hashlib.sha256(r.text.encode()).hexdigest() for r in rows], 5, (67, 68), (0.01, 0.05), 20)
+
+
+def _named(t: Tables, rows: list, maps: DataFrame) -> DataFrame:
+    """(perm, item_id, given, text) with the items' ids."""
+    ids = F.lit([r.item_id for r in rows])
+    m = maps.select(F.col("place").alias("perm"), F.posexplode(F.arrays_zip("given", "signature")).alias("k", "g"))
+    return m.select("perm", F.get(ids, "k").alias("item_id"), F.get(ids, F.col("g.given").cast("int")).alias("given"), F.col("g.signature").alias("text"))
 
 
 @query("l15_balanced_derangements")
 def l15(t: Tables) -> DataFrame:
-    rows, maps = _mapping(t)
-    return t.spark.createDataFrame([(p, rows[i].item_id, rows[j].item_id) for p, m in enumerate(maps) for i, j in enumerate(m)], "perm bigint, item_id bigint, given bigint")
+    return _named(t, *_mapping(t)).select("perm", "item_id", "given")
 
 
 @query("l16_mapping_quality")
 def l16(t: Tables) -> DataFrame:
     rows, maps = _mapping(t)
-    m = t.spark.createDataFrame([(p, rows[i].item_id, rows[j].item_id) for p, mm in enumerate(maps) for i, j in enumerate(mm)], "perm bigint, item_id bigint, given bigint")
-    size = t.benchmark.select("item_id", F.length("text").alias("n"))
-    j = m.join(size, "item_id").join(size.select(F.col("item_id").alias("given"), F.col("n").alias("g")), "given")
-    return j.groupBy("perm").agg(r6(F.sum(0.5 * F.abs(F.ln((F.col("n") + 1) / (F.col("g") + 1))))).alias("cost"), r6(F.max(F.col("g") / F.col("n"))).alias("worst_ratio"), F.count_if(F.col("item_id") == F.col("given")).alias("n_fixed"))
+    m = _named(t, rows, maps)
+    size = t.benchmark.select("item_id", F.length("text").alias("n"), F.size(F.split(F.trim("text"), r"\s+")).alias("w"))
+    j = m.join(size, "item_id").join(size.select(F.col("item_id").alias("given"), F.col("n").alias("gn"), F.col("w").alias("gw")), "given")
+    ratio = lambda a, b: F.greatest(F.col(a) / F.col(b), F.col(b) / F.col(a))
+    cost = length_cost(F.col("n"), F.col("gn")) + length_cost(F.col("w"), F.col("gw"))
+    per = j.groupBy("perm").agg(r6(F.sum(cost)).alias("cost"), r6(F.max(ratio("n", "gn"))).alias("worst_ratio"), r6(F.median(ratio("w", "gw"))).alias("median_word_ratio"), F.count_if(F.col("item_id") == F.col("given")).alias("n_fixed"))
+    apart = m.alias("a").join(m.alias("b"), "item_id").where("a.perm <> b.perm").groupBy(F.col("a.perm").alias("perm"), F.col("b.perm").alias("other")).agg(F.count_if(F.col("a.text") != F.col("b.text")).alias("d"))
+    out = per.join(apart.groupBy("perm").agg(F.min("d").alias("least_distance")), "perm")
+    return out.join(maps.select(F.col("place").alias("perm"), r6("ratio").alias("cost_ratio")), "perm")
 
 
 @query("j15_assignment")
@@ -228,10 +241,9 @@ def j15(t: Tables) -> DataFrame:
 
 @query("k08_diverse_selection")
 def k08(t: Tables) -> DataFrame:
-    # a few thousand signatures at any size: 50 sizes by 7 by 11 remainders
-    rows = sorted(tuple(map(int, r)) for r in t.part.select("p_size", F.col("p_partkey") % 7, F.col("p_partkey") % 11).distinct().collect())
-    got = res.diverse(rows, 10, start=rows[0])
-    return t.spark.createDataFrame([(i, *r) for i, r in enumerate(got)], "place bigint, a bigint, b bigint, c bigint")
+    v = F.array(F.col("p_size").cast("bigint"), F.col("p_partkey") % 7, F.col("p_partkey") % 11)
+    got = der.diverse_selection(t.part.select(v.alias("v"), F.lit(0.0).alias("cost")), "v", "cost", 10)
+    return got.select("place", *[F.col("v")[k].alias(n) for k, n in enumerate("abc")])
 
 
 @query("l17_prompt_registry", "with p as (select p_partkey, p_brand, p_type from part) select perm::bigint as perm, p_partkey, substr(sha256(concat_ws(chr(31), perm::varchar, p_brand, p_type)), 1, 16) as prompt_id from p, range(0, 3) r(perm)")

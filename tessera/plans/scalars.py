@@ -288,8 +288,8 @@ def g14(t: Tables) -> DataFrame:
 
 @query("g15_truncated_svd")
 def g15(t: Tables) -> DataFrame:
-    w = txt.tfidf(t.benchmark, "item_id", "text", max_features=64)
-    return kernels.truncated_svd(w, "item_id", "term", "weight", 8)
+    w = txt.tfidf(t.documents, "doc_id", "text", max_features=2_000)
+    return kernels.truncated_svd(w, "doc_id", "term", "weight", 256)
 
 
 @query("g16_numeric_rank")

@@ -24,7 +24,7 @@ def v02(t: Tables) -> DataFrame:
     v = two_views(t).select("label", "vec_id", "text")
     other = v.select("label", F.col("vec_id").alias("rep"), F.col("text").alias("shared"))
     d = v.withColumn("rep", F.col("vec_id") - F.col("vec_id") % 2).join(other, ["label", "rep"], "left").select("label", "vec_id", F.coalesce("shared", "text").alias("text"))
-    return geo.distinct_cosine_pairs(d, "label", "vec_id", "text").select("label", "i", "j", r6("sim").alias("sim"))
+    return geo.distinct_cosine_pairs(d, "label", "vec_id", "text", geo.blocks_of(t.embeddings, "label")).select("label", "i", "j", r6("sim").alias("sim"))
 
 
 EFFECT_RANKS = f"""{EFFECTS}, rk as (select entity, context, feature, rank() over (partition by entity, context order by effect) + (count(*) over (partition by entity, context, effect) - 1) / 2.0::double as r,

@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from tessera.functions.columns import clean_value, decimal_text, dot, ellipsis, jaccard, unit
 from tessera.functions.text import canonical_entities, split_ids, tokens
+from tessera.operators import encoders
 from tessera.operators import metrics as met
 from tessera.operators import relational as rel
 from tessera.operators import resampling as res
 from tessera.operators.pairorder import pair_order_accuracy
+from tessera.plans import registry
 from tessera.operators.geometry import cosine_pairs, distinct_cosine_pairs, fuse_ranks, spearman_pairs, unordered_pairs
 
 
@@ -153,13 +155,6 @@ def test_assignment_is_optimal():
 
 def test_derangements_keep_no_text():
     texts = ["a", "b", "b", "c", "d"]
-    lengths = [(i + 3, i) for i in range(5)]
-    maps = res.balanced_derangements(lengths, texts, 20, 2, 1, gate=3.0)
-    assert len({tuple(texts[j] for j in m) for m in maps}) == 2 and all(texts[i] != texts[j] for m in maps for i, j in enumerate(m))
-    with pytest.raises(ValueError):  # the pool holds two mappings that give different texts
-        res.balanced_derangements(lengths, texts, 20, 4, 1, gate=3.0)
-    with pytest.raises(ValueError):  # one of the two must keep its text
-        res.balanced_derangements(lengths[:3], ["a", "a", "b"], 20, 1, 1)
     p = res.derangement(list("abcde"), texts, 1)
     assert p and all(texts[i] != texts[j] for i, j in enumerate(p))
 
@@ -175,3 +170,26 @@ def test_pairs_in_blocks_are_the_same(spark):
     df = spark.range(40).selectExpr("id % 3 as g", "id as k", "id * 2 as v")
     one, many = (sorted(map(tuple, unordered_pairs(df, "g", "k", b).collect())) for b in (1, 4))
     assert one == many and len(one) == 247
+
+
+def test_assignment_query(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/supplier.parquet").collect()
+    got = {r.s_suppkey: r.slot for r in registry.queries()["j15_assignment"](spark, "/root/testdata/sf0.001").collect()}
+    for nation in {r.s_nationkey for r in rows}:
+        own = sorted((r for r in rows if r.s_nationkey == nation), key=lambda r: r.s_suppkey)
+        a = np.array([r.s_acctbal for r in own])
+        cost = np.abs(a[:, None] - np.roll(a, 1)[None, :])
+        slots = [got[r.s_suppkey] for r in own]
+        assert sorted(slots) == list(range(len(own)))
+        if len(own) <= 7:
+            assert cost[np.arange(len(own)), slots].sum() == pytest.approx(min(cost[np.arange(len(own)), list(p)].sum() for p in itertools.permutations(range(len(own)))))
+
+
+def test_encoder_query(spark):
+    rows = {(r.conv_id, r.turn): r.text for r in spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").collect()}
+    model = encoders.HashedTokens()
+    for r in registry.queries()["l25_text_encoder"](spark, "/root/testdata/sf0.001").limit(25).collect():
+        hidden, mask = model.hidden([rows[r.conv_id, r.turn] or ""])
+        for m in encoders.MODES:
+            v = encoders.pool(hidden, mask, m)[0]
+            assert np.allclose(r[m], v / np.linalg.norm(v), atol=2e-6)
