@@ -3,23 +3,45 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import hash_index
 
 
-def bootstrap_ci(df: DataFrame, group: str, key: str, value: str, draws: int, seed: int) -> DataFrame:
+#: Units of a group whose values are one array; CHUNKS tasks per group share its draws.
+ARRAY_UNITS, CHUNKS = 100_000, 64
+
+
+def bootstrap_ci(df: DataFrame, group: str, key: str, value: str, draws: int, seed: int, array_units: int = ARRAY_UNITS) -> DataFrame:
     """(group, n, mean, lo, hi): percentile interval of the mean over units drawn with replacement by hash.
 
-    Each draw's slots are looked up by position within the group; draws, not units, are what grows."""
-    w = Window.partitionBy(group)
-    u = df.where(F.col(value).isNotNull()).select(group, F.col(value).alias("v"), (F.row_number().over(w.orderBy(key)) - 1).cast("bigint").alias("idx"), F.count("*").over(w).alias("n"))
-    slots = u.select(group, F.col("idx").alias("slot"), "n").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    pick = hash_index(F.concat_ws("|", F.lit(str(seed)), F.col(group).cast("string"), "draw", "slot"), F.col("n"))
-    means = slots.withColumn("idx", pick).join(u.select(group, "idx", "v"), [group, "idx"]).groupBy(group, "draw").agg(F.avg("v").alias("m"))
-    ci = means.groupBy(group).agg(F.percentile("m", F.lit(0.025)).alias("lo"), F.percentile("m", F.lit(0.975)).alias("hi"))
-    return u.groupBy(group).agg(F.count("*").alias("n"), F.avg("v").alias("mean")).join(ci, group)
+    A draw picks, for each of as many slots as there are units, the unit at a place that a hash of group, draw and slot
+    gives, in the order of ``key``. A group's values are one array; it is sent to CHUNKS tasks, which go through their
+    draws without a join, and only the draws' means are shuffled. Groups of more than ``array_units`` units (counted
+    first) look slots up by place instead. Rows with a null value are left out; a null group is a group."""
+    known = df.where(F.col(value).isNotNull()).select(F.col(group).alias("g"), F.col(key).alias("k"), F.col(value).cast("double").alias("v"))
+    sizes = known.groupBy("g").agg(F.count("*").alias("n"), F.avg("v").alias("mean"))
+    largest = sizes.agg(F.max("n").alias("n")).first().n or 0
+
+    def pick(n: Column, draw: Column, slot: Column) -> Column:
+        return hash_index(F.concat_ws("|", F.lit(str(seed)), F.col("g").cast("string"), draw.cast("string"), slot.cast("string")), n)
+
+    if largest <= array_units:
+        u = known.groupBy("g").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda x: x["v"]).alias("v"))
+        chunk = u.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(CHUNKS - 1)))).repartition("g", "c")
+        each = chunk.select("g", "v", F.size("v").cast("bigint").alias("n"), F.explode(F.filter(F.sequence(F.lit(0), F.lit(draws - 1)), lambda d: d % CHUNKS == F.col("c"))).alias("draw"))
+        slots = F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)
+        total = F.aggregate(slots, F.lit(0.0), lambda s, j: s + F.get("v", pick(F.col("n"), F.col("draw"), j).cast("int")))
+        means = each.select("g", "draw", (total / F.col("n")).alias("m"))
+    else:
+        w = Window.partitionBy("g")
+        u = known.select("g", "v", (F.row_number().over(w.orderBy("k", "v")) - 1).cast("bigint").alias("idx"), F.count("*").over(w).alias("n"))
+        slots = u.select("g", F.col("idx").alias("slot"), "n").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+        picked = slots.select(F.col("g").alias("h"), "draw", pick(F.col("n"), F.col("draw"), F.col("slot")).alias("at"))
+        means = picked.join(u.select("g", "idx", "v"), F.col("h").eqNullSafe(F.col("g")) & (F.col("at") == F.col("idx"))).groupBy("g", "draw").agg(F.avg("v").alias("m"))
+    ci = means.groupBy(F.col("g").alias("h")).agg(F.percentile("m", F.lit(0.025)).alias("lo"), F.percentile("m", F.lit(0.975)).alias("hi"))
+    return sizes.join(ci, F.col("g").eqNullSafe(F.col("h"))).select(F.col("g").alias(group), "n", "mean", "lo", "hi")
 
 
 def sign_flip(df: DataFrame, group: str, value: str, most: int = 20) -> DataFrame:

@@ -1,5 +1,6 @@
 """Literal cases and metamorphic checks of the metric kernels."""
 
+import hashlib
 import itertools
 import math
 import random
@@ -144,6 +145,19 @@ def test_bootstrap_of_a_constant(spark):
     assert (r.n, r.mean, r.lo, r.hi) == (5, 2, 2, 2)
 
 
+@pytest.mark.parametrize("units", [10**5, 0])
+def test_bootstrap_of_the_same_draws(spark, units):
+    rng = np.random.default_rng(6)
+    rows = [(g, k, float(x)) for g in ("a", "b", None) for k, x in enumerate(rng.normal(0, 1, 23))] + [("a", 99, None)]
+    got = {r.g: r for r in res.bootstrap_ci(spark.createDataFrame(rows, "g string, k int, v double").repartition(4), "g", "k", "v", 130, 5, array_units=units).collect()}
+    for g in ("a", "b", None):
+        v = [x for q, _, x in rows if q == g and x is not None]
+        name = [] if g is None else [g]
+        at = lambda d, j: int(hashlib.sha256("|".join(["5", *name, str(d), str(j)]).encode()).hexdigest()[:8], 16) % len(v)
+        means = [np.mean([v[at(d, j)] for j in range(len(v))]) for d in range(130)]
+        assert got[g].n == 23 and [got[g]["mean"], got[g].lo, got[g].hi] == pytest.approx([np.mean(v), *np.quantile(means, [0.025, 0.975])])
+
+
 def test_assignment_is_optimal():
     rng = np.random.default_rng(0)
     for n in (1, 2, 5, 6):
