@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.columns import hash_order, try_ratio
 from tessera.operators import metrics as met
+from tessera.operators import neighbours as nbr
 from tessera.operators.pairorder import pair_order_accuracy
 from tessera.operators.geometry import average_rank, blocks_of, unordered_pairs
 
@@ -203,18 +204,11 @@ KNN = """nv as (select vec_id, label::bigint as label, embedding::double[] as e
 
 
 def knn(t: Tables) -> DataFrame:
-    """(q, truth, pred): five nearest of the training rows by cosine vote; ties go to the least label. The held-out fold
-    is compared with all training rows, in blocks of them; a block sends on five rows a query."""
-    from tessera.functions.columns import dot, unit
-
-    v = t.embeddings.select("vec_id", F.col("label").cast("bigint").alias("label"), unit(F.col("embedding").cast("array<double>")).alias("u"))
-    q = v.where("vec_id % 5 = 0").select(F.col("vec_id").alias("q"), F.col("label").alias("truth"), F.col("u").alias("uq"))
-    blocks = blocks_of(t.embeddings.select(F.lit(0).alias("all")), "all")
-    c = v.where("vec_id % 5 <> 0").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
-    s = q.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(c, "block").select("q", "truth", "block", "label", "vec_id", dot(F.col("uq"), F.col("u")).alias("s"))
-    first = lambda df, *keys: df.withColumn("r", F.row_number().over(Window.partitionBy("q", *keys).orderBy(F.col("s").desc(), "vec_id"))).where("r <= 5").drop("r")
-    top = first(first(s, "block")) if blocks > 1 else first(s)
-    votes = top.groupBy("q", "truth", "label").agg(F.count("*").alias("n"))
+    """(q, truth, pred): five nearest of the training rows by cosine vote; ties go to the least label."""
+    v = t.embeddings.select("vec_id", F.col("label").cast("bigint").alias("label"), F.col("embedding").alias("v")).where("v is not null")
+    top = nbr.nearest(v.where("vec_id % 5 = 0"), v.where("vec_id % 5 <> 0"), "vec_id", "v", 5)
+    truth, label = v.select(F.col("vec_id").alias("q"), F.col("label").alias("truth")), v.select(F.col("vec_id").alias("key"), "label")
+    votes = top.join(label, "key").join(truth, "q").groupBy("q", "truth", "label").agg(F.count("*").alias("n"))
     return votes.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.col("n").desc(), "label"))).where("r = 1").select("q", "truth", F.col("label").alias("pred"))
 
 
