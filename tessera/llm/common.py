@@ -16,6 +16,8 @@ LOWER = UPPER.lower()
 
 #: A table is broadcast only while it has at most so many rows (checked by a count first).
 BROADCAST_ROWS = 100_000
+#: The same for tables of keys, whose rows take under 100 bytes: 30 MB.
+SENT_KEYS = 300_000
 #: A key is hot if it has over one in HOT_SHARE of all rows, so there are fewer hot keys than that at any size.
 HOT_SHARE = 4_096
 #: Up to so many rows no key can overload a task, so hot keys aren't looked for.

@@ -14,14 +14,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_name, lookup_join, materialize, nullable_key, quoted, scratch
+from .common import SENT_KEYS, free_name, lookup_join, materialize, nullable_key, quoted, scratch
 
 WEIGHTS = (5, 2, 1)
 #: A document is taken so many times at most.
 MAX_REPEATS = 3
 BIN_ROWS = 4_000
-#: Up to so many keys of taken rows are sent to all tasks, of some 100 bytes each.
-SENT_ROWS = 300_000
 TIME_BINS = 1 << 12
 SPREAD = 1 << 60
 
@@ -130,14 +128,14 @@ def mixed_rows(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
     """The mix itself: each row of ``docs`` as often as it is taken, with its columns.
 
     The queue knows rows by a key of id and a hash of all other columns; what is taken comes back to the rows by that
-    key. A row's texts are shuffled only if over SENT_ROWS keys are taken. Rows alike in everything are one
+    key. A row's texts are shuffled only if over SENT_KEYS keys are taken. Rows alike in everything are one
     key: one of them comes back as often as all of them are taken."""
     key, times, alike = (free_name(docs.columns, n) for n in ("_key", "_times", "_alike"))
     tie = F.xxhash64(*[quoted(c) for c in docs.columns if c != id_col])
     with scratch(docs.sparkSession):
         queue = queue_of(docs, tie, weights, share, id_col, text_col, source_col).select(_row_key(F.col("id"), F.col("tie")).alias(key), "times")
         taken = materialize(queue.groupBy(key).agg(F.sum("times").cast("int").alias(times), F.count("*").alias(alike)).where(F.col(times) > 0), "mixing-taken")
-        rows = lookup_join(docs.withColumn(key, _row_key(quoted(id_col), tie)), taken, key, "inner", limit=SENT_ROWS, counted=queue.select(key))
+        rows = lookup_join(docs.withColumn(key, _row_key(quoted(id_col), tie)), taken, key, "inner", limit=SENT_KEYS, counted=queue.select(key))
     if not taken.where(F.col(alike) > 1).isEmpty():
         rows = rows.where(F.col(alike) == 1).unionByName(rows.where(F.col(alike) > 1).dropDuplicates([key]))
     return rows.withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*map(quoted, docs.columns))

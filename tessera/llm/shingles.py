@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, lookup_join, materialize
+from .common import SENT_KEYS, connected_components, lookup_join, materialize
 
 SEED = 42
 WIDTH = 5
@@ -136,7 +136,7 @@ def components(docs: DataFrame, marked: DataFrame, spread: DataFrame, similarity
             sets = [shingles(t.as_py(), width) for t in b.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(map(name_of, sets), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["name", "hashes"])
 
-    sets = lookup_join(docs, wanted, "id", "left_semi", counted=docs.select("id")).select("t").mapInArrow(hashed, "name bigint, hashes binary")
+    sets = lookup_join(docs, wanted, "id", "left_semi", limit=SENT_KEYS, counted=docs.select("id")).select("t").mapInArrow(hashed, "name bigint, hashes binary")
     sets = materialize(sets.dropDuplicates(["name"]), "shingles-sets")
 
     def within(rows: pd.DataFrame) -> pd.DataFrame:

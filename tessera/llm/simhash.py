@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, free_name, lookup_join, materialize, quoted, scratch
+from .common import SENT_KEYS, connected_components, free_name, lookup_join, materialize, quoted, scratch
 from .shingles import SIMILARITY, WIDTH, band_keys, components, name_of, shingles
 
 SEED = 42
@@ -174,7 +174,7 @@ def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str
         comp = components(plain.select("id", "t"), marked, spread, similarity, width).withColumnRenamed("node", "name")
         found = marked.select("name", "least").join(comp, "name", "left").groupBy(F.coalesce("component", "name").alias("component")).agg(F.min("least").alias(tag))
         found = materialize(found.join(rows.groupBy(F.struct("id", "digest").alias(tag)).agg(F.count("*").alias(copies)), tag), "shingles-kept")
-        kept = lookup_join(named, found, tag, "inner", counted=rows.select(F.struct("id", "digest").alias(tag)))
+        kept = lookup_join(named, found, tag, "inner", limit=SENT_KEYS, counted=rows.select(F.struct("id", "digest").alias(tag)))
     if not found.where(F.col(copies) > 1).isEmpty():
         order = Window.partitionBy(tag).orderBy(F.xxhash64(*map(quoted, docs.columns)))
         kept = kept.withColumn(place, F.row_number().over(order)).where(F.col(place) == 1)
