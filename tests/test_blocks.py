@@ -56,7 +56,7 @@ def test_selections_reach_the_scan(table):
         ("bounds", lambda t: t.withColumn("minors", F.when((F.col("major_block") == 1) & (F.col("minor_block") == 0), F.transform("minors", lambda j: j + 1000)).otherwise(F.col("minors")))),
         ("bounds", lambda t: t.withColumn("vals", F.when((F.col("major_block") == 1) & (F.col("minor_block") == 0), F.slice("vals", 2, 99)).otherwise(F.col("vals")))),
         ("bounds", lambda t: t.withColumn("pointers", F.when((F.col("major_block") == 3) & (F.col("minor_block") == 0), F.transform("pointers", lambda p: p + 1)).otherwise(F.col("pointers")))),
-        ("order", lambda t: t.withColumn("minors", F.when((F.col("major_block") == 0) & (F.col("minor_block") == 0), F.reverse("minors")).otherwise(F.col("minors")))),
+        ("order", lambda t: t.withColumn("minors", F.when((F.col("major_block") == 0) & (F.col("minor_block") == 0), F.sort_array("minors", asc=False)).otherwise(F.col("minors")))),
         ("order", lambda t: t.withColumn("pointers", F.when((F.col("major_block") == 0) & (F.col("minor_block") == 0), F.concat(F.slice("pointers", 1, 1), F.reverse(F.slice("pointers", 2, 7)), F.slice("pointers", 9, 1))).otherwise(F.col("pointers")))),
     ],
 )
