@@ -36,9 +36,15 @@ def both_ways(pairs: DataFrame, group: str) -> DataFrame:
     return pairs.select(group, F.explode(F.array(F.struct(F.col("i").alias("q"), F.col("j").alias("c")), F.struct(F.col("j").alias("q"), F.col("i").alias("c")))).alias("_e"), *rest).select(group, "_e.q", "_e.c", *rest)
 
 
-def fractional_topk(df: DataFrame, score: str, k: int, *query: str, name: str = "rel") -> DataFrame:
-    """Top-k mass: 1 above the k-th value, an equal share of the open places at it, 0 below."""
+def fractional_topk(df: DataFrame, score: str, k: int, *query: str, name: str = "rel", times: str | None = None) -> DataFrame:
+    """Top-k mass: 1 above the k-th value, an equal share of the open places at it, 0 below. With ``times`` a row stands
+    for so many candidates, and has the mass of each."""
     s = F.col(score)
+    if times:
+        # the sum up to and with equal values, less theirs, is what lies above
+        equal = F.sum(times).over(Window.partitionBy(*query, s))
+        above = F.sum(times).over(Window.partitionBy(*query).orderBy(s.desc()).rangeBetween(Window.unboundedPreceding, 0)) - equal
+        return df.withColumn(name, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (k - above) / equal)))
     above = F.rank().over(Window.partitionBy(*query).orderBy(s.desc())) - 1
     equal = F.count(F.lit(1)).over(Window.partitionBy(*query, s))
     return df.withColumn(name, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (k - above) / equal)))
@@ -59,13 +65,19 @@ def _discounts(k: int) -> list[float]:
     return out
 
 
-def expected_ndcg(df: DataFrame, truth: str, score: str, k: int, *query: str, minimum: int = 12) -> DataFrame:
+def expected_ndcg(df: DataFrame, truth: str, score: str, k: int, *query: str, minimum: int = 12, times: str | None = None) -> DataFrame:
     """(query, n, ndcg, random, excess, status): NDCG@k of the fractional top-k of ``truth`` under ``score``, expected
-    over all orders of tied scores. Without any order in the truth or with too few candidates it is null."""
-    rel = fractional_topk(df, truth, k, *query)
-    rel = rel.withColumn("_pos", F.row_number().over(Window.partitionBy(*query).orderBy(F.col("rel").desc())))
-    ideal = rel.groupBy(*query).agg(F.sum(F.when(F.col("_pos") <= k, F.col("rel") / F.log2(F.col("_pos") + 1)).otherwise(0.0)).alias("idcg"), F.avg("rel").alias("mean_rel"), F.count(F.lit(1)).alias("n"), F.max(truth).alias("hi"), F.min(truth).alias("lo"))
-    block = rel.groupBy(*query, score).agg(F.avg("rel").alias("m"), F.count(F.lit(1)).alias("sz"))
+    over all orders of tied scores. Without any order in the truth or with too few candidates it is null. With ``times`` a
+    row stands for so many candidates."""
+    rel = fractional_topk(df, truth, k, *query, times=times)
+    n = F.col(times) if times else F.lit(1)
+    # the ideal order: a row's candidates take the next places, of which the first k count
+    last = F.sum(n).over(Window.partitionBy(*query).orderBy(F.col("rel").desc(), F.col(truth).desc()).rowsBetween(Window.unboundedPreceding, 0))
+    rel = rel.withColumn("_last", last).withColumn("_n", n)
+    gain = F.col("rel") * (discount_sum(F.col("_last"), k) - discount_sum(F.col("_last") - F.col("_n"), k))
+    total = F.sum("_n")
+    ideal = rel.groupBy(*query).agg(F.sum(gain).alias("idcg"), (F.sum(F.col("rel") * F.col("_n")) / total).alias("mean_rel"), total.alias("n"), F.max(truth).alias("hi"), F.min(truth).alias("lo"))
+    block = rel.groupBy(*query, score).agg((F.sum(F.col("rel") * F.col("_n")) / total).alias("m"), total.alias("sz"))
     block = block.withColumn("st", F.sum("sz").over(Window.partitionBy(*query).orderBy(F.col(score).desc())) - F.col("sz"))
     dcg = block.groupBy(*query).agg(F.sum(F.col("m") * (discount_sum(F.col("st") + F.col("sz"), k) - discount_sum(F.col("st"), k))).alias("dcg"))
     out = ideal.join(dcg, list(query))

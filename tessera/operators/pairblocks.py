@@ -161,22 +161,24 @@ def view_pairs(df: DataFrame, group: str, key: str, vector: str, views: dict[str
     return paired(df.select(group, key, vector), group, key, largest, prepare, compare, dict.fromkeys(outputs or views, "double"), rows)
 
 
-def neighbour_counts(df: DataFrame, group: str, key: str, vector: str, views: dict[str, tuple[int, int, int]], largest: int, rows: int = PAIR_ROWS, others: int = COUNT_ROWS) -> DataFrame:
+def neighbour_counts(df: DataFrame, group: str, key: str, vector: str, views: dict[str, tuple[int, int, int]], largest: int, kind: str | None = None, rows: int = PAIR_ROWS, others: int = COUNT_ROWS) -> DataFrame:
     """(group, q, a value per view, n): how many other rows of its group have these cosines to row q, each view's rounded
-    to its number of digits: (start, stop, digits). Rows without a vector are left out.
+    to its number of digits: (start, stop, digits). Rows without a vector are left out. With ``kind``, a whole number of each row, of
+    which there are few, the other rows count apart by it, and it is a column.
 
     A block of queries meets some ``others`` rows in a task; the counts of a group's stretches are then added up."""
-    known = df.select(group, key, vector).where(F.col(group).isNotNull() & F.col(key).isNotNull() & F.col(vector).isNotNull())
+    more = [kind] if kind else []
+    known = df.select(group, key, vector, *more).where(F.col(group).isNotNull() & F.col(key).isNotNull() & F.col(vector).isNotNull())
     dealt, n = _blocks(known, group, key, largest, rows)
     per = max(1, others // rows)
     parts = -(-n // per)
     upto = lambda m: F.sequence(F.lit(0), F.lit(m - 1))
     asks = F.transform(upto(parts), lambda k: F.struct(F.lit(True).alias("asks"), F.col("_b").alias("p"), k.alias("r")))
     met = F.transform(upto(n), lambda p: F.struct(F.lit(False).alias("asks"), p.alias("p"), F.floor(F.col("_b") / per).cast("int").alias("r")))
-    dealt = dealt.select(group, key, vector, F.inline(F.concat(asks, met)))
+    dealt = dealt.select(group, key, vector, *more, F.inline(F.concat(asks, met)))
     kinds = {c: df.schema[c].dataType.simpleString() for c in (group, key)}
-    schema = f"`{group}` {kinds[group]}, q {kinds[key]}, " + ", ".join(f"`{v}` double" for v in views) + ", n bigint"
-    names = [group, "q", *views, "n"]
+    schema = f"`{group}` {kinds[group]}, q {kinds[key]}, " + ", ".join(f"`{v}` double" for v in views) + "".join(f", `{c}` bigint" for c in more) + ", n bigint"
+    names = [group, "q", *views, *more, "n"]
     scales = [10**d for _, _, d in views.values()]
     sides = [2 * s + 1 for s in scales]
     bins = int(np.prod(sides))
@@ -191,25 +193,27 @@ def neighbour_counts(df: DataFrame, group: str, key: str, vector: str, views: di
         left, right = keys[ask], keys[~ask]
         parted = [units(v[:, lo:hi]) for lo, hi, _ in views.values()]
         a, b = [x[ask] for x in parted], [np.ascontiguousarray(x[~ask].T) for x in parted]
-        step = 16
+        known, of = np.unique(table.column(kind).to_numpy()[~ask] if kind else np.zeros(len(right), np.int64), return_inverse=True)
+        step, places = 16, bins * len(known)
         for start in range(0, len(left), step):
             at = slice(start, start + step)
             m = len(left[at])
             code = np.empty((m, len(right)), np.int64)
             for lo in range(0, len(right), TILE // step):
                 some = slice(lo, lo + TILE // step)
-                c = np.arange(m)[:, None]
+                c = np.arange(m)[:, None] * len(known) + of[None, some]
                 for r, scale, side in zip(rounded_cosines([x[at] for x in a], [y[:, some] for y in b], outputs), scales, sides, strict=True):
                     c = c * side + (r.astype(np.int64) + scale)
                 code[:, some] = c
-            total = np.bincount(code[left[at, None] != right[None, :]], minlength=m * bins)
+            total = np.bincount(code[left[at, None] != right[None, :]], minlength=m * places)
             cell = np.flatnonzero(total)
-            i, c = np.divmod(cell, bins)
+            i, c = np.divmod(cell, places)
+            own_kind, c = np.divmod(c, bins)
             values = []
             for scale, side in reversed(list(zip(scales, sides, strict=True))):
                 values.append(pa.array((c % side - scale) / scale))
                 c = c // side
-            yield pa.RecordBatch.from_arrays([pa.repeat(table.column(group)[0], len(cell)), pa.array(left[at][i]), *reversed(values), pa.array(total[cell])], names=names)
+            yield pa.RecordBatch.from_arrays([pa.repeat(table.column(group)[0], len(cell)), pa.array(left[at][i]), *reversed(values), *[pa.array(known[own_kind].astype(np.int64)) for _ in more], pa.array(total[cell])], names=names)
 
     got = dealt.groupBy(group, "p", "r").applyInArrow(run, schema)
-    return got if parts == 1 else got.groupBy(group, "q", *views).agg(F.sum("n").alias("n"))
+    return got if parts == 1 else got.groupBy(group, "q", *views, *more).agg(F.sum("n").alias("n"))

@@ -26,8 +26,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = base.Tables(spark, sf_dir)
     pairs = store(base.rep_pairs(t), "pairs")
     rsa = met.spearman(pairs, "x", "y", "label", largest=base.most_pairs(t)).select("label", F.col("n").alias("n_pairs"), F.col("rho").alias("rsa"))
-    near = met.both_ways(pairs.select("label", "i", "j", F.round("y", 2).alias("truth"), F.round("x", 1).alias("score")), "label")
-    excess = met.expected_ndcg(near, "truth", "score", 10, "label", "q").groupBy("label").agg(F.avg("excess").alias("excess_ndcg"))
+    excess = met.expected_ndcg(scores.counted(t), "truth", "score", 10, "label", "q", times="n").groupBy("label").agg(F.avg("excess").alias("excess_ndcg"))
     return rsa.join(excess, "label").select("label", "n_pairs", base.r6("rsa").alias("rsa"), base.r6("excess_ndcg").alias("excess_ndcg"))
 
 
