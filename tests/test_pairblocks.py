@@ -63,3 +63,23 @@ def test_neighbours_are_counted_whole(spark, rows, others):
     p = one_by_one(df).select("g", "i", "j", (F.round("x", 1) + 0.0).alias("x"), (F.round("y", 2) + 0.0).alias("y"))
     want = p.select("g", F.col("i").alias("q"), "x", "y").union(p.select("g", "j", "x", "y")).groupBy("g", "q", "x", "y").count()
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_kinds_of_rows_give_their_pairs_values(spark):
+    df = spark.createDataFrame([(k, k % 2, [x for x in (k % 3, k % 5) if x], None if k == 4 else k % 4) for k in range(40)], "k bigint, g bigint, b array<bigint>, c bigint")
+
+    def output(a, b):
+        return pb.jaccards([x[0] for x in a], [x[0] for x in b]) * pb.alike([x[1] for x in a], [x[1] for x in b])
+
+    rows = df.collect()
+    want = {}
+    for p in rows:
+        for q in rows:
+            if p.k < q.k and p.g == q.g:
+                s, u = set(p.b), set(q.b)
+                j = len(s & u) / len(s | u) if s | u else 1.0
+                want[p.k, q.k] = None if p.c is None or q.c is None else round(j * (p.c == q.c), 6)
+    for size in (6, 50):
+        got = pb.kind_pairs(df, "g", "k", ["b", "c"], output, 20, rows=size)
+        assert {(r.i, r.j): r.sim for r in got.collect()} == want and got.count() == len(want)
+        assert "Broadcast" not in got._jdf.queryExecution().toString()
