@@ -72,7 +72,7 @@ def test_empty_matrix(spark):
 
 def test_tiles_are_not_repeated_per_major(spark):
     df = spark.createDataFrame([(i, j, float(i + j + 1)) for i in range(0, 40, 3) for j in range(5)], "i bigint, j bigint, x double")
-    long = blk.to_long(blk.to_blocks(df, "i", "j", "x", 40, 8, 2))
+    long = bl.to_long(bl.to_blocks(df, "i", "j", "x", 40, 8, 2))
     assert sorted(map(tuple, long.collect())) == sorted(map(tuple, df.collect()))
     # one generator, which reads the tile's lines and not a copy of the tile for each of its majors
     assert long._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 1
