@@ -14,7 +14,8 @@ from tessera.operators.order import hash_positions, with_ranks
 from tessera.operators.metrics import confusion, equal_weight, fractional_topk
 
 from .base import CELLS, EFFECTS, METRICS, TWO_VIEWS, Tables, cells, effects, metric_table, query, r6, two_views
-from tessera.operators.geometry import average_rank, blocks_of, doubled_rank, mean_vector, unordered_pairs
+from tessera.operators.geometry import average_rank, blocks_of, doubled_rank, mean_vector, unordered_pairs, largest_group
+from tessera.operators.pairblocks import kind_pairs
 
 EV = "ev as (select event_id, event_type as atom, (user_id % 5)::bigint as donor, day(ts)::bigint as batch, value, event_type = 'view' as is_control from events)"
 
@@ -184,12 +185,14 @@ def j11(t: Tables) -> DataFrame:
 
 @query("j12_similarity_lift", "select a.s_suppkey as a, b.s_suppkey as b, abs(a.s_nationkey - b.s_nationkey)::bigint as sim from supplier a join supplier b on a.s_suppkey < b.s_suppkey where a.s_suppkey % 10 = b.s_suppkey % 10")
 def j12(t: Tables) -> DataFrame:
-    # condition similarities, lifted to the atoms that belong to the conditions
-    n = t.nation.select("n_nationkey")
-    cond = n.select(F.col("n_nationkey").alias("ca")).crossJoin(n.select(F.col("n_nationkey").alias("cb"))).withColumn("sim", F.abs(F.col("ca") - F.col("cb")).cast("bigint"))
-    s = t.supplier.select("s_suppkey", F.col("s_nationkey").alias("c"), (F.col("s_suppkey") % 10).alias("g"))
-    p = unordered_pairs(s, "g", "s_suppkey", blocks_of(s, "g"))
-    return p.join(cond, (F.col("c_a") == F.col("ca")) & (F.col("c_b") == F.col("cb"))).select(F.col("i").alias("a"), F.col("j").alias("b"), "sim")
+    # similarities of conditions, lifted to the atoms that belong to the conditions
+    known = t.nation.select(F.col("n_nationkey").alias("s_nationkey"))
+    s = t.supplier.join(F.broadcast(known), "s_nationkey", "left_semi").select("s_suppkey", F.col("s_nationkey").cast("double").alias("c"), (F.col("s_suppkey") % 10).alias("g"))
+
+    def apart(a: list[tuple], b: list[tuple]) -> np.ndarray:
+        return np.abs(np.array(a) - np.array(b).T)
+
+    return kind_pairs(s, "g", "s_suppkey", ["c"], apart, largest_group(s, "g"), digits=0).select(F.col("i").alias("a"), F.col("j").alias("b"), F.col("sim").cast("bigint").alias("sim"))
 
 
 @query("j13_greedy_matching")
