@@ -19,14 +19,17 @@ def pearson(x: str, y: str) -> Column:
     return F.when((sxx > tiny * F.abs(F.sum(a * a))) & (syy > tiny * F.abs(F.sum(b * b))), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), try_ratio(sxy, F.sqrt(F.greatest(sxx, F.lit(0.0)) * F.greatest(syy, F.lit(0.0)))))))
 
 
-def spearman(df: DataFrame, x: str, y: str, *group: str, minimum: int = 3, name: str = "rho", largest: int | None = None, most: int = RANK_ROWS) -> DataFrame:
+def spearman(df: DataFrame, x: str, y: str, *group: str, minimum: int = 3, name: str = "rho", largest: int | None = None, most: int = RANK_ROWS, constant: tuple[str, ...] = ()) -> DataFrame:
     """(group, n, rho, status): rank correlation over the rows where both sides are known; ``largest`` and ``most`` as in
-    ``with_ranks``."""
+    ``with_ranks``. Where ``constant`` names ``x``, a literal that has no order, nothing is ranked."""
     ok = df.where(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(x) & ~F.isnan(y))
-    r = with_ranks(ok, {"_x": x, "_y": y}, *group, largest=largest, most=most)
     flat = lambda c: F.max(c) - F.min(c) <= 1e-12
     n = F.count(F.lit(1))
     status = F.when(n < minimum, "too_few").when(flat(x), "constant_text").when(flat(y), "constant_response").otherwise("ok")
+    if x in constant:
+        # without any order on a side there is nothing to rank
+        return ok.groupBy(*group).agg(n.alias("n"), status.alias("status")).select(*group, "n", F.lit(None).cast("double").alias(name), "status")
+    r = with_ranks(ok, {"_x": x, "_y": y}, *group, largest=largest, most=most)
     return r.groupBy(*group).agg(n.alias("n"), pearson("_x", "_y").alias("_r"), status.alias("status")).select(*group, "n", F.when(F.col("status") == "ok", F.col("_r")).alias(name), "status")
 
 
