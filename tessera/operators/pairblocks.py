@@ -222,6 +222,70 @@ def alike(a: list, b: list) -> np.ndarray:
     return np.ma.masked_array((x[:, None] == y[None, :]).astype(float), none)
 
 
+def _dealt_asks(known: DataFrame, group: str, key: str, largest: int, rows: int, others: int, cells: list[str], own: list[str]) -> tuple[DataFrame, int]:
+    """Rows as queries, once per stretch of their group's blocks, and as what these meet, once per block of queries; a
+    stretch has some ``others`` rows. Columns ``own`` are the queries'. Also the number of stretches."""
+    dealt, n = _blocks(known, group, key, largest, rows)
+    per = max(1, others // rows)
+    parts = -(-n // per)
+    upto = lambda m: F.sequence(F.lit(0), F.lit(m - 1))
+    asks = F.transform(upto(parts), lambda k: F.struct(F.lit(True).alias("asks"), F.col("_b").alias("p"), k.alias("r")))
+    met = F.transform(upto(n), lambda p: F.struct(F.lit(False).alias("asks"), p.alias("p"), F.floor(F.col("_b") / per).cast("int").alias("r")))
+    dealt = dealt.select(group, key, *cells, *own, F.inline(F.concat(asks, met)))
+    return dealt.select(group, key, *cells, *[F.when(F.col("asks"), F.col(c)).alias(c) for c in own], "asks", "p", "r"), parts
+
+
+#: Stands for the rounded cosine of a row without a vector: it comes after all others.
+NO_COSINE = -(2**15)
+
+
+def asked(df: DataFrame, group: str, key: str, vector: str, views: dict[str, tuple[int, int, int]], largest: int, answer: Callable, columns: dict[str, str], own: tuple[str, ...] = (), rows: int = PAIR_ROWS, others: int = COUNT_ROWS) -> DataFrame:
+    """(group, q, columns): what ``answer`` gives for each row as a query against a stretch of the other rows of its group,
+    so a row comes once per stretch, of which there is one up to ``others`` rows; nothing of a pair leaves its task.
+
+    ``answer(q, own values, keys, cosines)`` gets the query's key, its row of the columns ``own``, the other rows' keys in
+    ascending order and per view their rounded cosines in units of the last digit (NO_COSINE without a vector); it gives a
+    list of rows."""
+    known = df.where(F.col(group).isNotNull() & F.col(key).isNotNull())
+    dealt, _ = _dealt_asks(known, group, key, largest, rows, others, [vector], list(own))
+    kinds = {c: df.schema[c].dataType.simpleString() for c in (group, key)}
+    outputs = {v: (lambda *c, k=k: c[k], d) for k, (v, (_, _, d)) in enumerate(views.items())}
+    names = ["q", *columns]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches)
+        ask = table.column("asks").to_numpy()
+        one, two = table.filter(pa.array(ask)), table.filter(pa.array(~ask)).sort_by(key)
+        if not one.num_rows or not two.num_rows:
+            return
+        (v, no_left), (w, no_right) = vectors_of(one, vector), vectors_of(two, vector)
+        if v.shape[1] != w.shape[1]:  # one side has no vector at all
+            width = max(v.shape[1], w.shape[1])
+            v, w = (x if x.shape[1] else np.zeros((len(x), width)) for x in (v, w))
+        left, right, given = one.column(key).to_pylist(), two.column(key).to_numpy(), [one.column(c).to_pylist() for c in own]
+        a, b = [units(v[:, lo:hi]) for lo, hi, _ in views.values()], [np.ascontiguousarray(units(w[:, lo:hi]).T) for lo, hi, _ in views.values()]
+        got: list[tuple] = []
+        step = 16
+        for start in range(0, len(left), step):
+            at = slice(start, start + step)
+            codes = [np.empty((len(left[at]), len(right)), np.int16) for _ in views]
+            for lo in range(0, len(right), TILE // step):
+                some = slice(lo, lo + TILE // step)
+                for code, r in zip(codes, rounded_cosines([x[at] for x in a], [y[:, some] for y in b], outputs), strict=True):
+                    code[:, some] = r
+            for code in codes:
+                code[no_left[at, None] | no_right[None, :]] = NO_COSINE
+            for k, q in enumerate(left[at]):
+                other = right != q
+                got += [(q, *row) for row in answer(q, tuple(c[start + k] for c in given), right[other], [code[k][other] for code in codes])]
+        if got:
+            schema = pa.schema([(c, {"bigint": pa.int64(), "int": pa.int32(), "array<bigint>": pa.list_(pa.int64())}[kind]) for c, kind in zip(names, [kinds[key], *columns.values()], strict=True)])
+            out = [pa.array(list(c), f.type) for c, f in zip(zip(*got, strict=True), schema, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.repeat(table.column(group)[0], len(got)), *out], names=[group, *names])
+
+    return dealt.groupBy(group, "p", "r").applyInArrow(run, f"`{group}` {kinds[group]}, q {kinds[key]}, " + ", ".join(f"`{c}` {k}" for c, k in columns.items()))
+
+
 def neighbour_counts(df: DataFrame, group: str, key: str, vector: str, views: dict[str, tuple[int, int, int]], largest: int, kind: str | None = None, rows: int = PAIR_ROWS, others: int = COUNT_ROWS) -> DataFrame:
     """(group, q, a value per view, n): how many other rows of its group have these cosines to row q, each view's rounded
     to its number of digits: (start, stop, digits). Rows without a vector are left out. With ``kind``, a whole number of each row, of
@@ -230,13 +294,7 @@ def neighbour_counts(df: DataFrame, group: str, key: str, vector: str, views: di
     A block of queries meets some ``others`` rows in a task; the counts of a group's stretches are then added up."""
     more = [kind] if kind else []
     known = df.select(group, key, vector, *more).where(F.col(group).isNotNull() & F.col(key).isNotNull() & F.col(vector).isNotNull())
-    dealt, n = _blocks(known, group, key, largest, rows)
-    per = max(1, others // rows)
-    parts = -(-n // per)
-    upto = lambda m: F.sequence(F.lit(0), F.lit(m - 1))
-    asks = F.transform(upto(parts), lambda k: F.struct(F.lit(True).alias("asks"), F.col("_b").alias("p"), k.alias("r")))
-    met = F.transform(upto(n), lambda p: F.struct(F.lit(False).alias("asks"), p.alias("p"), F.floor(F.col("_b") / per).cast("int").alias("r")))
-    dealt = dealt.select(group, key, vector, *more, F.inline(F.concat(asks, met)))
+    dealt, parts = _dealt_asks(known, group, key, largest, rows, others, [vector, *more], [])
     kinds = {c: df.schema[c].dataType.simpleString() for c in (group, key)}
     schema = f"`{group}` {kinds[group]}, q {kinds[key]}, " + ", ".join(f"`{v}` double" for v in views) + "".join(f", `{c}` bigint" for c in more) + ", n bigint"
     names = [group, "q", *views, *more, "n"]

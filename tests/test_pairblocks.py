@@ -83,3 +83,26 @@ def test_kinds_of_rows_give_their_pairs_values(spark):
         got = pb.kind_pairs(df, "g", "k", ["b", "c"], output, 20, rows=size)
         assert {(r.i, r.j): r.sim for r in got.collect()} == want and got.count() == len(want)
         assert "Broadcast" not in got._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("options", [{}, {"rows": 8, "others": 16}])
+def test_asked_stretch_by_stretch(spark, options):
+    """Queries are answered where their cosines are: no pair leaves a task, whatever the number of stretches."""
+    from tessera.operators.pairblocks import NO_COSINE, asked
+
+    rng = np.random.default_rng(5)
+    data = [(k % 2, k, None if k in (4, 9) else rng.normal(0, 1, 6).tolist(), k * 10) for k in range(60)]
+    df = spark.createDataFrame(data, "g int, k long, v array<double>, w long").repartition(3)
+
+    def answer(q, own, keys, codes):
+        assert (np.diff(keys) > 0).all() and q not in keys
+        return [(own[0], len(keys), int((codes[0] > 0).sum()), int((codes[0] == NO_COSINE).sum()))]
+
+    got = asked(df, "g", "k", "v", {"x": (0, 6, 1)}, 30, answer, {"w": "bigint", "n": "bigint", "up": "bigint", "none": "bigint"}, ("w",), **options).groupBy("q").agg({"w": "max", "n": "sum", "up": "sum", "none": "sum"}).collect()
+    assert len(got) == 60
+    vec = {k: None if v is None else np.array(v) / np.linalg.norm(v) for _, k, v, _ in data}
+    for r in got:
+        others = [k for k in vec if k % 2 == r.q % 2 and k != r.q]
+        up = sum(round(float(vec[r.q] @ vec[k]), 1) > 0 for k in others if vec[r.q] is not None and vec[k] is not None)
+        none = sum(vec[r.q] is None or vec[k] is None for k in others)
+        assert (r["max(w)"], r["sum(n)"], r["sum(up)"], r["sum(none)"]) == (r.q * 10, 29, up, none)
