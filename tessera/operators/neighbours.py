@@ -24,9 +24,12 @@ from tessera.sources.shared import store
 from .linear import unit_rows
 
 #: Pivots at most, rings from a pivot to its opposite, rows of a block, queries of a chunk.
-PIVOTS, RINGS, BLOCK_ROWS, CHUNK = 64, 64, 4_096, 1_024
-#: Up to so many rows comparing all of them, in the same blocks, is less work than bounding.
-FEW = 20_000
+PIVOTS, RINGS, BLOCK_ROWS, CHUNK = 64, 64, 16_384, 8_192
+#: Up to so many rows comparing all of them, in the same blocks, is less work than bounding, whose rings exclude little
+#: where vectors have many dimensions.
+FEW = 1_000_000
+#: Queries of a chunk that are compared with a block at a time.
+AT_ONCE = 256
 #: Angles and cosines of different summation orders may differ by so much.
 SLACK = 1e-7
 
@@ -100,17 +103,19 @@ def _visited(visits: DataFrame, asked: DataFrame, table: DataFrame, k: int, chun
     on = ["cell", "ring", "block", "part"]
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out: list[pd.DataFrame] = []
-        if len(a) and len(b):
-            x, y = (unit_rows(np.stack(p["v"].to_list()).astype(float)) for p in (a, b))
-            cos, keys = x @ y.T, b["key"].to_numpy()
-            m = min(k, len(b))
+        if not len(a) or not len(b):
+            return pd.DataFrame({"q": a["q"][:0], "key": b["key"][:0], "cosine": pd.Series([], dtype=float)})
+        x, y = (unit_rows(np.stack(p["v"].to_list()).astype(float)) for p in (a, b))
+        keys, m = b["key"].to_numpy(), min(k, len(b))
+        best, cosine = np.empty((len(a), m), np.int64), np.empty((len(a), m))
+        for start in range(0, len(a), AT_ONCE):
+            cos = x[start : start + AT_ONCE] @ y.T
             edge = np.partition(cos, len(b) - m, axis=1)[:, len(b) - m] - SLACK
-            for i, q in enumerate(a["q"]):
-                at = np.flatnonzero(cos[i] >= edge[i])
+            for i, (row, least) in enumerate(zip(cos, edge, strict=True), start):
+                at = np.flatnonzero(row >= least)
                 exact = np.cumsum(x[i] * y[at], axis=1)[:, -1].clip(-1, 1)  # one order of additions, whatever the block
-                at = at[np.lexsort((keys[at], -exact))][:m]
-                out.append(pd.DataFrame({"q": [q] * m, "key": keys[at], "cosine": np.cumsum(x[i] * y[at], axis=1)[:, -1].clip(-1, 1)}))
-        return pd.concat(out) if out else pd.DataFrame({"q": a["q"][:0], "key": b["key"][:0], "cosine": pd.Series([], dtype=float)})
+                order = np.lexsort((keys[at], -exact))[:m]
+                best[i], cosine[i] = at[order], exact[order]
+        return pd.DataFrame({"q": np.repeat(a["q"].to_numpy(), m), "key": keys[best.ravel()], "cosine": cosine.ravel()})
 
     return left.select(*on, "q", "v").groupBy(*on).cogroup(right.select(*[F.col(c).alias(f"r_{c}") for c in on], "key", "v").groupBy(*[f"r_{c}" for c in on])).applyInPandas(run, f"q {kind}, key {own}, cosine double")
