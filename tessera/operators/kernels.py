@@ -28,8 +28,9 @@ def field_vectors(fields: DataFrame, key: str, field: str, value: str, size: int
         return s.map(lambda x: seeded_normal(x, size).tolist())
 
     drawn = fields.select(field, value).distinct().withColumn("_v", draw(F.concat_ws("=", F.lit(str(seed)), field, value)))
-    long = fields.join(drawn, [field, value]).select(key, F.posexplode("_v").alias("pos", "x")).groupBy(key, "pos").agg(F.sum("x").alias("x"))
-    v = long.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda e: e["x"]).alias("v"))
+    # a sum per place: a key's partial sums are one row, and nothing is collected
+    sums = fields.join(drawn, [field, value]).groupBy(key).agg(*[F.sum(F.get("_v", F.lit(i))).alias(f"_{i}") for i in range(size)])
+    v = sums.select(key, F.array(*[f"_{i}" for i in range(size)]).alias("v"))
     n = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
     return v.select(key, F.transform("v", lambda x: x / n).alias("vector"))
 
