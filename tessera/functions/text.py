@@ -63,9 +63,18 @@ def grams(c: Column) -> Column:
     return F.concat(w, pairs)
 
 
+#: A list of up to so many terms is sent to all tasks.
+SENT_TERMS = 100_000
+
+
 def tfidf(docs: DataFrame, key: str, text: str, min_df: int = 1, max_features: int | None = None, sublinear: bool = False) -> DataFrame:
     """(key, term, weight): term counts times ln((1 + n) / (1 + df)) + 1, each document L2-normalised."""
-    tf = docs.select(key, F.explode(grams(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    words = docs.select(key, F.explode(grams(F.col(text))).alias("term"))
+    if max_features and max_features <= SENT_TERMS and min_df <= 1:
+        # the terms are known by their totals, so those of no other are dealt by document
+        often = words.groupBy("term").agg(F.count("*").alias("total")).orderBy(F.col("total").desc(), "term").limit(max_features)
+        words = words.join(F.broadcast(often.select("term")), "term")
+    tf = words.groupBy(key, "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).where(F.col("df") >= min_df)
     if max_features:
         df = df.orderBy(F.col("total").desc(), "term").limit(max_features)
