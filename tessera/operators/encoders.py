@@ -105,17 +105,17 @@ def encode_texts(df: DataFrame, text: str, make: Callable[[], Encoder] = HashedT
         model = make()
         for part in parts:
             texts = part["_t"].tolist()
-            out: dict[str, list] = {m: [None] * len(texts) for m in modes}
             for at in batches_of(list(map(model.length, texts)), rows, tokens):
                 hidden, mask = model.hidden([texts[k] for k in at])
+                out: dict[str, list] = {}
                 for m in modes:
                     v = pool(hidden, mask, m).astype(np.float64)
                     if normalise:
                         n = np.sqrt((v * v).sum(1, keepdims=True))
                         v = np.divide(v, n, out=np.zeros_like(v), where=n > 0)
-                    for k, row in zip(at, v.tolist(), strict=True):
-                        out[m][k] = row
-            yield pd.DataFrame({"_h": part["_h"], **out})
+                    out[m] = list(v)
+                del hidden, mask
+                yield pd.DataFrame({"_h": part["_h"].to_numpy()[at], **out})  # a batch's vectors are all that is held
 
     vectors = once.mapInPandas(run, "_h string, " + ", ".join(f"`{m}` array<double>" for m in modes))
     return keyed.join(vectors, "_h").drop("_h")
