@@ -22,6 +22,12 @@ from tessera.functions.columns import hash_order
 #: Tasks that sum products at most; each gives one matrix for each set of models.
 PARTIALS = 512
 MODES = ("perturbation_only", "interaction")
+#: Rows that a task works on at a time, whatever the size of Arrow's batches.
+SLICE = 1_024
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return (b.slice(k, SLICE) for b in batches for k in range(0, b.num_rows, SLICE))
 
 
 def unit_rows(v: np.ndarray) -> np.ndarray:
@@ -60,7 +66,7 @@ def landmark_features(df: DataFrame, perturbation: str, marks: np.ndarray, conte
     sides = [c for c in (perturbation, context) if c]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             x = np.ones((b.num_rows, len(sent.value[0])))
             for side, m in zip(sides, sent.value, strict=False) if b.num_rows else ():
                 x *= np.clip(unit_rows(_table(b.column(side), side, m.shape[1])) @ m.T, -1, 1)
@@ -119,7 +125,7 @@ class LandmarkRidge:
         width, outputs = next(iter(self.models.values()))[0].shape
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in _slices(batches):
                 out: list = [None] * b.num_rows
                 if b.num_rows:
                     v, which = _table(b.column(x), x, width), np.array([-1 if m is None else m for m in b.column("_model").to_pylist()])
@@ -152,7 +158,7 @@ def product_sums(rows: DataFrame, x: str, y: str, models: Column) -> dict[tuple[
 
     def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, total = 0, 0.0
-        for b in batches:
+        for b in _slices(batches):
             if b.num_rows:
                 n, total = n + b.num_rows, total + np.concatenate([_table(b.column(c), c).sum(0) for c in ("x", "y")])
         if n:
@@ -169,7 +175,7 @@ def product_sums(rows: DataFrame, x: str, y: str, models: Column) -> dict[tuple[
 
     def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
-        for b in batches:
+        for b in _slices(batches):
             if not b.num_rows:
                 continue
             v = np.hstack([_table(b.column("x"), x, k), _table(b.column("y"), y, len(sent.value) - k)]) - sent.value
