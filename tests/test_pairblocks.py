@@ -106,3 +106,23 @@ def test_asked_stretch_by_stretch(spark, options):
         up = sum(round(float(vec[r.q] @ vec[k]), 1) > 0 for k in others if vec[r.q] is not None and vec[k] is not None)
         none = sum(vec[r.q] is None or vec[k] is None for k in others)
         assert (r["max(w)"], r["sum(n)"], r["sum(up)"], r["sum(none)"]) == (r.q * 10, 29, up, none)
+
+
+def test_pairs_of_kinds_are_made_by_functions(spark):
+    """Python gives lists per kind and piece; more kinds than are compared at a time, and more rows than a piece, lose nothing."""
+    df = spark.range(2_600).select((F.col("id") * 7 % 2_600).alias("k"), F.lit(0).alias("g"), (F.col("id") % 2_300).alias("c"))
+
+    def output(a, b):
+        return pb.alike([x[0] for x in a], [x[0] for x in b])
+
+    for rows in (900, 5_000):
+        got = pb.kind_pairs(df, "g", "k", ["c"], output, 2_600, rows=rows)
+        assert "posexplode" in got._jdf.queryExecution().toString()
+        r = got.agg(F.count("*"), F.countDistinct("i", "j"), F.sum("sim"), F.bool_and(F.col("i") < F.col("j"))).first()
+        assert tuple(r) == (2_600 * 2_599 // 2, 2_600 * 2_599 // 2, 300.0, True)
+
+
+def test_copies_of_rows_are_bounded():
+    """A row is dealt once per block of its group: at most eight times up to 262,144 rows."""
+    assert all(-(-n // pb.block_rows(n)) <= 8 for n in (1, 200, 1_025, 12_000, 72_000, 262_144))
+    assert pb.block_rows(10**7) == 32_768
