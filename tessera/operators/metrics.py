@@ -91,13 +91,33 @@ def expected_ndcg(df: DataFrame, truth: str, score: str, k: int, *query: str, mi
     return out.select(*query, "n", F.when(ok, ndcg).alias("ndcg"), F.when(ok, rnd).alias("random"), F.when(ok, ndcg - rnd).alias("excess"), "status")
 
 
+#: Harmonic numbers up to this one are added up; above, an expansion is exact to the last digits of a double.
+HARMONICS = 256
+
+
+def harmonic(n: Column) -> Column:
+    """The sum of the first n reciprocals; 0 for 0."""
+    table = [0.0]
+    for i in range(1, HARMONICS + 1):
+        table.append(table[-1] + 1 / i)
+    x = n.cast("double")
+    far = F.ln(x) + F.lit(0.5772156649015329) + 1 / (2 * x) - 1 / (12 * x * x) + 1 / (120 * x * x * x * x)
+    return F.when(n <= HARMONICS, F.get(F.lit(table), n.cast("int"))).otherwise(far)
+
+
 def expected_tie_retrieval(df: DataFrame, score: str, is_target: str, *query: str) -> DataFrame:
     """(query, n, mrr, hit1, random_mrr): reciprocal rank and Hit@1 of the one target, expected over tie orders."""
     t = df.groupBy(*query).agg(F.max(F.when(F.col(is_target), F.col(score))).alias("_t"))
     s = df.join(t, list(query))
     g = s.groupBy(*query).agg(F.sum((F.col(score) > F.col("_t")).cast("bigint")).alias("a"), F.sum((F.col(score) == F.col("_t")).cast("bigint")).alias("e"), F.count(F.lit(1)).alias("n"))
-    h = lambda n: F.aggregate(F.when(n > 0, F.sequence(F.lit(1).cast("bigint"), n)).otherwise(F.array().cast("array<bigint>")), F.lit(0.0), lambda x, i: x + 1.0 / i)
-    return g.select(*query, "n", ((h(F.col("a") + F.col("e")) - h(F.col("a"))) / F.col("e")).alias("mrr"), F.when(F.col("a") == 0, 1.0 / F.col("e")).otherwise(0.0).alias("hit1"), (h(F.col("n")) / F.col("n")).alias("random_mrr"))
+    return tie_retrieval(g, *query)
+
+
+def tie_retrieval(counts: DataFrame, *query: str) -> DataFrame:
+    """``expected_tie_retrieval`` from (query, a, e, n): candidates above the target, those level with it, itself
+    included, and all."""
+    a, e, n = F.col("a"), F.nullif(F.col("e"), F.lit(0)), F.col("n")  # a target without a score is level with none
+    return counts.select(*query, "n", ((harmonic(a + e) - harmonic(a)) / e).alias("mrr"), F.when(a == 0, 1.0 / e).otherwise(0.0).alias("hit1"), (harmonic(n) / n).alias("random_mrr"))
 
 
 def confusion(df: DataFrame, truth: str, pred: str, labels: DataFrame) -> DataFrame:

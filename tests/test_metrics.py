@@ -73,6 +73,23 @@ def test_all_ties_are_random_and_perfect_is_one(spark, parts):
     assert all(r.ndcg == pytest.approx(1) for r in met.expected_ndcg(df.withColumn("s", F.col("t")), "t", "s", 10, "q").collect())
 
 
+def test_ties_from_counts(spark):
+    """Harmonic numbers need no list of places, and a target without a score has none."""
+    data = [(0, 2, 3, 9), (1, 100_000, 50_000, 400_000), (2, 250, 10, 300), (3, 0, 0, 5)]
+    got = met.tie_retrieval(spark.createDataFrame(data, "q int, a long, e long, n long"), "q")
+    h = lambda n: sum(1 / i for i in range(1, n + 1))
+    for r, (_, a, e, n) in zip(got.orderBy("q").collect(), data, strict=True):
+        assert r.mrr == (pytest.approx((h(a + e) - h(a)) / e, rel=1e-10) if e else None) and r.random_mrr == pytest.approx(h(n) / n, rel=1e-13)
+    assert "sequence" not in got._jdf.queryExecution().toString()
+
+
+def test_m12_makes_no_pairs(spark):
+    from tessera.plans import registry
+
+    plan = registry.queries()["m12_expected_ties"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "Window" not in plan and "Generate explode(array(" not in plan
+
+
 def test_uninformative_truth(spark):
     df = spark.createDataFrame([(0, float(i), 1.0) for i in range(14)], "q int, s double, t double")
     r = met.expected_ndcg(df, "t", "s", 10, "q").first()
