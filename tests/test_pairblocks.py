@@ -126,3 +126,30 @@ def test_copies_of_rows_are_bounded():
     """A row is dealt once per block of its group: at most eight times up to 262,144 rows."""
     assert all(-(-n // pb.block_rows(n)) <= 8 for n in (1, 200, 1_025, 12_000, 72_000, 262_144))
     assert pb.block_rows(10**7) == 32_768
+
+
+@pytest.mark.parametrize("rows", [7, 100])
+def test_rounded_cosines_are_counted_whole(spark, rows):
+    df = table(spark)
+    got = pb.value_counts(df, "g", "k", "v", VIEWS, 20, 2, rows=rows)
+    p = one_by_one(df)
+    want = p.select("g", F.lit("x").alias("view"), F.round("x", 2).alias("z")).union(p.select("g", F.lit("y"), F.round("y", 2)))
+    want = want.groupBy("g", "view", F.rint(F.col("z") * 100).cast("bigint").alias("value")).count()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_rank_fusion_and_distinct_cosines_join_no_pairs(spark):
+    from tessera.plans import registry
+
+    for name in ("v10_rank_fusion", "v02_distinct_cosine"):
+        plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        at = plan.index("FlatMapGroupsInArrow")
+        assert "Window" not in plan[:at] and "Aggregate" not in plan[:at]
+
+
+@pytest.mark.parametrize("rows", [7, 100])
+def test_equal_vectors_have_cosine_one(spark, rows):
+    df = table(spark, 80).withColumn("v", F.when(F.col("k") % 8 == 2, F.array(*[F.lit(0.0)] * 6)).when(F.col("k") % 5 == 0, F.array(*[F.lit(0.1 * i) for i in range(6)])).otherwise(F.col("v")))
+    got = {(r.i, r.j): r.x for r in pb.view_pairs(df, "g", "k", "v", {"x": (0, None)}, 27, rows=rows, equal=True).collect()}
+    v = {r.k: r.v for r in df.collect()}
+    assert any(v[i] == v[j] for i, j in got) and all((x == 1.0) == (v[i] == v[j]) for (i, j), x in got.items())
